@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from palisade.llm import queries_mixing, queries_quality, queries_simhash, queries_urls
+from palisade.llm import queries_mixing, queries_packing, queries_quality, queries_sharding, queries_simhash, queries_urls
 
-MODULES = [queries_mixing, queries_simhash, queries_urls, queries_quality]
+MODULES = [queries_sharding, queries_mixing, queries_packing, queries_simhash, queries_urls, queries_quality]
 
 
 def queries() -> dict:
