@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
-from palisade.llm import queries_mixing, queries_packing, queries_quality, queries_sharding, queries_simhash, queries_urls
+from palisade.llm import queries_mixing, queries_neighbours, queries_packing, queries_quality, queries_secrets, queries_sharding, queries_simhash, queries_toxicity, queries_urls, queries_warc
 
-MODULES = [queries_sharding, queries_mixing, queries_packing, queries_simhash, queries_urls, queries_quality]
+MODULES = [
+    queries_sharding,
+    queries_warc,
+    queries_mixing,
+    queries_toxicity,
+    queries_neighbours,
+    queries_packing,
+    queries_secrets,
+    queries_simhash,
+    queries_urls,
+    queries_quality,
+]
 
 
 def queries() -> dict:
