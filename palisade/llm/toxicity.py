@@ -1,9 +1,9 @@
 """Toxicity by multiple-instance learning: a document is toxic if one of its sentences is.
 
-A sentence's probability is a logistic function of the words that it holds; the noisy-or of its sentences, 1 - prod(1 -
+A sentence's probability is a logistic function of the words and word beginnings that it holds; the noisy-or of its sentences, 1 - prod(1 -
 p), is the document's. Only documents carry labels, so the weights are fitted to them through the noisy-or, and the
-sentence probabilities that come out tell where the offence is. Words that are used as features are those whose
-document frequencies differ most between the labels.
+sentence probabilities that come out tell where the offence is. The features are those whose
+document frequency is surely higher among toxic documents.
 
 The model is fitted on a bounded sample: the `sample` training documents whose ids have the smallest hashes, of all
 labelled documents with crc32(id as text) mod 5 other than 0. Every document is scored over its whole text.
@@ -26,8 +26,11 @@ from pyspark.sql import functions as F
 from palisade.llm.common import by_value
 
 by_value(__name__)
-SAMPLE, FEATURES, LEAST = 6000, 2000, 5
-ROUNDS, RATE, SHRINK, START = 300, 0.1, 2e-4, -6.0
+#: Training documents, features, documents that hold a feature, and standard errors of its excess in toxic ones.
+SAMPLE, FEATURES, LEAST, SURE = 3000, 3000, 4, 4.0
+ROUNDS, RATE, SHRINK, START = 300, 0.1, 0.05, -6.0
+#: Lengths of word beginnings; words remembered by a worker.
+STEMS, REMEMBERED = (3, 7), 500_000
 SENTENCE, WORD = re.compile(r"[^.!?\n]+"), re.compile(r"[^\W\d_]+")
 
 
@@ -35,67 +38,85 @@ def held_out(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def parts(word: str) -> list[str]:
+    """Features of a word: itself, and its beginnings (marked by a hyphen), which inflected forms share."""
+    return [word, *(word[:n] + "-" for n in range(STEMS[0], min(len(word), STEMS[1]) + 1))]
+
+
 class Model:
-    """Word weights and the bias of a sentence."""
+    """Weights of words and word beginnings, and the bias of a sentence."""
 
     def __init__(self, weights: dict[str, float], bias: float) -> None:
-        self.weights, self.bias = weights, bias
+        self.weights, self.bias, self.known = weights, bias, {}
+
+    def __getstate__(self):
+        return {"weights": self.weights, "bias": self.bias, "known": {}}
+
+    def features(self, word: str) -> tuple[str, ...]:
+        """Those features of a word that have a weight; remembered for words met before."""
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            found = self.known[word] = tuple(x for x in parts(word) if x in self.weights)
+        return found
+
+    def evidence(self, sentence: str) -> float | None:
+        """Log-odds of a lower-cased sentence; None if nothing in it is known."""
+        known, found = self.known, set()
+        for w in WORD.findall(sentence):
+            x = known.get(w)
+            if x is None:
+                x = self.features(w)
+            if x:
+                found.update(x)
+        return self.bias + sum(self.weights[x] for x in sorted(found)) if found else None
 
     def sentences(self, text: str) -> list[tuple[int, int, float]]:
         """(start, end, probability) of each sentence, in code points."""
-        out = []
-        for m in SENTENCE.finditer(text):
-            if known := {w for w in WORD.findall(m[0].lower()) if w in self.weights}:
-                z = self.bias + sum(self.weights[w] for w in sorted(known))
-            else:
-                z = self.bias
-            out.append((m.start(), m.end(), float(1 / (1 + np.exp(-z)))))
-        return out
-
-    def clean(self) -> float:
-        """Logarithm of the probability that a sentence without known words is clean."""
-        return float(-np.log1p(np.exp(self.bias)))
+        found = ((m, self.evidence(m[0].lower())) for m in SENTENCE.finditer(text))
+        return [(m.start(), m.end(), float(1 / (1 + np.exp(-(self.bias if z is None else z))))) for m, z in found]
 
     def score(self, text: str) -> float:
         """Noisy-or over the sentences."""
-        weights, bias, log_clean, plain = self.weights, self.bias, 0.0, 0
-        low = text.lower()
-        for s in SENTENCE.findall(low):
-            known = {w for w in WORD.findall(s) if w in weights}
-            if known:
-                log_clean -= float(np.logaddexp(0.0, bias + sum(weights[w] for w in sorted(known))))
-            else:
+        if not self.weights:
+            return 0.0
+        log_clean, plain = 0.0, 0
+        for s in SENTENCE.findall(text.lower()):
+            z = self.evidence(s)
+            if z is None:
                 plain += 1
-        return float(-np.expm1(log_clean + plain * self.clean())) if weights else 0.0
+            else:
+                log_clean += float(np.logaddexp(0.0, z))
+        return float(-np.expm1(-log_clean - plain * float(np.logaddexp(0.0, self.bias))))
 
 
-def train(texts: list[str], labels: list[int], features: int = FEATURES, least: int = LEAST) -> Model:
-    """Fit by full-batch Adam on the log-likelihood of the document labels, with an L1 pull on the weights."""
+def train(texts: list[str], labels: list[int], features: int = FEATURES, least: int = LEAST, gap: float = SURE) -> Model:
+    """Fit by full-batch Adam on the log-likelihood of the document labels, with an L2 pull on the weights."""
     y = np.array(labels, float)
     if len(y) == 0 or y.min() == y.max():
         return Model({}, START)
     split = [[set(WORD.findall(s)) for s in SENTENCE.findall((t or "").lower())] for t in texts]
-    inside = [Counter(w for w in set().union(*s)) if s else Counter() for s in split]
     seen = [Counter(), Counter()]
-    for c, label in zip(inside, labels, strict=True):
-        seen[int(label)].update(c)
+    for sentences, label in zip(split, labels, strict=True):
+        seen[int(label)].update({x for w in set().union(*sentences) for x in parts(w)})
     n1, n0 = y.sum(), (1 - y).sum()
-    common = [w for w in seen[1] if seen[1][w] + seen[0][w] >= least]
-
-    def gap(w):  # standardised difference of the shares of documents that hold the word
-        p1, p0 = seen[1][w] / n1, seen[0][w] / n0
-        p = (seen[1][w] + seen[0][w]) / (n1 + n0)
-        return abs(p1 - p0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
-
-    names = sorted(sorted(common), key=gap, reverse=True)[:features]
-    number = {w: i for i, w in enumerate(names)}
+    excess = {}
+    for x, n in seen[1].items():
+        all_ = n + seen[0][x]
+        p = all_ / (n1 + n0)
+        z = (n / n1 - seen[0][x] / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
+        if all_ >= least and z >= gap:  # standardised difference of the shares of documents that hold the feature
+            excess[x] = z
+    names = sorted(sorted(excess), key=excess.get, reverse=True)[:features]
+    number = {x: i for i, x in enumerate(names)}
     rows, cols, doc = [], [], []
     plain = np.zeros(len(y))  # sentences of a document without features, as many alike
     for d, sentences in enumerate(split):
         for s in sentences:
-            if known := [number[w] for w in s if w in number]:
+            if known := {number[x] for w in s for x in parts(w) if x in number}:
                 rows += [len(doc)] * len(known)
-                cols += known
+                cols += sorted(known)
                 doc.append(d)
             else:
                 plain[d] += 1
@@ -104,19 +125,16 @@ def train(texts: list[str], labels: list[int], features: int = FEATURES, least:
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for step in range(1, ROUNDS + 1):
         z = b + np.bincount(rows, w[cols], len(doc))
-        p = 1 / (1 + np.exp(-z))
-        p_plain = 1 / (1 + np.exp(-b))
+        p, p_plain = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-b))
         clean = np.bincount(doc, np.logaddexp(0, z), len(y)) + plain * np.logaddexp(0, b)  # -log P(no sentence)
         clean = np.maximum(clean, 1e-9)
-        # d(-log likelihood) / d clean
-        slope = (1 - y) - y * np.exp(-clean) / -np.expm1(-clean)
+        slope = (1 - y) - y * np.exp(-clean) / -np.expm1(-clean)  # of -log likelihood by clean
         by_sentence = slope[doc] * p
-        grad = np.append(np.bincount(cols, by_sentence[rows], len(names)), by_sentence.sum() + (slope * plain).sum() * p_plain) / len(y)
+        grad = np.append(np.bincount(cols, by_sentence[rows], len(names)) + SHRINK * w, by_sentence.sum() + (slope * plain).sum() * p_plain) / len(y)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
-        w = np.sign(w) * np.maximum(0, np.abs(w) - RATE * SHRINK * 10)
-    return Model({x: float(w[i]) for x, i in number.items() if w[i]}, float(b))
+    return Model({x: float(w[i]) for x, i in number.items()}, float(b))
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Model:
