@@ -8,22 +8,33 @@ from pyspark.sql import functions as F
 from palisade.operators.relational import POS, select_first
 
 
+def last_position(table: DataFrame) -> int:
+    found = table.agg(F.max(POS)).first()[0]
+    return -1 if found is None else found
+
+
+def first_position(table: DataFrame, column: str, value: int) -> int | None:
+    found = select_first(table, column, value).select(POS).first()
+    return found and found[0]
+
+
 def insert(table: DataFrame, rows: list[tuple]) -> DataFrame:
     """table with rows appended; each has a value for every column but pos, and may have more, which are ignored. New
-    positions follow the largest one."""
+    positions follow the largest one. That one is looked up at once, as is the position to delete or update below: a
+    plan that held the look-up would double with every change."""
     columns = [f for f in table.schema if f.name != POS]
     if any(len(r) < len(columns) for r in rows):
         raise ValueError(f"a row needs {len(columns)} values")
-    spark, schema = table.sparkSession, ", ".join(["_i long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in columns)])
-    new = spark.createDataFrame([(i, *r[: len(columns)]) for i, r in enumerate(rows)], schema)
-    last = table.agg(F.coalesce(F.max(POS), F.lit(-1)).alias("_last"))
-    placed = new.join(F.broadcast(last)).withColumn(POS, F.col("_last") + 1 + F.col("_i"))  # one row
-    return table.unionByName(placed.select(table.columns))
+    schema = ", ".join(["pos long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in columns)])
+    start = last_position(table) + 1
+    new = table.sparkSession.createDataFrame([(start + i, *r[: len(columns)]) for i, r in enumerate(rows)], schema)
+    return table.unionByName(new)
 
 
 def delete_first(table: DataFrame, column: str, value: int) -> DataFrame:
     """Without the first row that has the value; the same rows if none has it."""
-    return delete_at(table, select_first(table, column, value))
+    hit = first_position(table, column, value)
+    return table if hit is None else table.filter(F.col(POS) != hit)
 
 
 def delete_at(table: DataFrame, at: DataFrame) -> DataFrame:
@@ -33,10 +44,11 @@ def delete_at(table: DataFrame, at: DataFrame) -> DataFrame:
 
 def update_first(table: DataFrame, column: str, old: int, new: int) -> DataFrame:
     """The first row that has the value `old` gets `new`."""
-    hit = select_first(table, column, old).select(POS, F.lit(True).alias("_hit"))  # at most one row
-    joined = table.join(F.broadcast(hit), POS, "left")
+    hit = first_position(table, column, old)
+    if hit is None:
+        return table
     kind = table.schema[column].dataType
-    return joined.withColumn(column, F.when(F.col("_hit"), F.lit(new).cast(kind)).otherwise(F.col(column))).select(table.columns)
+    return table.withColumn(column, F.when(F.col(POS) == hit, F.lit(new).cast(kind)).otherwise(F.col(column)))
 
 
 def replay(table: DataFrame, column: str, writes: DataFrame) -> DataFrame:

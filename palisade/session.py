@@ -217,10 +217,10 @@ class Session:
 
     # -- changes
 
-    def _store(self, table: Table, rows: DataFrame) -> None:
+    def _store(self, table: Table, rows: DataFrame, written: bool = False) -> None:
         if table.layout:
             rows = rows.withColumn(layout.PART, partition_of(F.col(table.layout.column), list(table.layout.pivots)))
-        if table.version % CHANGES == CHANGES - 1:
+        if written or table.version % CHANGES == CHANGES - 1:
             path = workspace(self.spark, "version")
             rows.write.parquet(path)
             rows = self.spark.read.parquet(path)
@@ -241,7 +241,7 @@ class Session:
 
     def _delete_positions(self, _, name, positions):
         table = self.catalog.table(name) if name in self.catalog.tables else self.catalog.column(name)[0]
-        self._store(table, dml.delete_at(self._plain(table), self._get(positions, Positions).rows))
+        self._store(table, dml.delete_at(self._plain(table), self._get(positions, Positions).rows), written=True)
 
     def _update(self, _, name, old, new):
         table, column = self.catalog.column(name)
