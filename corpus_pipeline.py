@@ -9,14 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm import mixing, packing, quality, secrets, simhash
-from palisade.llm.common import shared_dir, table, utf8_size
+from palisade.llm.common import shared_dir, table, unused, utf8_size
 from palisade.llm.queries_mixing import WEIGHTS
 from palisade.llm.queries_packing import RANKS, TOKENIZER
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor a certified cutoff rejects."""
-    return quality.judge(docs, table(spark, sf_dir, "labels")).filter("_q.kept").select(docs.columns)
+    name = unused(docs.columns, "_quality")
+    return quality.judge(docs, table(spark, sf_dir, "labels"), name=name).filter(F.col(f"{name}.kept")).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +27,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret replaced by a mark and n_chars counted anew where one was."""
-    found = secrets.find(docs, name="_secrets")
-    hit = F.size("_secrets") > 0
-    clean = found.withColumn("text", secrets.redacted(F.col("text"), F.col("_secrets")))
+    name = unused(docs.columns, "_secrets")
+    found = secrets.find(docs, name=name)
+    hit = F.size(name) > 0
+    clean = found.withColumn("text", secrets.redacted(F.col("text"), F.col(name)))
     return clean.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(docs.columns)
 
 

@@ -56,3 +56,10 @@ def words(text: Column) -> Column:
 
 def utf8_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+
+
+def unused(columns: list[str], name: str) -> str:
+    """name, lengthened until no column has it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name

@@ -12,7 +12,7 @@ No row is dropped or repeated: as a source runs out, its later slots stay empty
 Defined cases: a null source, or one without a weight of its own, belongs to the class "*", which takes its own weight;
 a null or negative size counts as 0. Rows of a source are ordered by an md5 bucket of the id and then by id and size, so
 repeated rows follow one another. Rows longer than a block leave later blocks of their source without a row that begins
-there. Other columns pass through; names that begin with an underscore and `mix` are replaced.
+there. Other columns pass through; one named `mix` is replaced by `mix` and kept by `in_order`.
 """
 
 from __future__ import annotations
@@ -51,16 +51,16 @@ def _bucket(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 7), 16, 10).cast("long") % BUCKETS
 
 
-def mix(docs: DataFrame, weights: dict[str, int], size: Column, key: str = "doc_id", source: str = "source", block: int = BLOCK) -> DataFrame:
-    """docs with the struct `mix`: class, block, release, deadline and slot (long); sorting by slot, class, block and
-    start (the size of the source's rows before) gives the mixed order."""
+def _mixed(docs: DataFrame, weights: dict[str, int], size: Column, key: str, source: str, block: int) -> DataFrame:
+    """(_row, mix): the row of docs as a struct, and its place."""
     own = [c for c in weights if c != "*"]
     given = F.when(F.col(source).isin(own), F.col(source)).otherwise("*")
-    docs = docs.withColumns({"_class": given, "_bucket": _bucket(F.col(key)), "_size": F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)).cast("long")})
+    whole = F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)).cast("long")
+    docs = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), F.col(key).alias("_id"), given.alias("_class"), _bucket(F.col(key)).alias("_bucket"), whole.alias("_size"))
     sums = materialise(docs.groupBy("_class", "_bucket").agg(F.sum("_size").alias("_sum")), "mix-sums")
     earlier = Window.partitionBy("_class").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("_class", "_bucket", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
-    inner = Window.partitionBy("_class", "_bucket").orderBy(key, "_size").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("_class", "_bucket").orderBy("_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
     rows = docs.withColumn("_start", F.coalesce(F.sum("_size").over(inner), F.lit(0)))
     rows = rows.join(F.broadcast(sums), ["_class", "_bucket"]).withColumn("_start", F.col("_start") + F.col("_before"))
     rows = rows.withColumn("_block", F.floor(F.col("_start") / block))
@@ -76,13 +76,19 @@ def mix(docs: DataFrame, weights: dict[str, int], size: Column, key: str = "doc_
         F.expr(f"_block div _w * {total} + at").alias("slot"),
         F.col("_start").alias("start"),
     )
-    return rows.withColumn("mix", mixed).drop("_class", "_bucket", "_size", "_start", "_before", "_block", "_w", "_k", "at")
+    return rows.select("_row", mixed.alias("mix"))
+
+
+def mix(docs: DataFrame, weights: dict[str, int], size: Column, key: str = "doc_id", source: str = "source", block: int = BLOCK) -> DataFrame:
+    """docs with the struct `mix`: class, block, release, deadline, slot and start (long); sorting by slot and start (the
+    size of the source's rows before) gives the mixed order."""
+    columns = [c for c in docs.columns if c != "mix"]
+    return _mixed(docs, weights, size, key, source, block).select(*(F.col(f"_row.`{c}`") for c in columns), "mix")
 
 
 def in_order(docs: DataFrame, weights: dict[str, int], size: Column, key: str = "doc_id", source: str = "source", block: int = BLOCK, per_part: int = 256) -> DataFrame:
     """docs without change, dealt to partitions in the mixed order and sorted there. Written as files, each holds the
-    next stretch of per_part slots, so every file has the target weights."""
-    columns = docs.columns
-    rows = mix(docs.select(F.struct(*columns).alias("_row"), F.col(key).alias("_id"), F.col(source).alias("_from"), size.alias("_bytes")), weights, F.col("_bytes"), "_id", "_from", block)
-    rows = rows.repartitionByRange(F.expr(f"mix.slot div {per_part}")).sortWithinPartitions("mix.slot", "mix.class", "mix.block", "mix.start")
+    next stretch of the schedule, in multiples of per_part slots, so every file has the target weights."""
+    rows = _mixed(docs, weights, size, key, source, block)
+    rows = rows.repartitionByRange(F.expr(f"mix.slot div {per_part}")).sortWithinPartitions("mix.slot", "mix.start")
     return rows.select("_row.*")

@@ -172,17 +172,18 @@ def search(vectors: DataFrame, wanted: int = 5, is_query: str = "vec_id % 50 = 0
     right = posts.withColumn("part", hashed % at(parts)).withColumn("turn", every(turns))
 
     def nearest(qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
+        parts = [(np.empty(0, object), np.empty(0, object), np.empty(0))]
         if qs.empty or vs.empty:
-            return pd.DataFrame({"q": [], "h": [], "score": []})
-        a, b, out = _matrix(qs["x"]), _matrix(vs["x"]), []
-        norms, hs = np.linalg.norm(b, axis=1), vs["h"].to_numpy()
+            return pd.DataFrame(dict(zip(("q", "h", "score"), parts[0], strict=True)))
+        a, b = _matrix(qs["x"]), _matrix(vs["x"])
+        norms, asked_by, hs = np.linalg.norm(b, axis=1), qs["h"].to_numpy(object), vs["h"].to_numpy(object)
         for i in range(0, len(a), 256):
             s = (a[i : i + 256] @ b.T) / (np.linalg.norm(a[i : i + 256], axis=1)[:, None] * norms)
             top = np.argpartition(-s, min(keep, s.shape[1]) - 1, axis=1)[:, :keep]
             cut = np.take_along_axis(s, top, 1).min(axis=1)
             r, c = np.nonzero(s >= cut[:, None])  # with ties
-            out.append(pd.DataFrame({"q": qs["h"].to_numpy()[i + r], "h": hs[c], "score": s[r, c]}))
-        return pd.concat(out)
+            parts.append((asked_by[i + r], hs[c], s[r, c]))
+        return pd.DataFrame({n: np.concatenate(x) for n, x in zip(("q", "h", "score"), zip(*parts, strict=True), strict=True)})
 
     key_of = ["list", "part", "turn"]
     pairs = left.groupBy(*key_of).cogroup(right.groupBy(*key_of)).applyInPandas(nearest, "q string, h string, score double")

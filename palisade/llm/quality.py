@@ -10,7 +10,8 @@ certified cutoffs. The tightest certified cutoff applies; without one, the signa
 Defined cases: a null text counts as empty; an empty text has no words and fails the base rules; a null or rare
 stratum (beyond the `max_strata` largest by labelled good documents) shares the stratum null; labels that repeat count
 once by their largest quality, null labels not at all; without labels only the base rules reject. Repeated rows and
-ties get equal verdicts. Other columns pass through; the figures are held in one struct, so names can't clash.
+ties get equal verdicts. Other columns pass through; the figures are held in one
+struct, whose name can be chosen and replaces a column of that name.
 """
 
 from __future__ import annotations
@@ -117,17 +118,18 @@ def thresholds(figured: DataFrame, labels: DataFrame, q: str = "_q", key: str =
     return counts.select("_s", *(x.alias(f"_cut_{s}") for s, x in cut.items()))
 
 
-def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", narrow: bool = False, **how) -> DataFrame:
-    """docs with the struct _q (figures, base_failed, kept). narrow: only key and stratum are carried along.
+def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", narrow: bool = False, name: str = "_q", **how) -> DataFrame:
+    """docs with a struct (figures, base_failed, kept) in the column `name`. narrow: only key and stratum are carried along.
 
     The figures are computed once and written to the shared folder, as both the thresholds and the verdicts read them.
     """
-    docs = materialise(docs.select(*([key, stratum] if narrow else docs.columns), figures(F.col(text)).alias("_q")), "quality")
-    cuts = thresholds(docs, labels, "_q", key, stratum, **how).collect()  # at most max_strata rows and one for null
+    carried = [key, stratum] if narrow else [c for c in docs.columns if c != name]
+    docs = materialise(docs.select(*carried, figures(F.col(text)).alias(name)), "quality")
+    cuts = thresholds(docs, labels, name, key, stratum, **how).collect()  # at most max_strata rows and one for null
     lits = lambda r: F.struct(*(F.lit(r[f"_cut_{s}"] if r else None).cast("long").alias(s) for s in SIGNALS))
     cutoffs = lits(next((r for r in cuts if r["_s"] is None), None))
     if own := [x for r in cuts if r["_s"] is not None for x in (F.lit(r["_s"]), lits(r))]:
         cutoffs = F.coalesce(F.try_element_at(F.create_map(*own), F.col(stratum)), cutoffs)
-    passed = lambda c: ~base_failed("_q") & reduce(and_, (F.coalesce(_signal(s, "_q") <= c[s], F.lit(True)) for s in SIGNALS))
-    kept = F.when(base_failed("_q"), F.lit(False)).otherwise(let(cutoffs, passed))
-    return docs.withColumn("_q", F.struct("_q.*", base_failed("_q").alias("base_failed"), kept.alias("kept")))
+    passed = lambda c: ~base_failed(name) & reduce(and_, (F.coalesce(_signal(s, name) <= c[s], F.lit(True)) for s in SIGNALS))
+    kept = F.when(base_failed(name), F.lit(False)).otherwise(let(cutoffs, passed))
+    return docs.withColumn(name, F.struct(f"{name}.*", base_failed(name).alias("base_failed"), kept.alias("kept")))

@@ -127,8 +127,8 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """docs with one row of each component: that with the smallest id, once if it repeats. A component of which all
     ids are null keeps one row as well, any of them (their fingerprints differ by a few bits at most)."""
     marked, ids = _marked(docs, key, text, WIDTH, SEED)
-    kept = ids.filter("component_id IS NOT NULL").select(F.col("component_id").alias("_kept")).distinct()
-    out = docs.join(kept, docs[key] == kept["_kept"]).dropDuplicates(["_kept"]).drop("_kept")
-    nameless = docs.filter(F.col(key).isNull()).withColumn("_fp", _fp_udf(WIDTH, SEED)(F.col(text)))
-    nameless = nameless.join(ids.filter("component_id IS NULL").select(F.col("fp").alias("_fp"), F.col("root").alias("_root")), "_fp")
-    return out.unionByName(nameless.dropDuplicates(["_root"]).select(docs.columns))
+    kept = ids.filter("component_id IS NOT NULL").select(F.col("component_id").alias("_pl_kept")).distinct()
+    out = docs.join(kept, docs[key] == kept["_pl_kept"]).dropDuplicates(["_pl_kept"]).drop("_pl_kept")
+    nameless = docs.filter(F.col(key).isNull()).withColumn("_pl_fp", _fp_udf(WIDTH, SEED)(F.col(text)))
+    nameless = nameless.join(ids.filter("component_id IS NULL").select(F.col("fp").alias("_pl_fp"), F.col("root").alias("_pl_root")), "_pl_fp")
+    return out.unionByName(nameless.dropDuplicates(["_pl_root"]).select(docs.columns))

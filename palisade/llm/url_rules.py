@@ -103,10 +103,10 @@ def _candidates(sets: DataFrame, rules: DataFrame, items: str) -> DataFrame:
 def judge(urls: DataFrame, rules: DataFrame, url: str = "url", key: str = "page_id", given=tuple(RULES)) -> DataFrame:
     """urls with the struct _u (host, path, rule, verdict)."""
     found = urls.withColumn("_u", F.struct(host(F.col(url)).alias("host"), path(F.col(url)).alias("path")))
-    found = found.withColumn("_x", explicit(F.col("_u.host"), F.col("_u.path"), given))
-    open_ = found.filter("_x IS NULL").select(F.col(key).alias("_k"), F.col(url).alias("_l"), tokens(F.col(url)).alias("_items"))
-    hits = _candidates(open_, rules.select(F.col("items").alias("_rule"), "anchor"), "_items").select("_k", "_l").distinct().withColumn("_hit", F.lit(True))
-    same = reduce(lambda a, b: a & b, (found[key].eqNullSafe(hits["_k"]), found[url].eqNullSafe(hits["_l"])))
-    verdict = F.coalesce(F.col("_x.action"), F.when(F.col("_hit"), "block").otherwise("allow"))
-    out = found.join(hits, same, "left").withColumn("_u", F.struct("_u.*", F.col("_x.rule").alias("rule"), verdict.alias("verdict")))
-    return out.drop("_x", "_k", "_l", "_hit")
+    found = found.withColumn("_pl_x", explicit(F.col("_u.host"), F.col("_u.path"), given))
+    open_ = found.filter("_pl_x IS NULL").select(F.col(key).alias("_pl_k"), F.col(url).alias("_pl_l"), tokens(F.col(url)).alias("_items"))
+    hits = _candidates(open_, rules.select(F.col("items").alias("_rule"), "anchor"), "_items").select("_pl_k", "_pl_l").distinct().withColumn("_pl_hit", F.lit(True))
+    same = reduce(lambda a, b: a & b, (found[key].eqNullSafe(hits["_pl_k"]), found[url].eqNullSafe(hits["_pl_l"])))
+    verdict = F.coalesce(F.col("_pl_x.action"), F.when(F.col("_pl_hit"), "block").otherwise("allow"))
+    out = found.join(hits, same, "left").withColumn("_u", F.struct("_u.*", F.col("_pl_x.rule").alias("rule"), verdict.alias("verdict")))
+    return out.drop("_pl_x", "_pl_k", "_pl_l", "_pl_hit")
