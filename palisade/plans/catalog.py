@@ -11,6 +11,7 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from palisade.operators.layout import PART, Layout
 from palisade.operators.relational import POS
+from palisade.sources import binary
 
 
 class CommandError(ValueError):
@@ -120,6 +121,15 @@ class Catalog:
             out.tables[t.name] = t
         return out
 
+    @staticmethod
+    def open_binary(spark: SparkSession, folder: str) -> Catalog:
+        """A folder with a dbinfo file and one int32 file per column; nothing is read until a table is used."""
+        out, (db, tables) = Catalog(spark), binary.load(spark, folder)
+        out.create_db(db)
+        for name, rows in tables.items():
+            out.register(name, rows)
+        return out
+
 
 def with_positions(rows: DataFrame, key: str) -> DataFrame:
     """rows with pos from a unique key that orders them."""

@@ -9,6 +9,8 @@ from palisade.functions.comparators import EQUAL, GREATER, LESS, chain
 from palisade.functions.lookup import partition_of, place
 from palisade.operators import dml, layout, workload
 from palisade.operators.layout import Layout
+from palisade.plans.catalog import Catalog
+from palisade.session import Session
 from palisade.sources import binary, csvload, workloads
 from palisade.streaming import histograms
 
@@ -139,6 +141,8 @@ def test_binary_folder(spark, tmp_path):
     binary.save(str(tmp_path), "foo", {"foo.tb1": a})
     db, tables = binary.load(spark, str(tmp_path))
     got = tables["foo.tb1"].orderBy("pos").toPandas()
+    opened = Session(spark, catalog=Catalog.open_binary(spark, str(tmp_path)))
+    assert [r[0] for r in opened.run_script("p=s(foo.tb1.x,0,10)\nf=fetch(foo.tb1.y,p)\ntuple(f)")[0].collect()] == [1, 5]
     assert db == "foo" and got["pos"].tolist() == [0, 1, 2, 3, 4] and got["x"].tolist() == a["x"].tolist() and got["y"].tolist() == a["y"].tolist()
 
 
