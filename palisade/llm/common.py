@@ -20,7 +20,8 @@ def by_value(module: str) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: below spark.checkpoint.dir, or below one set here if none is."""
+    """A folder of this application that driver and executors share: below spark.checkpoint.dir, or below one set here
+    if none is. It is deleted when the application ends; what is to stay is written to a folder of the caller's."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -29,7 +30,10 @@ def shared_dir(spark: SparkSession) -> str:
         else:
             base = "file://" + tempfile.mkdtemp(prefix="palisade-")
             spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/palisade"
+    folder = f"{base.rstrip('/')}/palisade-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
