@@ -21,7 +21,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of fingerprints that differ in at most 2 bits."""
+    """The document with the smallest id of each component of near-duplicates: fingerprints that differ in at most 2
+    bits, or sets of 5-word shingles that are similar by 0.8 or more."""
     return simhash.deduplicated(docs)
 
 

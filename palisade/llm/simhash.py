@@ -9,6 +9,13 @@ exactly if they differ in at most 2 bits, and each is linked to the smallest fin
 from alternating large-star and small-star steps (Kiveris et al., 2014) over the distributed links, written to the
 shared folder between rounds.
 
+Texts that are alike but further apart than that are found by `similar_links`, which `deduplicated` adds: WIDE-bit
+fingerprints of the set of 5-word shingles estimate similarity closely. A key of a table is made of log2(classes) + 4 of
+their bits, so chance meetings grow no faster than the input; each key's members are compared with three of them, drawn
+by hashes that differ between the TABLES tables, which is all pairs for up to 3 members and links the members of crowded
+keys through common centres. Candidates are verified by the Hamming distance that belongs to the similarity. This search
+is probabilistic (tests measure its recall); the one within 2 bits stays exact.
+
 Defined cases: a null text counts as empty; texts without words have fingerprint zero and are linked like any other;
 with fewer words than a shingle has, the whole sequence is the one shingle. Ties and repeated rows share a component,
 whose id is the smallest id in it; rows with a null id have a fingerprint and take the component of their class, null
@@ -17,6 +24,7 @@ if all its ids are null. Only id and text are used, so other columns can't clash
 
 from __future__ import annotations
 
+import math
 from itertools import combinations, repeat
 
 import numpy as np
@@ -30,26 +38,61 @@ from palisade.llm.common import by_value, materialise
 by_value(__name__)
 WIDTH, SEED, DISTANCE, BLOCKS, BUCKET = 3, 42, 2, 4, 32
 CHUNK = 1 << 16
+WIDE, TABLES, SIMILAR, WIDE_WIDTH = 1024, 80, 0.8, 5
+#: Bits of each table's keys, drawn once for all.
+DRAWN = np.random.default_rng(42).permuted(np.tile(np.arange(WIDE), (TABLES, 1)), axis=1)[:, :40]
 
 
-def fingerprint(text: str | None, width: int = WIDTH, seed: int = SEED) -> int:
-    """Unsigned 64-bit SimHash; a bit is set if more than half of the shingle hashes, repeats included, set it."""
+def shingle_hashes(text: str | None, width: int, seed: int = SEED):
+    """Arrays of hashes of the shingles of a text, at most CHUNK each; none if it has no words."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z and ASCII white space
     if not found:
-        return 0
+        return
     joined = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(found) - width + 1)
     firsts, lasts = starts[:n].tolist(), ends[min(width, len(found)) - 1 :].tolist()
-    counts = np.zeros(64, np.int64)
     for at in range(0, n, CHUNK):
         shingles = [joined[a:b] for a, b in zip(firsts[at : at + CHUNK], lasts[at : at + CHUNK], strict=True)]
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, len(shingles))
-        counts += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        yield np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, len(shingles))
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How often each bit is set, from the highest; hashes: rows of 64-bit lanes."""
+    lanes = hashes.astype(">u8").reshape(len(hashes), -1).view(np.uint8)
+    total = np.zeros(lanes.shape[1] * 8, np.int64)
+    for at in range(0, len(lanes), 255 * 32):  # sums of up to 255 bits fit a byte
+        bits = np.unpackbits(lanes[at : at + 255 * 32], axis=1)
+        for i in range(0, len(bits), 255):
+            total += np.add.reduce(bits[i : i + 255], axis=0, dtype=np.uint8)
+    return total
+
+
+def fingerprint(text: str | None, width: int = WIDTH, seed: int = SEED) -> int:
+    """Unsigned 64-bit SimHash; a bit is set if more than half of the shingle hashes, repeats included, set it."""
+    counts, n = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(text, width, seed):
+        counts += bit_counts(hashes)
+        n += len(hashes)
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
+def wide_fingerprint(text: str | None, width: int = WIDE_WIDTH) -> np.ndarray | None:
+    """WIDE bits as signed longs, over the set of shingles; None without words."""
+    parts = [*shingle_hashes(text, width)]
+    if not parts:
+        return None
+    hashes, counts = np.unique(np.concatenate(parts)), np.zeros(WIDE, np.int64)
+    steps = np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(hashes), 8192):
+        x = hashes[at : at + 8192, None] + steps  # wraps around; then each lane is mixed (splitmix64)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        counts += bit_counts(x ^ (x >> np.uint64(31)))
+    return np.packbits(2 * counts > len(hashes)).view(">u8").astype(np.int64)
+
+
 def _fp_udf(width: int, seed: int):
     @F.pandas_udf("long")
     def fp(texts: pd.Series) -> pd.Series:
@@ -58,6 +101,14 @@ def _fp_udf(width: int, seed: int):
     return fp
 
 
+def _wide_udf():
+    @F.pandas_udf("array<long>")
+    def wide(texts: pd.Series) -> pd.Series:
+        return pd.Series([wide_fingerprint(t) for t in texts], dtype=object)
+
+    return wide
+
+
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, seed: int = SEED) -> DataFrame:
     """(key, fp): fp is the fingerprint as a signed long."""
 
@@ -88,6 +139,34 @@ def links(classes: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, bu
     return materialise(pairs.unionByName(starred).distinct(), "simhash-links")
 
 
+def allowed(similarity: float) -> int:
+    """Bits of WIDE in which sets of that Jaccard similarity differ on average."""
+    return round(WIDE * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def similar_links(classes: DataFrame, similarity: float = SIMILAR) -> DataFrame:
+    """Links (a, b) between the fp of classes (fp, wide) whose wide fingerprints are as close as the similarity asks."""
+    classes = classes.filter("wide IS NOT NULL")
+    bits = min(40, max(8, math.ceil(math.log2(max(2, classes.count()))) + 4))
+
+    @F.pandas_udf("array<long>")
+    def keys(wide: pd.Series) -> pd.Series:
+        powers = 1 << np.arange(bits, dtype=np.int64)
+        return pd.Series([np.unpackbits(np.asarray(w, np.int64).astype(">i8").view(np.uint8))[DRAWN[:, :bits]].astype(np.int64) @ powers for w in wide])
+
+    posts = classes.select("fp", F.posexplode(keys("wide")).alias("t", "key"))
+    posts = posts.select("fp", (F.col("t").cast("long") * (1 << 40) + F.col("key")).alias("k"))
+    by = lambda n: F.struct(F.xxhash64("fp", "k", F.lit(n)).alias("h"), "fp")
+    centres = posts.groupBy("k").agg(F.count("*").alias("n"), F.min(by(0)).alias("c0"), F.max(by(0)).alias("c1"), F.min(by(1)).alias("c2")).filter("n > 1")
+    centres = centres.select("k", F.array("c0.fp", "c1.fp", "c2.fp").alias("c"))
+    met = posts.join(centres, "k").select("fp", F.explode("c").alias("other")).filter("fp <> other")
+    met = met.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
+    wide = lambda n: classes.select(F.col("fp").alias(n), F.col("wide").alias(f"wide_{n}"))
+    both = met.join(wide("a"), "a").join(wide("b"), "b")
+    apart = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return materialise(both.filter(apart <= allowed(similarity)).select("a", "b"), "simhash-similar")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (a, b): root is the smallest node that can be reached."""
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
@@ -106,11 +185,19 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def _marked(docs: DataFrame, key: str, text: str, width: int, seed: int) -> tuple[DataFrame, DataFrame]:
+def _marked(docs: DataFrame, key: str, text: str, width: int, seed: int, similarity: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(key, fp) for each document, and (fp, root, component_id) for each fingerprint."""
-    marked = materialise(fingerprints(docs, key, text, width, seed), "simhash")
-    classes = materialise(marked.groupBy("fp").agg(F.min(key).alias("first")), "simhash-classes")
-    roots = components(links(classes.select("fp")))
+    if similarity is None:
+        marked = materialise(fingerprints(docs, key, text, width, seed), "simhash")
+        classes = marked.groupBy("fp").agg(F.min(key).alias("first"))
+    else:
+        marked = materialise(docs.select(key, _fp_udf(width, seed)(F.col(text)).alias("fp"), _wide_udf()(F.col(text)).alias("wide")), "simhash")
+        classes = marked.groupBy("fp").agg(F.min(key).alias("first"), F.min("wide").alias("wide"))
+    classes = materialise(classes, "simhash-classes")
+    found = links(classes.select("fp"))
+    if similarity is not None:
+        found = found.unionByName(similar_links(classes, similarity))
+    roots = components(found)
     named = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = materialise(named, "simhash-named")
     ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -123,10 +210,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return marked.join(ids, "fp").select(key, "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each component: that with the smallest id, once if it repeats. A component of which all
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float | None = SIMILAR) -> DataFrame:
+    """docs with one row of each component: that with the smallest id, once if it repeats. With a similarity, links by
+    it count as well as those within 2 bits. A component of which all
     ids are null keeps one row as well, any of them (their fingerprints differ by a few bits at most)."""
-    marked, ids = _marked(docs, key, text, WIDTH, SEED)
+    marked, ids = _marked(docs, key, text, WIDTH, SEED, similarity)
     kept = ids.filter("component_id IS NOT NULL").select(F.col("component_id").alias("_pl_kept")).distinct()
     out = docs.join(kept, docs[key] == kept["_pl_kept"]).dropDuplicates(["_pl_kept"]).drop("_pl_kept")
     nameless = docs.filter(F.col(key).isNull()).withColumn("_pl_fp", _fp_udf(WIDTH, SEED)(F.col(text)))

@@ -86,3 +86,43 @@ def test_odd_rows(odd, empty):
     ids = sorted(r["doc_id"] for r in kept.filter("doc_id IS NOT NULL").collect())
     assert kept.columns == odd.columns and len(ids) == len(set(ids)) and {1, 4, 7, 8, -9} <= set(ids) and not {2, 3, 5} & set(ids)
     assert kept.filter(F.col("doc_id").isNull()).count() == 1
+
+
+def test_similar_texts(spark):
+    """Copies with a few words changed meet; texts that share a third of their shingles stay apart."""
+    rng = random.Random(5)
+    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows, groups = [], []
+    for g in range(60):
+        base = new(300)
+        ids = []
+        for _ in range(4):
+            copy = list(base)
+            for at in rng.sample(range(300), 2):
+                copy[at] = new(1)[0]
+            ids.append(len(rows))
+            rows.append((len(rows), " ".join(copy)))
+        groups.append(ids)
+        rows.append((len(rows), " ".join(base[:150] + new(150))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r["doc_id"] for r in simhash.deduplicated(docs).collect()}
+    assert left >= {i for i in range(len(rows)) if i % 5 in (0, 4)}
+    assert sum(i in left for ids in groups for i in ids[1:]) <= 5
+    assert simhash.deduplicated(docs, similarity=None).count() > len(left)
+
+
+def test_wide_fingerprints():
+    assert simhash.wide_fingerprint(" ") is None and simhash.wide_fingerprint(None) is None
+    for text in ("one", "a b c d e f", "x y z " * 40_000):
+        hashes = sorted({h for part in simhash.shingle_hashes(text, 5) for h in part.tolist()})
+        counts, mask = [0] * simhash.WIDE, (1 << 64) - 1
+        for h in hashes:
+            for lane in range(16):
+                x = (h + (lane + 1) * 0x9E3779B97F4A7C15) & mask
+                x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+                x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+                x ^= x >> 31
+                for b in range(64):
+                    counts[lane * 64 + b] += x >> 63 - b & 1
+        bits = "".join(str(int(2 * c > len(hashes))) for c in counts)
+        assert [v % (1 << 64) for v in simhash.wide_fingerprint(text).tolist()] == [int(bits[64 * i : 64 * i + 64], 2) for i in range(16)]
