@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palisade.functions.lookup import partition_of
 from palisade.operators.layout import Layout, equal_depth, equal_width
 
 POINT, RANGE, INSERT, UPDATE, DELETE = range(5)
@@ -41,23 +42,19 @@ def binned(table: DataFrame, column: str, work: DataFrame, bins: int) -> dict:
     """What the decision needs, at most bins x bins numbers: the bins' upper values, rows per bin, and how often each
     operation falls on each bin or pair of bins. Bins are the quantiles of the column."""
     edges = list(equal_depth(table, column, bins).pivots)
-    spot = lambda c: F.least(F.size(F.filter(F.array(*map(F.lit, edges)), lambda p: p < F.col(c))), F.lit(len(edges) - 1))
-    rows = table.groupBy(spot(column).alias("b")).count().collect()
-    pairs = work.groupBy("op", spot("num1").alias("a"), F.when(F.col("op").isin(RANGE, UPDATE), F.when(F.col("op") == RANGE, _last(edges)).otherwise(spot("num2"))).otherwise(spot("num1")).alias("b")).count().collect()
+    bin_of = lambda c: partition_of(c, edges)
+    rows = table.groupBy(bin_of(F.col(column)).alias("b")).count().collect()
+    other = F.when(F.col("op") == RANGE, F.col("num2") - 1).when(F.col("op") == UPDATE, F.col("num2")).otherwise(F.col("num1"))
+    pairs = work.withColumn("_other", other).groupBy("op", bin_of(F.col("num1")).alias("a"), bin_of(F.col("_other")).alias("b")).count().collect()
     out = {"edges": edges, "rows": np.zeros(len(edges)), **{op: np.zeros((len(edges), len(edges))) for op in range(5)}}
     for r in rows:
         out["rows"][r["b"]] = r["count"]
     for r in pairs:
-        if r["op"] in out and r["a"] <= r["b"] or r["op"] == UPDATE:
+        if r["op"] == UPDATE or r["op"] in out and r["a"] <= r["b"]:
             out[r["op"]][r["a"], r["b"]] = r["count"]
     return out
 
 
-def _last(edges: list[int]):
-    """Bin of the last value of a range."""
-    return F.least(F.size(F.filter(F.array(*map(F.lit, edges)), lambda p: p < F.col("num2") - 1)), F.lit(len(edges) - 1))
-
-
 def decide(b: dict, max_parts: int | None = None, read_weight: float = 1.0, write_weight: float = 1.0) -> tuple[list[int], float]:
     """(indices of the bins that end partitions, cost) with the least cost under this model, by dynamic programming:
 

@@ -126,7 +126,7 @@ _COLUMNS = {"orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice
 query("show_catalog", " UNION ALL ".join(f"SELECT 'db' AS db, '{t}' AS \"table\", (SELECT count(*) FROM {t}) AS length, unnest({c}) AS \"column\"" for t, c in _COLUMNS.items()))(script("show_db"))
 
 
-@query("create_and_insert", "SELECT * FROM (VALUES (0, 1, -11, 0, true)) t(pos, a, b, part_id, is_fence)")
+@query("create_and_insert", "SELECT CAST(pos AS BIGINT) AS pos, a, b, part_id, is_fence FROM (VALUES (0, 1, -11, 0, true)) t(pos, a, b, part_id, is_fence)")
 def create_and_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     fresh = Session(spark)
     return fresh.run_script('create(db,"d")\ncreate(tbl,"t",d,2)\ncreate(col,"a",d.t,unsorted)\ncreate(col,"b",d.t,sorted)\nrelational_insert(d.t,1,-11)\nshow_tbl(d.t)')[-1]
@@ -165,7 +165,7 @@ def replay_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- layouts
 
 query("partition_assign", f"SELECT * FROM {PARTED}")(parted)
-_INFO = f"""SELECT i AS part_id, p AS "pivot", count(pos) AS size FROM (VALUES {', '.join(f'({i}, {p})' for i, p in enumerate(PIVOTS.pivots))}) v(i, p) LEFT JOIN {PARTED} ON part_id = i GROUP BY i, p"""
+_INFO = f"""SELECT i AS part_id, CAST(p AS BIGINT) AS "pivot", count(pos) AS size FROM (VALUES {', '.join(f'({i}, {p})' for i, p in enumerate(PIVOTS.pivots))}) v(i, p) LEFT JOIN {PARTED} ON part_id = i GROUP BY i, p"""
 query("partition_sizes", f"SELECT part_id, count(*) AS size FROM {PARTED} GROUP BY part_id")(lambda s, d: layout.sizes(parted(s, d)))
 query("partition_offsets", f"SELECT part_id, CAST(sum(size) OVER (ORDER BY part_id) - 1 AS BIGINT) AS last FROM ({_INFO})")(lambda s, d: layout.info(parted(s, d), PIVOTS).select(PART, "last"))
 query("partition_info", f'SELECT part_id, "pivot", size FROM ({_INFO})')(lambda s, d: layout.info(parted(s, d), PIVOTS).select(PART, "pivot", "size"))
