@@ -28,11 +28,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret replaced by a mark and n_chars counted anew where one was."""
-    name = unused(docs.columns, "_secrets")
-    found = secrets.find(docs, name=name)
-    hit = F.size(name) > 0
-    clean = found.withColumn("text", secrets.redacted(F.col("text"), F.col(name)))
-    return clean.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(docs.columns)
+    name = unused(docs.columns, "_masked")
+    marked = docs.withColumn(name, secrets.masked(F.col("text")))
+    size = F.coalesce(F.length(name).cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
+    return marked.withColumns({"text": F.coalesce(name, "text"), "n_chars": size}).select(docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -188,15 +188,22 @@ def find(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, n
     return docs.withColumn(name, found(F.coalesce(F.col(text), F.lit(""))))
 
 
-def redacted(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
+def mask(text: str, found: list[tuple[int, int, int]], mark: str) -> str:
     """The text with every span, or what overlapping spans cover together, replaced by the mark."""
-    fill = F.aggregate(
-        found,
-        F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at")),
-        lambda s, x: F.struct(
-            F.when(x["start"] >= s["at"], F.concat(s["done"], F.substring(text, (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.lit(mark))).otherwise(s["done"]).alias("done"),
-            F.greatest(s["at"], x["end"]).alias("at"),
-        ),
-        lambda s: F.concat(s["done"], F.substring(text, (s["at"] + 1).cast("int"), F.lit(2147483647))),
-    )
-    return F.when(F.size(found) > 0, fill).otherwise(text)
+    out, at = [], 0
+    for start, _, end in found:
+        if start >= at:
+            out += [text[at:start], mark]
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+def masked(text: Column, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> Column:
+    """The masked text where there is something to mask, else null."""
+
+    @F.pandas_udf("string")
+    def clean(texts: pd.Series) -> pd.Series:
+        given = texts.tolist()
+        return pd.Series([mask(t, x, mark) if x else None for t, x in zip(given, spans(given, rules), strict=True)], dtype=object)
+
+    return clean(F.coalesce(text, F.lit("")))
