@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Bits of a comparison.
 LESS, GREATER, EQUAL = 1, 2, 4
 
 

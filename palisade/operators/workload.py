@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from palisade.functions.lookup import partition_of
 from palisade.operators.layout import Layout, equal_depth, equal_width
 
+#: Codes of operations; values for each bucket of a histogram, and the number of buckets.
 POINT, RANGE, INSERT, UPDATE, DELETE = range(5)
-#: Values for each bucket of a histogram, and the number of buckets.
 BUCKET, BUCKETS = 10_000, 100_000
 MAX_BINS = 1000
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from palisade.operators.workload import DELETE, INSERT, POINT, RANGE, UPDATE
 from palisade.sources.binary import read_bytes
 
-#: Files of a parsed workload: operation, then the file of num1 and that of num2.
+#: Files of a parsed workload, by operation that of num1 and that of num2.
 FILES = {POINT: ("pq_cost", None), RANGE: ("rq_cost_beg", "rq_cost_end"), INSERT: ("in_cost", None), UPDATE: ("up_cost_beg", "up_cost_end"), DELETE: ("de_cost", None)}
 SCHEMA = "seq long, op int, num1 int, num2 int"
 
@@ -77,7 +77,7 @@ def data(spark: SparkSession, rows: int, columns: int, kind: str = "uniform", do
     return base.select("pos", *(F.col("a").alias(n) for n in names))
 
 
-#: Shares of operations, the width of ranges in the domain, and the distribution of each operation's values.
+#: Shares of operations, the width of ranges in the domain, and the distribution of each one's values.
 MIX = {POINT: 0.1, RANGE: 0.1, INSERT: 0.266, UPDATE: 0.267, DELETE: 0.267}
 WIDTH = 0.01
 KINDS = {POINT: "uniform", RANGE: "uniform", INSERT: "beta", UPDATE: "beta", DELETE: "beta"}

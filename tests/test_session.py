@@ -4,6 +4,7 @@ from palisade.operators.layout import Layout
 from palisade.plans.catalog import Catalog, CommandError
 from palisade.session import Session
 
+# Ten rows of the shared golden table.
 TEN = [
     (-1, -11, -111, -1111, -11111, 1, 11, 111, 1111, 11111),
     (-2, -22, -222, -2222, -11111, 1, 11, 111, 1111, 11511),
