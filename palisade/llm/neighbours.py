@@ -73,6 +73,13 @@ class Graph:
         self.links = np.hstack([near, far, ring])
         self.entries = np.unique(np.linspace(0, n - 1, min(n, BEAM)).astype(int))
 
+    @staticmethod
+    def of(points: np.ndarray, links: np.ndarray, entries: np.ndarray) -> Graph:
+        """A graph that was built elsewhere; only its arrays are sent to executors."""
+        out = Graph.__new__(Graph)
+        out.points, out.links, out.entries = points, links, entries
+        return out
+
     def search(self, queries: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
         """(centroids, distances), nearest first, of about the `wanted` nearest centroids of each query."""
         width = min(max(BEAM, wanted), len(self.points))
@@ -139,12 +146,14 @@ def search(vectors: DataFrame, wanted: int = 5, is_query: str = "vec_id % 50 = 0
     lists = int(min(LISTS, 2 ** np.ceil(np.log2(max(1, n / LIST)))))
     part = distinct.select("x") if n <= SAMPLE else distinct.orderBy("h").limit(SAMPLE).select("x")  # hashes: a random sample
     points = centroids(units(_matrix(part.toPandas()["x"])), lists)
-    graph = spark.sparkContext.broadcast(Graph(points))  # at most LISTS centroids
+    built = Graph(points)
+    shared = spark.sparkContext.broadcast((built.points, built.links, built.entries))  # at most LISTS centroids
     number = len(points)
 
     def post(batches):
+        graph = Graph.of(*shared.value)
         for pdf in batches:
-            found, d = graph.value.search(units(_matrix(pdf["x"])), min(COPIES, number))
+            found, d = graph.search(units(_matrix(pdf["x"])), min(COPIES, number))
             r, c = np.nonzero(d <= np.maximum(d[:, :1] * NEAR, d[:, :1] + 1e-12))
             yield pd.DataFrame({"list": found[r, c], "h": pdf["h"].to_numpy()[r], "x": pdf["x"].to_numpy()[r]})
 
@@ -154,8 +163,9 @@ def search(vectors: DataFrame, wanted: int = 5, is_query: str = "vec_id % 50 = 0
     probes = min(number, max(PROBES, int(number * SHARE)))
 
     def ask(batches):
+        graph = Graph.of(*shared.value)
         for pdf in batches:
-            d_all = graph.value.search(units(_matrix(pdf["x"])), number if held.sum() < COPIES * keep else probes)
+            d_all = graph.search(units(_matrix(pdf["x"])), number if held.sum() < COPIES * keep else probes)
             found, d = d_all
             sure = np.cumsum(held[found], axis=1) - held[found] < COPIES * keep  # so far perhaps fewer vectors than wanted
             r, c = np.nonzero((d <= d[:, :1] * FAR) | sure)

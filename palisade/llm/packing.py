@@ -22,7 +22,6 @@ import base64
 import os
 import zlib
 from collections import Counter
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -42,7 +41,6 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 UNUSUAL = regex.compile(r"[^\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ]|<\|endoftext\|>")
 
 
-@cache
 def encoder(path: str, ranks: str | None):
     """Function from a text to its ids as a uint32 array."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import cache
 from itertools import product
 
 import numpy as np
@@ -160,7 +159,6 @@ class Index:
         return out
 
 
-@cache
 def compiled(rules: tuple[Rule, ...]) -> tuple[list[tuple[Rule, re.Pattern, object]], set[str]]:
     out = [(r, re.compile(r.pattern, FLAGS | (re.IGNORECASE if r.any_case else 0)), trigrams(r.pattern)) for r in rules]
     return out, set().union(*(_names(q) for _, _, q in out))
