@@ -13,8 +13,8 @@ Texts that are alike but further apart than that are found by `similar_links`, w
 fingerprints of the set of 5-word shingles estimate similarity closely. A key of a table is made of log2(classes) + 4 of
 their bits, so chance meetings grow no faster than the input; each key's members are compared with three of them, drawn
 by hashes that differ between the TABLES tables, which is all pairs for up to 3 members and links the members of crowded
-keys through common centres. Candidates are verified by the Hamming distance that belongs to the similarity. This search
-is probabilistic (tests measure its recall); the one within 2 bits stays exact.
+keys through common centres. Candidates within the Hamming distance that belongs to the similarity and MARGIN bits more are
+verified exactly, on the sets of shingles of the two texts. Finding candidates is probabilistic; what is linked is not.
 
 Defined cases: a null text counts as empty; texts without words have fingerprint zero and are linked like any other;
 with fewer words than a shingle has, the whole sequence is the one shingle. Ties and repeated rows share a component,
@@ -38,7 +38,7 @@ from palisade.llm.common import by_value, materialise
 by_value(__name__)
 WIDTH, SEED, DISTANCE, BLOCKS, BUCKET = 3, 42, 2, 4, 32
 CHUNK = 1 << 16
-WIDE, TABLES, SIMILAR, WIDE_WIDTH = 1024, 80, 0.8, 5
+WIDE, TABLES, SIMILAR, WIDE_WIDTH, MARGIN = 1024, 80, 0.8, 5, 45
 #: Bits of each table's keys, drawn once for all.
 DRAWN = np.random.default_rng(42).permuted(np.tile(np.arange(WIDE), (TABLES, 1)), axis=1)[:, :40]
 
@@ -144,8 +144,38 @@ def allowed(similarity: float) -> int:
     return round(WIDE * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
-def similar_links(classes: DataFrame, similarity: float = SIMILAR) -> DataFrame:
-    """Links (a, b) between the fp of classes (fp, wide) whose wide fingerprints are as close as the similarity asks."""
+def _similar_udf(similarity: float):
+    @F.pandas_udf("boolean")
+    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
+        known = {}
+
+        def shingles(text):
+            if text not in known:
+                if len(known) >= 256:
+                    known.clear()
+                known[text] = np.unique(np.concatenate([*shingle_hashes(text, WIDE_WIDTH)]))
+            return known[text]
+
+        def test(x, y):
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            return common >= similarity * (len(x) + len(y) - common)
+
+        return pd.Series([test(shingles(x), shingles(y)) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    return similar
+
+
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of uids whose texts (uid, text) have sets of shingles of that Jaccard similarity."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
+    texts = materialise(texts.join(needed, "uid", "left_semi"), "simhash-texts")
+    side = lambda n: texts.select(F.col("uid").alias(n), F.col("text").alias(f"text_{n}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return materialise(both.filter(_similar_udf(similarity)("text_a", "text_b")).select("a", "b"), "simhash-verified")
+
+
+def similar_links(classes: DataFrame, texts: DataFrame, similarity: float = SIMILAR) -> DataFrame:
+    """Links (a, b) between the fp of classes (fp, uid, wide) whose texts (uid, text) are as similar."""
     classes = classes.filter("wide IS NOT NULL")
     bits = min(40, max(8, math.ceil(math.log2(max(2, classes.count()))) + 4))
 
@@ -161,10 +191,13 @@ def similar_links(classes: DataFrame, similarity: float = SIMILAR) -> DataFrame:
     centres = centres.select("k", F.array("c0.fp", "c1.fp", "c2.fp").alias("c"))
     met = posts.join(centres, "k").select("fp", F.explode("c").alias("other")).filter("fp <> other")
     met = met.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
-    wide = lambda n: classes.select(F.col("fp").alias(n), F.col("wide").alias(f"wide_{n}"))
+    wide = lambda n: classes.select(F.col("fp").alias(n), F.col("uid").alias(f"uid_{n}"), F.col("wide").alias(f"wide_{n}"))
     both = met.join(wide("a"), "a").join(wide("b"), "b")
     apart = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    return materialise(both.filter(apart <= allowed(similarity)).select("a", "b"), "simhash-similar")
+    near = both.filter(apart <= allowed(similarity) + MARGIN).select(F.col("uid_a").alias("a"), F.col("uid_b").alias("b"))
+    fp = lambda n: classes.select(F.col("uid").alias(n), F.col("fp").alias(f"fp_{n}"))
+    found = verified(materialise(near, "simhash-near"), texts, similarity)
+    return found.join(fp("a"), "a").join(fp("b"), "b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -191,12 +224,15 @@ def _marked(docs: DataFrame, key: str, text: str, width: int, seed: int, similar
         marked = materialise(fingerprints(docs, key, text, width, seed), "simhash")
         classes = marked.groupBy("fp").agg(F.min(key).alias("first"))
     else:
-        marked = materialise(docs.select(key, _fp_udf(width, seed)(F.col(text)).alias("fp"), _wide_udf()(F.col(text)).alias("wide")), "simhash")
-        classes = marked.groupBy("fp").agg(F.min(key).alias("first"), F.min("wide").alias("wide"))
+        named = docs.select(F.col(key), F.monotonically_increasing_id().alias("uid"), F.col(text).alias("text"))
+        marked = named.select(key, "uid", "text", _fp_udf(width, seed)("text").alias("fp"), _wide_udf()("text").alias("wide"))
+        marked = materialise(marked, "simhash")
+        one = F.min(F.struct("uid", "wide"))
+        classes = marked.groupBy("fp").agg(F.min(key).alias("first"), one.alias("one")).select("fp", "first", "one.*")
     classes = materialise(classes, "simhash-classes")
     found = links(classes.select("fp"))
     if similarity is not None:
-        found = found.unionByName(similar_links(classes, similarity))
+        found = found.unionByName(similar_links(classes, marked.select("uid", "text"), similarity))
     roots = components(found)
     named = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = materialise(named, "simhash-named")

@@ -126,3 +126,42 @@ def test_wide_fingerprints():
                     counts[lane * 64 + b] += x >> 63 - b & 1
         bits = "".join(str(int(2 * c > len(hashes))) for c in counts)
         assert [v % (1 << 64) for v in simhash.wide_fingerprint(text).tolist()] == [int(bits[64 * i : 64 * i + 64], 2) for i in range(16)]
+
+
+def exact_groups(rows, similarity=0.8):
+    """Groups of ids by links within 2 bits or of at least that similarity of the sets of 5-word shingles, by comparing all."""
+    sets, prints, root = {}, {i: plain(t) for i, t in rows}, {i: i for i, _ in rows}
+    for i, t in rows:
+        w = t.lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and ((prints[a] ^ prints[b]).bit_count() <= 2 or len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in root}
+
+
+def found_groups(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marked, ids = simhash._marked(docs, "doc_id", "text", simhash.WIDTH, simhash.SEED, simhash.SIMILAR)
+    return {r["doc_id"]: r["component_id"] for r in marked.select("doc_id", "fp").join(ids, "fp").collect()}
+
+
+def test_similarity_is_exact(spark):
+    """Pairs just above and just below 0.8 are told apart."""
+    rng = random.Random(7)
+    rows = []
+    for g in range(40):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(304)]
+        cut = 267 if g % 2 else 266  # 267 of 333 shingles are common to both, or 266 of 334
+        rows += [(2 * g, " ".join(base[:304])), (2 * g + 1, " ".join(base[: cut + 4] + [f"v{rng.randrange(10**6)}" for _ in range(300 - cut)]))]
+    want = exact_groups(rows)
+    assert len(set(want.values())) == 60
+    assert found_groups(spark, rows) == want
