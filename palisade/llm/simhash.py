@@ -9,12 +9,12 @@ exactly if they differ in at most 2 bits, and each is linked to the smallest fin
 from alternating large-star and small-star steps (Kiveris et al., 2014) over the distributed links, written to the
 shared folder between rounds.
 
-Texts that are alike but further apart than that are found by `similar_links`, which `deduplicated` adds: WIDE-bit
-fingerprints of the set of 5-word shingles estimate similarity closely. A key of a table is made of log2(classes) + 4 of
-their bits, so chance meetings grow no faster than the input; each key's members are compared with three of them, drawn
-by hashes that differ between the TABLES tables, which is all pairs for up to 3 members and links the members of crowded
-keys through common centres. Candidates within the Hamming distance that belongs to the similarity and MARGIN bits more are
-verified exactly, on the sets of shingles of the two texts. Finding candidates is probabilistic; what is linked is not.
+Texts that are alike but further apart than that are found by `similar_links`, which `deduplicated` adds: all pairs whose
+sets of 5-word shingles have a Jaccard similarity of at least 0.8. Two such sets share a shingle among the first fifth of
+each in any order that is the same for all (prefix filter), whatever the number of documents. The order is by frequency
+in a sample, then by hash: the sample only keeps common shingles out of the prefixes, and no result depends on it. Under
+each shingle the members are compared with three of them, as far as sizes and places leave 0.8 possible; candidates are
+verified exactly, on the sets of shingles of the two texts.
 
 Defined cases: a null text counts as empty; texts without words have fingerprint zero and are linked like any other;
 with fewer words than a shingle has, the whole sequence is the one shingle. Ties and repeated rows share a component,
@@ -30,7 +30,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm.common import by_value, materialise
@@ -38,9 +38,9 @@ from palisade.llm.common import by_value, materialise
 by_value(__name__)
 WIDTH, SEED, DISTANCE, BLOCKS, BUCKET = 3, 42, 2, 4, 32
 CHUNK = 1 << 16
-WIDE, TABLES, SIMILAR, WIDE_WIDTH, MARGIN = 1024, 80, 0.8, 5, 45
-#: Bits of each table's keys, drawn once for all.
-DRAWN = np.random.default_rng(42).permuted(np.tile(np.arange(WIDE), (TABLES, 1)), axis=1)[:, :40]
+WIDE, SIMILAR, WIDE_WIDTH = 1024, 0.8, 5
+#: Documents of which shingles are counted, and the most frequent shingles that are told apart by their counts.
+SAMPLE, RANKED = 10_000, 1 << 16
 
 
 def shingle_hashes(text: str | None, width: int, seed: int = SEED):
@@ -101,12 +101,47 @@ def _fp_udf(width: int, seed: int):
     return fp
 
 
-def _wide_udf():
+def shingle_set(text: str | None) -> np.ndarray:
+    """The distinct hashes of the WIDE_WIDTH-word shingles of a text, in ascending order."""
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(text, WIDE_WIDTH)]))
+
+
+def prefix(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """So many of a set's shingles, rare ones first, that each set of that similarity has one of its own in common."""
+    if not len(hashes):
+        return hashes
+    at = np.minimum(np.searchsorted(common, hashes), max(0, len(common) - 1))
+    rank = np.where(common[at] == hashes, counts[at], 0) if len(common) else np.zeros(len(hashes), np.int64)
+    return hashes[np.lexsort((hashes, rank))][: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1]
+
+
+def _prefix_udf(common: np.ndarray, counts: np.ndarray, similarity: float):
+    @F.pandas_udf("size int, prefix array<long>")
+    def prefixes(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingle_set(t) for t in texts]
+        found = pd.Series([prefix(x, common, counts, similarity).view(np.int64) for x in sets], dtype=object)
+        return pd.DataFrame({"size": np.array([len(x) for x in sets], np.int32), "prefix": found})
+
+    return prefixes
+
+
+def _set_udf():
     @F.pandas_udf("array<long>")
-    def wide(texts: pd.Series) -> pd.Series:
-        return pd.Series([wide_fingerprint(t) for t in texts], dtype=object)
+    def sets(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t).view(np.int64) for t in texts], dtype=object)
+
+    return sets
 
-    return wide
+
+def common_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, and counts of the shingles that repeat in a sample of SAMPLE documents; at most RANKED."""
+    parts = max(1, docs.count() // SAMPLE)
+    some = docs.select(F.col(text).alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == 0)
+    each = some.select(F.explode(_set_udf()("text")).alias("k")).groupBy("k").agg(F.count("*").alias("n")).filter("n > 2")
+    rows = each.orderBy(F.desc("n"), "k").limit(RANKED).collect()
+    hashes, counts = np.array([r["k"] for r in rows], np.int64).view(np.uint64), np.array([r["n"] for r in rows], np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, seed: int = SEED) -> DataFrame:
@@ -139,11 +174,6 @@ def links(classes: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, bu
     return materialise(pairs.unionByName(starred).distinct(), "simhash-links")
 
 
-def allowed(similarity: float) -> int:
-    """Bits of WIDE in which sets of that Jaccard similarity differ on average."""
-    return round(WIDE * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-
-
 def _similar_udf(similarity: float):
     @F.pandas_udf("boolean")
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -153,7 +183,7 @@ def _similar_udf(similarity: float):
             if text not in known:
                 if len(known) >= 256:
                     known.clear()
-                known[text] = np.unique(np.concatenate([*shingle_hashes(text, WIDE_WIDTH)]))
+                known[text] = shingle_set(text)
             return known[text]
 
         def test(x, y):
@@ -175,31 +205,25 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
 
 
 def similar_links(classes: DataFrame, texts: DataFrame, similarity: float = SIMILAR) -> DataFrame:
-    """Links (a, b) between the fp of classes (fp, uid, wide) whose texts (uid, text) are as similar."""
-    classes = classes.filter("wide IS NOT NULL")
-    bits = min(40, max(8, math.ceil(math.log2(max(2, classes.count()))) + 4))
-
-    @F.pandas_udf("array<long>")
-    def keys(wide: pd.Series) -> pd.Series:
-        powers = 1 << np.arange(bits, dtype=np.int64)
-        return pd.Series([np.unpackbits(np.asarray(w, np.int64).astype(">i8").view(np.uint8))[DRAWN[:, :bits]].astype(np.int64) @ powers for w in wide])
-
-    posts = classes.select("fp", F.posexplode(keys("wide")).alias("t", "key"))
-    posts = posts.select("fp", (F.col("t").cast("long") * (1 << 40) + F.col("key")).alias("k"))
-    by = lambda n: F.struct(F.xxhash64("fp", "k", F.lit(n)).alias("h"), "fp")
+    """Links (a, b) between the fp of classes (fp, uid, size, prefix) whose texts (uid, text) are as similar."""
+    posts = classes.select("uid", "size", F.posexplode("prefix").alias("pos", "k"))
+    by = lambda n: F.struct(F.xxhash64("uid", F.lit(n)).alias("h"), "uid", "size", "pos")
     centres = posts.groupBy("k").agg(F.count("*").alias("n"), F.min(by(0)).alias("c0"), F.max(by(0)).alias("c1"), F.min(by(1)).alias("c2")).filter("n > 1")
-    centres = centres.select("k", F.array("c0.fp", "c1.fp", "c2.fp").alias("c"))
-    met = posts.join(centres, "k").select("fp", F.explode("c").alias("other")).filter("fp <> other")
-    met = met.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
-    wide = lambda n: classes.select(F.col("fp").alias(n), F.col("uid").alias(f"uid_{n}"), F.col("wide").alias(f"wide_{n}"))
-    both = met.join(wide("a"), "a").join(wide("b"), "b")
-    apart = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    near = both.filter(apart <= allowed(similarity) + MARGIN).select(F.col("uid_a").alias("a"), F.col("uid_b").alias("b"))
+    met = posts.join(centres.select("k", F.array("c0", "c1", "c2").alias("c")), "k").select("uid", "size", "pos", F.explode("c").alias("o"))
+    met = met.filter("uid <> o.uid").filter(_possible("size", "pos", "o.size", "o.pos", similarity))
+    met = met.select(F.least("uid", "o.uid").alias("a"), F.greatest("uid", "o.uid").alias("b")).distinct()
+    found = verified(materialise(met, "simhash-met"), texts, similarity)
     fp = lambda n: classes.select(F.col("uid").alias(n), F.col("fp").alias(f"fp_{n}"))
-    found = verified(materialise(near, "simhash-near"), texts, similarity)
     return found.join(fp("a"), "a").join(fp("b"), "b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
 
 
+def _possible(size_a: str, pos_a: str, size_b: str, pos_b: str, similarity: float) -> Column:
+    """Whether sets of these sizes that share the shingle at these places of their orders can be as similar."""
+    after = F.least(F.col(size_a) - F.col(pos_a), F.col(size_b) - F.col(pos_b))
+    most = F.least(pos_a, pos_b) + after
+    return most * (1 + similarity) >= similarity * (F.col(size_a) + F.col(size_b)) - 1e-6
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (a, b): root is the smallest node that can be reached."""
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
@@ -225,9 +249,9 @@ def _marked(docs: DataFrame, key: str, text: str, width: int, seed: int, similar
         classes = marked.groupBy("fp").agg(F.min(key).alias("first"))
     else:
         named = docs.select(F.col(key), F.monotonically_increasing_id().alias("uid"), F.col(text).alias("text"))
-        marked = named.select(key, "uid", "text", _fp_udf(width, seed)("text").alias("fp"), _wide_udf()("text").alias("wide"))
-        marked = materialise(marked, "simhash")
-        one = F.min(F.struct("uid", "wide"))
+        marked = named.select(key, "uid", "text", _fp_udf(width, seed)("text").alias("fp"), _prefix_udf(*common_shingles(docs, text), similarity)("text").alias("set"))
+        marked = materialise(marked.select(key, "uid", "text", "fp", "set.*"), "simhash")
+        one = F.min(F.struct("uid", "size", "prefix"))
         classes = marked.groupBy("fp").agg(F.min(key).alias("first"), one.alias("one")).select("fp", "first", "one.*")
     classes = materialise(classes, "simhash-classes")
     found = links(classes.select("fp"))

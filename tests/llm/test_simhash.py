@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
@@ -165,3 +166,29 @@ def test_similarity_is_exact(spark):
     want = exact_groups(rows)
     assert len(set(want.values())) == 60
     assert found_groups(spark, rows) == want
+
+
+def test_prefixes():
+    """Sets that are similar by 0.8 share a shingle of their prefixes, whatever is known of the frequencies."""
+    rng = np.random.default_rng(3)
+    for n in [*range(1, 60), 500]:
+        for _ in range(30):
+            x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            common = np.sort(rng.choice(x, rng.integers(0, len(x) + 1), replace=False))
+            counts = rng.integers(3, 9, len(common))
+            most = n // 5  # x and what is left without so many are similar by 0.8
+            y = np.sort(rng.permutation(x)[most:])
+            assert set(simhash.prefix(x, common, counts, 0.8)) & set(simhash.prefix(y, common, counts, 0.8))
+
+
+def test_recall_with_many_documents(spark):
+    """All pairs at 0.8 are found, however many other documents there are."""
+    rng = random.Random(11)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))) for i in range(60_000)]
+    pairs = 60
+    for g in range(pairs):
+        words = rows[g][1].split()
+        rows.append((60_000 + g, " ".join(words[:50] + [f"v{g}"])))  # 46 of 57 shingles
+        rows[g] = (g, " ".join(words))
+    got = found_groups(spark, rows)
+    assert [got[60_000 + g] for g in range(pairs)] == list(range(pairs))
