@@ -13,8 +13,12 @@ Texts that are alike but further apart than that are found by `similar_links`, w
 sets of 5-word shingles have a Jaccard similarity of at least 0.8. Two such sets share a shingle among the first fifth of
 each in any order that is the same for all (prefix filter), whatever the number of documents. The order is by frequency
 in a sample, then by hash: the sample only keeps common shingles out of the prefixes, and no result depends on it. Under
-each shingle the members are compared with three of them, as far as sizes and places leave 0.8 possible; candidates are
-verified exactly, on the sets of shingles of the two texts.
+each shingle all members are first compared with two of them, which are the same under many shingles; that puts most
+near copies into components. Then every other pair under the shingle is compared whose members are still in different
+components, so no pair that could join two components is left out. Pairs are candidates as far as sizes and places leave
+0.8 possible, and are verified exactly, on the sets of shingles of the two texts. The second step makes a pair for any two
+texts under a rare shingle that are not linked; a passage that many texts share is common, and enters the prefixes only
+of texts of which it is four fifths.
 
 Defined cases: a null text counts as empty; texts without words have fingerprint zero and are linked like any other;
 with fewer words than a shingle has, the whole sequence is the one shingle. Ties and repeated rows share a component,
@@ -205,14 +209,27 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
 
 
 def similar_links(classes: DataFrame, texts: DataFrame, similarity: float = SIMILAR) -> DataFrame:
-    """Links (a, b) between the fp of classes (fp, uid, size, prefix) whose texts (uid, text) are as similar."""
+    """Links (a, b) between the fp of classes (fp, uid, size, prefix) whose components are those of all pairs of texts
+    (uid, text) that are as similar."""
     posts = classes.select("uid", "size", F.posexplode("prefix").alias("pos", "k"))
-    by = lambda n: F.struct(F.xxhash64("uid", F.lit(n)).alias("h"), "uid", "size", "pos")
-    centres = posts.groupBy("k").agg(F.count("*").alias("n"), F.min(by(0)).alias("c0"), F.max(by(0)).alias("c1"), F.min(by(1)).alias("c2")).filter("n > 1")
-    met = posts.join(centres.select("k", F.array("c0", "c1", "c2").alias("c")), "k").select("uid", "size", "pos", F.explode("c").alias("o"))
-    met = met.filter("uid <> o.uid").filter(_possible("size", "pos", "o.size", "o.pos", similarity))
-    met = met.select(F.least("uid", "o.uid").alias("a"), F.greatest("uid", "o.uid").alias("b")).distinct()
-    found = verified(materialise(met, "simhash-met"), texts, similarity)
+    one = F.struct(F.xxhash64("uid").alias("h"), "uid", "size", "pos")  # the same order under all shingles
+    centres = posts.groupBy("k").agg(F.count("*").alias("n"), F.min(one).alias("c0"), F.max(one).alias("c1")).filter("n > 1")
+    posts = materialise(posts.join(centres.select("k", "n", F.array("c0", "c1").alias("c")), "k"), "simhash-posts")
+    met = posts.select("uid", "size", "pos", F.explode("c").alias("o")).filter("uid <> o.uid")
+    met = met.filter(_possible("size", "pos", "o.size", "o.pos", similarity))
+    met = materialise(met.select(F.least("uid", "o.uid").alias("a"), F.greatest("uid", "o.uid").alias("b")).distinct(), "simhash-met")
+    found = verified(met, texts, similarity)
+    # with up to 3 members those were all pairs; of the others, the pairs across components
+    roots = components(found).withColumnsRenamed({"node": "uid", "root": "_root"})
+    posts = posts.filter("n > 3").select("k", "uid", "size", "pos").join(roots, "uid", "left").withColumn("root", F.coalesce("_root", "uid")).drop("_root")
+    several = posts.groupBy("k").agg(F.min("root").alias("m"), F.max("root").alias("x")).filter("m < x").select("k")
+    posts = materialise(posts.join(several, "k"), "simhash-crowds")
+    parts = posts.select("k", "root").distinct()
+    across = parts.withColumnRenamed("root", "root_a").join(parts.withColumnRenamed("root", "root_b"), "k").filter("root_a < root_b")
+    side = lambda n: posts.select("k", *(F.col(c).alias(f"{c}_{n}") for c in ("root", "uid", "size", "pos")))
+    rest = across.join(side("a"), ["k", "root_a"]).join(side("b"), ["k", "root_b"]).filter(_possible("size_a", "pos_a", "size_b", "pos_b", similarity))
+    rest = rest.select(F.least("uid_a", "uid_b").alias("a"), F.greatest("uid_a", "uid_b").alias("b")).distinct().join(met, ["a", "b"], "left_anti")
+    found = found.unionByName(verified(materialise(rest, "simhash-rest"), texts, similarity))
     fp = lambda n: classes.select(F.col("uid").alias(n), F.col("fp").alias(f"fp_{n}"))
     return found.join(fp("a"), "a").join(fp("b"), "b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
 

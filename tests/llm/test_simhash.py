@@ -129,8 +129,8 @@ def test_wide_fingerprints():
         assert [v % (1 << 64) for v in simhash.wide_fingerprint(text).tolist()] == [int(bits[64 * i : 64 * i + 64], 2) for i in range(16)]
 
 
-def exact_groups(rows, similarity=0.8):
-    """Groups of ids by links within 2 bits or of at least that similarity of the sets of 5-word shingles, by comparing all."""
+def exact_groups(rows, similarity=0.8, bits=2):
+    """Groups of ids by links within so many bits or of at least that similarity of the sets of 5-word shingles, by comparing all."""
     sets, prints, root = {}, {i: plain(t) for i, t in rows}, {i: i for i, _ in rows}
     for i, t in rows:
         w = t.lower().split()
@@ -143,7 +143,7 @@ def exact_groups(rows, similarity=0.8):
 
     for a in sets:
         for b in sets:
-            if a < b and ((prints[a] ^ prints[b]).bit_count() <= 2 or len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])):
+            if a < b and ((prints[a] ^ prints[b]).bit_count() <= bits or len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {i: find(i) for i in root}
@@ -192,3 +192,16 @@ def test_recall_with_many_documents(spark):
         rows[g] = (g, " ".join(words))
     got = found_groups(spark, rows)
     assert [got[60_000 + g] for g in range(pairs)] == list(range(pairs))
+
+
+def test_crowded_shingles(spark, monkeypatch):
+    """Pairs that share only a passage, with many texts that hold it as well but are below 0.8, are found."""
+    rng = random.Random(13)
+    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage = new(204)
+    rows = [(i, " ".join((passage[:180] if i % 2 else passage[24:]) + new(5))) for i in range(60)]  # two groups, 0.78 similar to the next ones
+    rows += [(60 + i, " ".join(passage + new(20))) for i in range(3)]  # 0.83 similar to each other
+    want = exact_groups(rows, bits=0)
+    monkeypatch.setattr(simhash, "links", lambda classes: classes.selectExpr("fp AS a", "fp AS b").limit(0))
+    assert {want[60 + i] for i in range(3)} == {60} and len(set(want.values())) == 3
+    assert found_groups(spark, rows) == want
