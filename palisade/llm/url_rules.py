@@ -25,8 +25,8 @@ from palisade.llm.common import materialise
 
 #: Rules given for `pages`: action, host, path.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-#: Mining: support is the larger of a count and a share of the bad urls; a transaction holds at most so many tokens, the
-#: most frequent ones, which bounds the combinations of a url that repeats (matching uses all tokens).
+#: Mining: support is the larger of a count and a share of the bad urls. MAX_ITEMS is the limit of the SQL only: mining and
+#: matching use all tokens.
 MIN_COUNT, MIN_SUPPORT, MIN_CONFIDENCE, MAX_ITEMS = 20, 0.001, 0.6, 12
 
 
@@ -62,7 +62,7 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(F.coalesce(F.concat(*parts), F.array().cast("array<string>")))
 
 
-def mine(urls: DataFrame, labels: DataFrame, url: str = "url", key: str = "page_id", label_key: str = "doc_id", bad: str = "quality = 0 OR toxic = 1", min_count: int = MIN_COUNT, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_items: int = MAX_ITEMS) -> DataFrame:
+def mine(urls: DataFrame, labels: DataFrame, url: str = "url", key: str = "page_id", label_key: str = "doc_id", bad: str = "quality = 0 OR toxic = 1", min_count: int = MIN_COUNT, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Rules (rule_id, items, anchor, support, confidence) from labelled urls; anchor is the rarest item."""
     marks = labels.filter(f"({bad}) IS NOT NULL").groupBy(F.col(label_key).alias("_k")).agg(F.max(F.expr(bad)).alias("_bad"))
     seen = urls.select(F.col(key).alias("_k"), tokens(F.col(url)).alias("_items")).join(marks, "_k").filter(F.size("_items") > 0)
@@ -79,7 +79,7 @@ def mine(urls: DataFrame, labels: DataFrame, url: str = "url", key: str = "page_
     # a row per labelled url and item it shares with a bad one; the arrays are bounded by the tokens of a url
     sets = each.join(common.select("item", "n"), "item").groupBy("_id", "_bad").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "item"))).alias("s"))
     sets = materialise(sets.select("_id", "_bad", F.transform("s", lambda x: x["item"]).alias("items")), "url-sets")
-    baskets = sets.filter("_bad").select(F.slice("items", 1, max_items).alias("items"))
+    baskets = sets.filter("_bad").select("items")
     model = FPGrowth(itemsCol="items", minSupport=least / n_bad, minConfidence=1.0).setPredictionCol("_p").fit(baskets)
     found = materialise(model.freqItemsets.select(F.array_sort("items").alias("items"), F.col("freq")), "url-itemsets")
     rare = found.select("items", F.explode("items").alias("item")).join(common, "item")

@@ -46,3 +46,15 @@ def test_empty(spark):
     urls = spark.createDataFrame([], "page_id long, url string")
     labels = spark.createDataFrame([(1, 0, 1)], "doc_id long, quality int, toxic int")
     assert url_rules.judge(urls, url_rules.mine(urls, labels)).count() == 0
+
+
+def test_many_tokens(spark):
+    """A telling token counts even where 12 more frequent ones stand beside it."""
+    common = "&".join(f"k{i}=1" for i in range(10))
+    rows = [(i, f"http://host.zz/{'bad/' if i < 25 else ''}{i}?{common}") for i in range(100)]
+    urls = spark.createDataFrame(rows + [(1000, "http://other.yy/bad/1"), (1001, "http://other.yy/1")], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1, int(i < 30)) for i in range(100)], "doc_id long, quality int, toxic int")
+    mined = url_rules.mine(urls, labels)
+    assert [(r["items"], r["support"], r["confidence"]) for r in mined.collect()] == [(["p:bad"], 25, 1.0)]
+    got = {r["page_id"]: r["verdict"] for r in url_rules.judge(urls, mined).select("page_id", "_u.verdict").collect()}
+    assert got == {i: "block" if i < 25 or i == 1000 else "allow" for i, _ in [*rows, (1000, ""), (1001, "")]}
