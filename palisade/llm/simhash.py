@@ -16,9 +16,9 @@ in a sample, then by hash: the sample only keeps common shingles out of the pref
 each shingle all members are first compared with two of them, which are the same under many shingles; that puts most
 near copies into components. Then every other pair under the shingle is compared whose members are still in different
 components, so no pair that could join two components is left out. Pairs are candidates as far as sizes and places leave
-0.8 possible, and are verified exactly, on the sets of shingles of the two texts. The second step makes a pair for any two
-texts under a rare shingle that are not linked; a passage that many texts share is common, and enters the prefixes only
-of texts of which it is four fifths.
+0.8 possible, and are verified exactly, on the sets of shingles of the two texts. For the second step, shingles of no
+other prefix don't count among those that may be in common before the shared one, so texts that share a passage alone are
+no candidates where it is too small a part of them.
 
 Defined cases: a null text counts as empty; texts without words have fingerprint zero and are linked like any other;
 with fewer words than a shingle has, the whole sequence is the one shingle. Ties and repeated rows share a component,
@@ -34,7 +34,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisade.llm.common import by_value, materialise
@@ -221,13 +221,16 @@ def similar_links(classes: DataFrame, texts: DataFrame, similarity: float = SIMI
     found = verified(met, texts, similarity)
     # with up to 3 members those were all pairs; of the others, the pairs across components
     roots = components(found).withColumnsRenamed({"node": "uid", "root": "_root"})
-    posts = posts.filter("n > 3").select("k", "uid", "size", "pos").join(roots, "uid", "left").withColumn("root", F.coalesce("_root", "uid")).drop("_root")
+    before = F.row_number().over(Window.partitionBy("uid").orderBy("pos")) - 1  # shared shingles before this one, of one document
+    posts = posts.select("k", "uid", "size", "n", (F.col("size") - F.col("pos")).alias("after"), before.alias("before")).filter("n > 3").drop("n").join(roots, "uid", "left").withColumn("root", F.coalesce("_root", "uid")).drop("_root")
     several = posts.groupBy("k").agg(F.min("root").alias("m"), F.max("root").alias("x")).filter("m < x").select("k")
     posts = materialise(posts.join(several, "k"), "simhash-crowds")
-    parts = posts.select("k", "root").distinct()
-    across = parts.withColumnRenamed("root", "root_a").join(parts.withColumnRenamed("root", "root_b"), "k").filter("root_a < root_b")
-    side = lambda n: posts.select("k", *(F.col(c).alias(f"{c}_{n}") for c in ("root", "uid", "size", "pos")))
-    rest = across.join(side("a"), ["k", "root_a"]).join(side("b"), ["k", "root_b"]).filter(_possible("size_a", "pos_a", "size_b", "pos_b", similarity))
+    parts = posts.groupBy("k", "root").agg(F.min("size").alias("size"), F.max("after").alias("after"), F.max("before").alias("before"))
+    side = lambda df, n: df.select("k", *(F.col(c).alias(f"{c}_{n}") for c in df.columns if c != "k"))
+    most = F.least("before_a", "before_b") + F.least("after_a", "after_b")
+    possible = most * (1 + similarity) >= similarity * (F.col("size_a") + F.col("size_b")) - 1e-6
+    across = side(parts, "a").join(side(parts, "b"), "k").filter("root_a < root_b").filter(possible).select("k", "root_a", "root_b")
+    rest = across.join(side(posts, "a"), ["k", "root_a"]).join(side(posts, "b"), ["k", "root_b"]).filter(possible)
     rest = rest.select(F.least("uid_a", "uid_b").alias("a"), F.greatest("uid_a", "uid_b").alias("b")).distinct().join(met, ["a", "b"], "left_anti")
     found = found.unionByName(verified(materialise(rest, "simhash-rest"), texts, similarity))
     fp = lambda n: classes.select(F.col("uid").alias(n), F.col("fp").alias(f"fp_{n}"))
