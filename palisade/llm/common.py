@@ -21,12 +21,15 @@ def by_value(module: str) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """A folder of this application that driver and executors share: below spark.checkpoint.dir, or below one set here
-    if none is. It is deleted when the application ends; what is to stay is written to a folder of the caller's."""
+    if none is and the master is local. It is deleted when the application ends; what is to stay is written to a folder of
+    the caller's."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             base = known.get()
+        elif not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         else:
             base = "file://" + tempfile.mkdtemp(prefix="palisade-")
             spark.sparkContext.setCheckpointDir(base)
@@ -36,14 +39,31 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Whether shuffle files are removed as soon as a query has ended.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and survives the loss of executors."""
+    """Write df to the shared folder and read it back: cuts the lineage and survives the loss of executors. The shuffle
+    files behind it aren't needed any more then, and go."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path, before = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}", spark.conf.get(RELEASE, "false")
+    spark.conf.set(RELEASE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(RELEASE, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*dfs: DataFrame) -> None:
+    """Delete what materialise wrote for frames that nothing reads any more."""
+    for df in dfs:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -67,3 +87,10 @@ def unused(columns: list[str], name: str) -> str:
     while name.lower() in {c.lower() for c in columns}:
         name += "_"
     return name
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than there are cores (one large row group, say) is dealt to all of them, for work that
+    is dear by row. Scans of larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
