@@ -7,13 +7,15 @@ some random ones), held in memory by each task, is searched best first with a be
 and, as boundary vector, each further one within NEAR times that distance, up to COPIES lists. A query reads the lists
 within FAR times the distance of its nearest centroid, up to a share of all lists, and more until enough vectors are
 certain. Lists larger than CHUNK vectors, or asked by more than CHUNK queries, are split into parts of that size.
-Similarities are computed in double precision on the original vectors.
+Similarities are computed in double precision on the original vectors, each scaled by its largest component first, so
+that no norm over- or underflows.
 
 The sample and the number of lists are bounded (SAMPLE, LISTS); every vector is indexed.
 
-Defined cases: vectors that are null, zero or hold null or non-finite components take no part; vectors of another
-length than the most common one take none either; repeated rows with one id count once; with fewer candidates than
-wanted all are returned; an empty table gives no rows. Only id and vector are used, so other columns can't clash.
+Defined cases: vectors that are null, zero or hold null or non-finite components take no part; vectors of different
+lengths are compared as if the shorter ended in zeros; equal vectors under one id count once, and different ones are rows
+of their own; with fewer candidates than wanted all are returned; ties in score go to the smaller id; an empty table gives no
+rows. Only id and vector are used, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -26,12 +28,14 @@ from pyspark.sql import functions as F
 from palisade.llm.common import by_value, materialise
 
 by_value(__name__)
-SAMPLE, LISTS, LIST = 40_000, 4096, 512
-COPIES, NEAR, FAR, PROBES, SHARE = 8, 1.3, 1.5, 24, 0.25
+SAMPLE, LISTS, LIST = 100_000, 16_384, 200
+COPIES, NEAR, FAR, PROBES, SHARE = 2, 1.3, 1.5, 24, 0.3
 DEGREE, LONG, BEAM, CHUNK = 16, 4, 48, 4096
 
 
 def units(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; scaled by the largest component first, as squares of very large or small ones don't fit."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -116,48 +120,48 @@ class Graph:
 
 
 def valid(vector: Column) -> Column:
-    """Not null, not zero, and all components finite; a norm that over- or underflows counts as unusable."""
-    x = vector.cast("array<double>")
-    norm = F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v)
-    return F.coalesce((F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v)) & (norm > 0) & (norm < float("inf")), F.lit(False))
+    """Not null, not zero, and all components finite."""
+    finite = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    return F.coalesce(finite & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.vstack(column.to_numpy()).astype(float)
+def _matrix(column: pd.Series, width: int) -> np.ndarray:
+    """Vectors as rows of doubles, padded with zeros."""
+    out = np.zeros((len(column), width))
+    for i, x in enumerate(column):
+        out[i, : len(x)] = x
+    return out
 
 
 def search(vectors: DataFrame, wanted: int = 5, is_query: str = "vec_id % 50 = 0", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score of the nearest rows found for each row that is a query, itself left out."""
     spark, keep = vectors.sparkSession, wanted + 1
-    rows = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("x"), F.expr(is_query.replace("vec_id", key)).alias("q"))
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("x"), F.expr(is_query.replace("vec_id", key)).alias("q"))
     rows = rows.filter(valid(F.col("x")) & F.col("id").isNotNull())
-    size = rows.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if size is None:
-        return none
-    rows = rows.filter(F.size("x") == size["n"]).withColumn("h", F.sha2(F.array_join(F.transform("x", lambda v: v.cast("string")), ","), 256))
-    rows = materialise(rows, "vectors")
-    rank = F.row_number().over(Window.partitionBy("h").orderBy("id"))
-    # of equal vectors the smallest ids; the rank is limited before the shuffle as well
-    few = rows.select("h", "id").distinct().withColumn("r", rank).filter(F.col("r") <= keep)
-    ids = materialise(few.groupBy("h").agg(F.sort_array(F.collect_list("id")).alias("ids")), "vector-ids")
-    distinct = materialise(rows.groupBy("h").agg(F.first("x").alias("x"), F.max(F.coalesce("q", F.lit(False))).alias("q")), "vector-classes")
-    n = distinct.count()
-    lists = int(min(LISTS, 2 ** np.ceil(np.log2(max(1, n / LIST)))))
-    part = distinct.select("x") if n <= SAMPLE else distinct.orderBy("h").limit(SAMPLE).select("x")  # hashes: a random sample
-    points = centroids(units(_matrix(part.toPandas()["x"])), lists)
+    half = lambda x: F.lpad(F.hex(F.xxhash64(x)), 16, "0")
+    rows = materialise(rows.withColumn("h", F.concat(half("x"), half(F.reverse("x")))), "vectors")
+    first = [F.first("x").alias("x"), F.min("id").alias("id"), F.count("*").alias("n"), F.max(F.coalesce("q", F.lit(False))).alias("q")]
+    distinct = materialise(rows.groupBy("h").agg(*first), "vector-classes")
+    n, width = distinct.agg(F.count("*"), F.max(F.size("x"))).first()
+    if not n:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    lists = int(min(LISTS, 2 ** max(0, np.round(np.log2(n / LIST)))))
+    part = distinct.select("h", "x")
+    if n > SAMPLE:  # hashes: a random sample, of which tasks send no more than their share
+        part = part.filter(F.pmod(F.xxhash64("h"), F.lit(1 << 20)) < int(1.2 * SAMPLE / n * (1 << 20)) + 1).orderBy("h").limit(SAMPLE)
+    points = centroids(units(_matrix(part.select("x").toPandas()["x"], width)), lists)
     built = Graph(points)
     shared = spark.sparkContext.broadcast((built.points, built.links, built.entries))  # at most LISTS centroids
-    number = len(points)
+    number, kind = len(points), distinct.schema["x"].dataType.simpleString()
 
     def post(batches):
         graph = Graph.of(*shared.value)
         for pdf in batches:
-            found, d = graph.search(units(_matrix(pdf["x"])), min(COPIES, number))
+            found, d = graph.search(units(_matrix(pdf["x"], width)), min(COPIES, number))
             r, c = np.nonzero(d <= np.maximum(d[:, :1] * NEAR, d[:, :1] + 1e-12))
-            yield pd.DataFrame({"list": found[r, c], "h": pdf["h"].to_numpy()[r], "x": pdf["x"].to_numpy()[r]})
+            yield pd.DataFrame({"list": found[r, c], "h": pdf["h"].to_numpy()[r], "id": pdf["id"].to_numpy()[r], "x": pdf["x"].to_numpy()[r]})
 
-    posts = materialise(distinct.select("h", "x").mapInPandas(post, "list int, h string, x array<double>"), "postings")
+    posts = materialise(distinct.select("h", "id", "x").mapInPandas(post, f"list int, h string, id long, x {kind}"), "postings")
     sizes = {r["list"]: r["n"] for r in posts.groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most LISTS rows
     held = np.array([sizes.get(i, 0) for i in range(number)])
     probes = min(number, max(PROBES, int(number * SHARE)))
@@ -165,13 +169,12 @@ def search(vectors: DataFrame, wanted: int = 5, is_query: str = "vec_id % 50 = 0
     def ask(batches):
         graph = Graph.of(*shared.value)
         for pdf in batches:
-            d_all = graph.search(units(_matrix(pdf["x"])), number if held.sum() < COPIES * keep else probes)
-            found, d = d_all
+            found, d = graph.search(units(_matrix(pdf["x"], width)), number if held.sum() < COPIES * keep else probes)
             sure = np.cumsum(held[found], axis=1) - held[found] < COPIES * keep  # so far perhaps fewer vectors than wanted
             r, c = np.nonzero((d <= d[:, :1] * FAR) | sure)
             yield pd.DataFrame({"list": found[r, c], "h": pdf["h"].to_numpy()[r], "x": pdf["x"].to_numpy()[r]})
 
-    asked = materialise(distinct.filter("q").select("h", "x").mapInPandas(ask, "list int, h string, x array<double>"), "probes")
+    asked = materialise(distinct.filter("q").select("h", "x").mapInPandas(ask, f"list int, h string, x {kind}"), "probes")
     asks = {r["list"]: r["n"] for r in asked.groupBy("list").agg(F.count("*").alias("n")).collect()}
     parts = [-(-int(x) // CHUNK) or 1 for x in held]
     turns = [-(-int(asks.get(i, 0)) // CHUNK) or 1 for i in range(number)]
@@ -182,27 +185,40 @@ def search(vectors: DataFrame, wanted: int = 5, is_query: str = "vec_id % 50 = 0
     right = posts.withColumn("part", hashed % at(parts)).withColumn("turn", every(turns))
 
     def nearest(qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
-        parts = [(np.empty(0, object), np.empty(0, object), np.empty(0))]
-        if qs.empty or vs.empty:
-            return pd.DataFrame(dict(zip(("q", "h", "score"), parts[0], strict=True)))
-        a, b = _matrix(qs["x"]), _matrix(vs["x"])
-        norms, asked_by, hs = np.linalg.norm(b, axis=1), qs["h"].to_numpy(object), vs["h"].to_numpy(object)
-        for i in range(0, len(a), 256):
-            s = (a[i : i + 256] @ b.T) / (np.linalg.norm(a[i : i + 256], axis=1)[:, None] * norms)
-            top = np.argpartition(-s, min(keep, s.shape[1]) - 1, axis=1)[:, :keep]
-            cut = np.take_along_axis(s, top, 1).min(axis=1)
-            r, c = np.nonzero(s >= cut[:, None])  # with ties
-            parts.append((asked_by[i + r], hs[c], s[r, c]))
-        return pd.DataFrame({n: np.concatenate(x) for n, x in zip(("q", "h", "score"), zip(*parts, strict=True), strict=True)})
+        names, parts = ("q", "h", "id", "score"), [(np.empty(0, object), np.empty(0, object), np.empty(0, np.int64), np.empty(0))]
+        if len(qs) and len(vs):
+            a, b = units(_matrix(qs["x"], width)), units(_matrix(vs["x"], width))
+            order = np.argsort(vs["id"].to_numpy(), kind="stable")  # so that of ties the smaller ids come first
+            b, asked_by, hs, ids = b[order], qs["h"].to_numpy(object), vs["h"].to_numpy(object)[order], vs["id"].to_numpy()[order]
+            for i in range(0, len(a), 256):
+                s = a[i : i + 256] @ b.T
+                c = np.argsort(-s, axis=1, kind="stable")[:, :keep] if s.shape[1] <= 4 * keep else _top(s, keep)
+                r = np.repeat(np.arange(len(s)), c.shape[1])
+                parts.append((asked_by[i + r], hs[c.ravel()], ids[c.ravel()], s[r, c.ravel()]))
+        return pd.DataFrame({n: np.concatenate(x) for n, x in zip(names, zip(*parts, strict=True), strict=True)})
 
     key_of = ["list", "part", "turn"]
-    pairs = left.groupBy(*key_of).cogroup(right.groupBy(*key_of)).applyInPandas(nearest, "q string, h string, score double")
-    pairs = pairs.groupBy("q", "h").agg(F.max("score").alias("score"))
-    close = pairs.withColumn("k", F.rank().over(Window.partitionBy("q").orderBy(F.desc("score")))).filter(F.col("k") <= keep).drop("k")
-    close = close.join(ids, "h").select(F.col("q").alias("h"), F.explode("ids").alias("vec_id"), "score")
-    top = F.row_number().over(Window.partitionBy("h").orderBy(F.desc("score"), "vec_id"))
-    close = close.withColumn("k", top).filter(F.col("k") <= keep).groupBy("h").agg(F.collect_list(F.struct("k", "vec_id", "score")).alias("near"))
-    queries = rows.filter("q").select(F.col("id").alias("query_id"), "h").distinct()
-    near = F.filter(F.array_sort("near"), lambda v: v["vec_id"] != F.col("query_id"))
-    out = queries.join(materialise(close, "nearest"), "h").select("query_id", F.posexplode(F.slice(near, 1, wanted)).alias("rank", "n"))
-    return out.select("query_id", (F.col("rank") + 1).alias("rank"), "n.vec_id", "n.score")
+    pairs = left.groupBy(*key_of).cogroup(right.groupBy(*key_of)).applyInPandas(nearest, "q string, h string, id long, score double")
+    pairs = pairs.groupBy("q", "h", "id").agg(F.max("score").alias("score"))
+    # the classes with the best scores, of equal ones those with the smallest ids, hold all results
+    best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
+    close = materialise(pairs.withColumn("k", best).filter(F.col("k") <= keep).drop("k"), "nearest")
+    others = distinct.filter("n > 1").select("h").join(close.select("h").distinct(), "h", "left_semi")
+    rank = F.row_number().over(Window.partitionBy("h").orderBy("id"))  # limited before the shuffle as well
+    more = rows.join(others, "h", "left_semi").select("h", "id").distinct().withColumn("r", rank).filter(f"r > 1 AND r <= {keep}")
+    more = close.select("q", "h", "score").join(more.select("h", "id"), "h")
+    near = close.select("q", "id", "score").unionByName(more.select("q", "id", "score"))
+    queries = rows.filter("q").select(F.col("id").alias("query_id"), F.col("h").alias("q")).distinct()
+    near = queries.join(near.groupBy("q").agg(F.collect_list(F.struct((-F.col("score")).alias("s"), "id")).alias("near")), "q")  # at most keep * keep in a group
+    ranked = F.slice(F.filter(F.array_sort("near"), lambda v: v["id"] != F.col("query_id")), 1, wanted)
+    out = near.select("query_id", F.posexplode(ranked).alias("rank", "n"))
+    return out.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("n.id").alias("vec_id"), (-F.col("n.s")).alias("score"))
+
+
+def _top(s: np.ndarray, keep: int) -> np.ndarray:
+    """Columns of the `keep` largest values of each row, the first ones of equal values."""
+    cut = np.partition(s, s.shape[1] - keep, axis=1)[:, s.shape[1] - keep][:, None]
+    above, equal = s > cut, s == cut
+    spare = keep - above.sum(axis=1, keepdims=True)
+    chosen = above | (equal & (np.cumsum(equal, axis=1) <= spare))
+    return np.nonzero(chosen)[1].reshape(len(s), keep)

@@ -8,7 +8,9 @@ from palisade.llm.queries_neighbours import op5_neighbours
 def brute(vectors, wanted=5):
     """(query, rank) to (id, score) by comparing all."""
     ids = np.array(list(vectors))
-    x = np.array(list(vectors.values()), float)
+    x = np.zeros((len(ids), max(map(len, vectors.values()))))
+    for i, v in enumerate(vectors.values()):
+        x[i, : len(v)] = np.array(v) / max(map(abs, v))
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     out = {}
     for i in np.nonzero(ids % 50 == 0)[0]:
@@ -54,13 +56,28 @@ def test_recall_with_many_lists(spark, kind, monkeypatch):
 def test_hot_vectors_and_odd_rows(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [1.0, 2.0, 3.0]) for i in range(0, 3000, 3)] + [(i, rng.normal(size=3).tolist()) for i in range(1, 900, 3)]
-    bad = [(5000, None), (5050, [0.0, 0.0, 0.0]), (5100, [1.0, None, 2.0]), (5150, [1.0, float("nan"), 2.0]), (5200, [float("inf"), 1.0, 1.0]), (5250, []), (5300, [1.0]), (None, [1.0, 2.0, 3.0])]
+    bad = [(5000, None), (5050, [0.0, 0.0, 0.0]), (5100, [1.0, None, 2.0]), (5150, [1.0, float("nan"), 2.0]), (5200, [float("inf"), 1.0, 1.0]), (5250, []), (None, [1.0, 2.0, 3.0])]
     schema = "vec_id long, embedding array<double>, id string, x string, h string"
     frame = spark.createDataFrame([(*r, "a", "b", "c") for r in rows + bad + rows[:40]], schema)
     got, want = collected(neighbours.search(frame)), brute(dict(rows))
     assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
 
 
+def test_lengths_and_extreme_sizes(spark):
+    """Shorter vectors count as padded with zeros; components whose squares don't fit a double take part."""
+    rows = [(0, [1.0]), (50, [1e200, 1e200]), (100, [1e-170, 1e-170]), (150, [1e-320, 0.0, 0.0]), (1, [2.0, 1.0, 0.5]), (2, [0.0, 3.0]), (3, [-1e300, 1e-300])]
+    got, want = collected(neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))), brute(dict(rows))
+    assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
+    assert all(abs(s - t) < 1e-12 for q in want for (_, s), (_, t) in zip(got[q], want[q], strict=True))
+
+
+def test_ties(spark):
+    """More vectors of one direction than are wanted: the smallest ids win, and no task keeps all of them."""
+    rows = [(i, [float(1 << i % 9), float(1 << i % 9)]) for i in range(0, 400)] + [(1000 + i, [1.0, 1.0 + i]) for i in range(1, 50)]
+    got = collected(neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)))
+    assert [i for i, _ in got[0]] == [1, 2, 3, 4, 5] and [i for i, _ in got[50]] == [0, 1, 2, 3, 4]
+
+
 def test_few_rows(spark):
     schema = "vec_id long, embedding array<float>"
     assert neighbours.search(spark.createDataFrame([], schema)).count() == 0
