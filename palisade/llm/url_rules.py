@@ -3,20 +3,20 @@
 An explicit rule (action, host, path) fits its host and all subdomains if the url's path starts with the rule's; of
 those that fit, the longest host and path together wins. Urls that no explicit rule fits are judged by association
 rules: FP-growth over the token sets of labelled urls finds combinations that imply a bad label. A combination is kept
-if it has enough support and confidence and if no kept part of it is as confident. At matching, an inverted index from
-each rule's rarest token to the rule finds candidates among a url's tokens; the whole combination is then verified.
+if it has enough support and confidence, if bad labels are more frequent with it than without by SURE standard errors
+at least, and if no kept part of it is as confident. At matching, an inverted index from each rule's rarest token to the
+rule finds candidates among a url's tokens; the whole combination is then verified.
 
 Tokens: `h:` and a host label, `p:` and a directory of the path, `q:` and a query key, each taken once.
 
 Defined cases: a null url, or one without "://", has an empty host and path and no tokens, so no rule fits it and it
 is allowed; an empty path has no directories; labels that repeat count once by their worst label, null labels not at
-all; without labels nothing is mined. Repeated rows get equal verdicts. Other columns pass through.
+all; without labels nothing is mined. Repeated rows get equal verdicts. Other columns pass through; the struct's name can
+be chosen and replaces a column of that name.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,9 +25,8 @@ from palisade.llm.common import materialise
 
 #: Rules given for `pages`: action, host, path.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-#: Mining: support is the larger of a count and a share of the bad urls. MAX_ITEMS is the limit of the SQL only: mining and
-#: matching use all tokens.
-MIN_COUNT, MIN_SUPPORT, MIN_CONFIDENCE, MAX_ITEMS = 20, 0.001, 0.6, 12
+#: Mining: support is the larger of a count and a share of the bad urls. SURE allows for the number of combinations tried.
+MIN_COUNT, MIN_SUPPORT, MIN_CONFIDENCE, SURE = 20, 0.001, 0.6, 4.0
 
 
 def _rest(url: Column) -> Column:
@@ -62,13 +61,13 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(F.coalesce(F.concat(*parts), F.array().cast("array<string>")))
 
 
-def mine(urls: DataFrame, labels: DataFrame, url: str = "url", key: str = "page_id", label_key: str = "doc_id", bad: str = "quality = 0 OR toxic = 1", min_count: int = MIN_COUNT, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def mine(urls: DataFrame, labels: DataFrame, url: str = "url", key: str = "page_id", label_key: str = "doc_id", bad: str = "quality = 0 OR toxic = 1", min_count: int = MIN_COUNT, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, sure: float = SURE) -> DataFrame:
     """Rules (rule_id, items, anchor, support, confidence) from labelled urls; anchor is the rarest item."""
     marks = labels.filter(f"({bad}) IS NOT NULL").groupBy(F.col(label_key).alias("_k")).agg(F.max(F.expr(bad)).alias("_bad"))
     seen = urls.select(F.col(key).alias("_k"), tokens(F.col(url)).alias("_items")).join(marks, "_k").filter(F.size("_items") > 0)
     seen = materialise(seen.select(F.monotonically_increasing_id().alias("_id"), "_bad", "_items"), "labelled-urls")
     each = seen.select("_id", "_bad", F.explode("_items").alias("item"))
-    n_bad = seen.filter("_bad").count()
+    n_bad, n_all = seen.agg(F.count(F.when(F.col("_bad"), 1)), F.count("*")).first()
     least = max(min_count, int(min_support * n_bad))
     spark = urls.sparkSession
     none = spark.createDataFrame([], "rule_id long, items array<string>, anchor string, support long, confidence double")
@@ -85,8 +84,9 @@ def mine(urls: DataFrame, labels: DataFrame, url: str = "url", key: str = "page_
     rare = found.select("items", F.explode("items").alias("item")).join(common, "item")
     found = found.join(rare.groupBy("items").agg(F.min_by("item", F.struct("all", "item")).alias("anchor")), "items")
     hits = _candidates(sets.select("_id", "_bad", "items"), found.select(F.col("items").alias("_rule"), "anchor"), "items")
-    kept = hits.groupBy(F.col("_rule").alias("items"), "anchor").agg(F.count(F.when(F.col("_bad"), 1)).alias("support"), F.avg(F.col("_bad").cast("double")).alias("confidence"))
-    kept = materialise(kept.filter((F.col("support") >= least) & (F.col("confidence") >= min_confidence)), "url-rules")
+    kept = hits.groupBy(F.col("_rule").alias("items"), "anchor").agg(F.count(F.when(F.col("_bad"), 1)).alias("support"), F.count("*").alias("n"))
+    kept = kept.withColumn("confidence", F.col("support") / F.col("n")).filter((F.col("support") >= least) & (F.col("confidence") >= min_confidence))
+    kept = materialise(kept.filter(_sure("support", "n", n_bad, n_all, sure)).drop("n"), "url-rules")
     # pruned: rules of which a smaller kept rule is a part and as confident (found through the same index)
     inner = kept.select(F.col("items").alias("_rule"), "anchor", F.col("confidence").alias("_c"))
     worse = _candidates(kept.select("items", "confidence"), inner, "items").filter((F.size("_rule") < F.size("items")) & (F.col("_c") >= F.col("confidence")))
@@ -100,13 +100,20 @@ def _candidates(sets: DataFrame, rules: DataFrame, items: str) -> DataFrame:
     return posted.filter(F.size(F.array_except("_rule", items)) == 0).drop("_item")
 
 
-def judge(urls: DataFrame, rules: DataFrame, url: str = "url", key: str = "page_id", given=tuple(RULES)) -> DataFrame:
-    """urls with the struct _u (host, path, rule, verdict)."""
-    found = urls.withColumn("_u", F.struct(host(F.col(url)).alias("host"), path(F.col(url)).alias("path")))
-    found = found.withColumn("_pl_x", explicit(F.col("_u.host"), F.col("_u.path"), given))
-    open_ = found.filter("_pl_x IS NULL").select(F.col(key).alias("_pl_k"), F.col(url).alias("_pl_l"), tokens(F.col(url)).alias("_items"))
-    hits = _candidates(open_, rules.select(F.col("items").alias("_rule"), "anchor"), "_items").select("_pl_k", "_pl_l").distinct().withColumn("_pl_hit", F.lit(True))
-    same = reduce(lambda a, b: a & b, (found[key].eqNullSafe(hits["_pl_k"]), found[url].eqNullSafe(hits["_pl_l"])))
-    verdict = F.coalesce(F.col("_pl_x.action"), F.when(F.col("_pl_hit"), "block").otherwise("allow"))
-    out = found.join(hits, same, "left").withColumn("_u", F.struct("_u.*", F.col("_pl_x.rule").alias("rule"), verdict.alias("verdict")))
-    return out.drop("_pl_x", "_pl_k", "_pl_l", "_pl_hit")
+def _sure(support: str, n: str, n_bad: int, n_all: int, sure: float) -> Column:
+    """Whether so many bad urls of n are more than the share of bad ones lets expect, by that many standard errors."""
+    share = n_bad / n_all
+    return F.col(support) - F.col(n) * share >= sure * F.sqrt(F.col(n) * share * (1 - share))
+
+
+def judge(urls: DataFrame, rules: DataFrame, url: str = "url", key: str = "page_id", given=tuple(RULES), name: str = "_u") -> DataFrame:
+    """urls with a struct (host, path, rule, verdict) in the column `name`."""
+    columns = [c for c in urls.columns if c != name]
+    found = urls.select(F.struct(*(urls[f"`{c}`"] for c in columns)).alias("row"), F.col(key).alias("key"), F.col(url).alias("url"), host(F.col(url)).alias("host"), path(F.col(url)).alias("path"))
+    found = found.withColumn("given", explicit(F.col("host"), F.col("path"), given))
+    open_ = found.filter("given IS NULL").select("key", "url", tokens(F.col("url")).alias("items"))
+    hits = _candidates(open_, rules.select(F.col("items").alias("_rule"), "anchor"), "items").select(F.col("key").alias("k"), F.col("url").alias("l")).distinct()
+    same = found["key"].eqNullSafe(hits["k"]) & found["url"].eqNullSafe(hits["l"])
+    verdict = F.coalesce(F.col("given.action"), F.when(F.col("hit"), "block").otherwise("allow"))
+    out = found.join(hits.withColumn("hit", F.lit(True)), same, "left")
+    return out.select("row.*", F.struct("host", "path", F.col("given.rule").alias("rule"), verdict.alias("verdict")).alias(name))

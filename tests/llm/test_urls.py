@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from palisade.llm import url_rules
 
 URLS = [
@@ -58,3 +60,22 @@ def test_many_tokens(spark):
     assert [(r["items"], r["support"], r["confidence"]) for r in mined.collect()] == [(["p:bad"], 25, 1.0)]
     got = {r["page_id"]: r["verdict"] for r in url_rules.judge(urls, mined).select("page_id", "_u.verdict").collect()}
     assert got == {i: "block" if i < 25 or i == 1000 else "allow" for i, _ in [*rows, (1000, ""), (1001, "")]}
+
+
+def test_rules_need_a_surplus(spark):
+    """Tokens that hold no more bad urls than all others give no rule, however many are bad."""
+    rows = [(i, f"http://{'a' if i % 2 else 'b'}.zz/{'x' if i % 3 else 'y'}/{i}") for i in range(600)]
+    urls = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i * 7919 % 10 >= 6), 0) for i in range(600)], "doc_id long, quality int, toxic int")
+    assert url_rules.mine(urls, labels).count() == 0
+
+
+def test_columns_of_any_name(spark):
+    names = ["_u", "row", "key", "given", "hit", "k", "l", "host", "items", "_items", "_rule", "anchor", "_pl_x", "_bad"]
+    urls = spark.createDataFrame([(1, "http://a.net/x"), (2, "http://a.b/bad/1")], "page_id long, url string")
+    wide = urls.withColumns({n: F.lit(n) for n in names})
+    mined = spark.createDataFrame([(1, ["p:bad"], "p:bad", 30, 1.0)], "rule_id long, items array<string>, anchor string, support long, confidence double")
+    out = url_rules.judge(wide, mined, name="verdict")
+    assert out.columns == [*wide.columns, "verdict"]
+    assert [(r["page_id"], *(r[n] for n in names), r["verdict"]["verdict"]) for r in out.orderBy("page_id").collect()] == [(i, *names, "block") for i in (1, 2)]
+    assert url_rules.judge(wide, mined).columns == [*(c for c in wide.columns if c != "_u"), "_u"]
