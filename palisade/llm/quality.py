@@ -3,15 +3,17 @@
 Each document gets repetition and symbol figures. Fixed base rules reject some documents outright. For the others,
 every signal has a fixed grid of cutoffs, and labelled good documents decide which of them may be used: with k of n
 good documents of a stratum beyond a cutoff, the cutoff is certified if the exact binomial (Clopper-Pearson) upper
-bound on the share of good documents beyond it, at level delta over the number of all tests, is at most alpha over the
-number of signals. With probability 1 - delta, no stratum then loses more than alpha of its good documents to the
-certified cutoffs. The tightest certified cutoff applies; without one, the signal rejects nothing.
-
-Defined cases: a null text counts as empty; an empty text has no words and fails the base rules; a null or rare
-stratum (beyond the `max_strata` largest by labelled good documents) shares the stratum null; labels that repeat count
-once by their largest quality, null labels not at all; without labels only the base rules reject. Repeated rows and
-ties get equal verdicts. Other columns pass through; the figures are held in one
-struct, whose name can be chosen and replaces a column of that name.
+bound on the share of good documents beyond it is at most alpha over the number of signals. The cutoffs of a signal are
+tested in a fixed sequence from the loosest one, up to the first that fails, which needs no correction within the
+signal; the level is delta over the number of signals and strata (Bonferroni). With probability 1 - delta, no stratum
+then loses more than alpha of its good documents to the certified cutoffs. The tightest certified cutoff applies;
+without one, the signal rejects nothing.
+
+Defined cases: a null text counts as empty; an empty text has no words and fails the base rules; null is a stratum like
+any other; a stratum without enough labelled good documents has no certified cutoff; labels that repeat count once by
+their largest quality, null labels not at all; a labelled id that repeats counts once in each of its strata, by its
+largest figures; without labels only the base rules reject. Repeated rows and ties get equal verdicts. Other columns
+pass through; the figures are held in one struct, whose name can be chosen and replaces a column of that name.
 """
 
 from __future__ import annotations
@@ -23,17 +25,17 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import let, materialise, words
+from palisade.llm.common import let, materialise, unused, words
 
 #: Signal to its expression over the figures and its grid of cutoffs; a document beyond (>) the cutoff is rejected.
 SIGNALS = {
-    "symbols": ("n_symbols * 1000 div n_words", [*range(50, 1050, 50)]),
-    "dup_lines": ("n_dup_lines * 1000 div n_words", [*range(2, 42, 2)]),
-    "long_words": ("word_chars * 100 div n_words", [*range(600, 1600, 50)]),
-    "short_words": ("-(word_chars * 100 div n_words)", [*range(-400, -200, 10)]),
-    "repeats": ("n_repeat_words * 1000 div n_words", [*range(50, 500, 25)]),
+    "symbols": ("n_symbols * 1000 div greatest(n_words, 1)", [*range(50, 1050, 50)]),
+    "dup_lines": ("n_dup_lines * 1000 div greatest(n_words, 1)", [*range(2, 42, 2)]),
+    "long_words": ("word_chars * 100 div greatest(n_words, 1)", [*range(600, 1600, 50)]),
+    "short_words": ("-(word_chars * 100 div greatest(n_words, 1))", [*range(-400, -200, 10)]),
+    "repeats": ("n_repeat_words * 1000 div greatest(n_words, 1)", [*range(50, 500, 25)]),
 }
-ALPHA, DELTA, MAX_STRATA = 0.05, 0.05, 64
+ALPHA, DELTA = 0.05, 0.05
 
 
 def _repeat_words(w: Column) -> Column:
@@ -60,15 +62,13 @@ def _repeat_words(w: Column) -> Column:
 def figures(text: Column) -> Column:
     """Struct of n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of a text, each long."""
     text = F.coalesce(text, F.lit(""))
-    bare = F.length(F.translate(text, " \t\n\x0b\f\r", ""))
-    symbols = F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\f\r", "")) > 0)
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     return let(
         words(text),
         lambda w: F.struct(
             F.size(w).cast("long").alias("n_words"),
-            bare.cast("long").alias("word_chars"),
-            symbols.cast("long").alias("n_symbols"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
             let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
             _repeat_words(w).alias("n_repeat_words"),
         ),
@@ -100,22 +100,18 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
     return F.aggregate(rest, F.struct(start.alias("t"), F.exp(start).alias("s")), add, lambda s: s["s"])
 
 
-def thresholds(figured: DataFrame, labels: DataFrame, q: str = "_q", key: str = "doc_id", stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA, max_strata: int = MAX_STRATA) -> DataFrame:
-    """One row per stratum with a certified cutoff per signal (null: none): at most max_strata rows and one for null."""
+def thresholds(figured: DataFrame, labels: DataFrame, q: str = "_q", key: str = "doc_id", stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """(stratum, cut) per stratum with labelled good documents; cut is a struct of a certified cutoff per signal (null: none)."""
     good = labels.groupBy(F.col(key).alias("_k")).agg(F.max("quality").alias("_g")).filter("_g = 1")
     held = figured.filter(~base_failed(q)).select(F.col(key).alias("_k"), F.col(stratum).alias("_s"), *(_signal(s, q).alias(s) for s in SIGNALS)).join(good, "_k")
+    held = held.groupBy("_k", "_s").agg(*(F.max(s).alias(s) for s in SIGNALS))  # once for each id
     beyond = [F.count(F.when(F.col(s) > c, 1)).alias(f"{s}_{i}") for s, (_, grid) in SIGNALS.items() for i, c in enumerate(grid)]
-    by = held.groupBy("_s").agg(F.count("*").alias("_n"), *beyond)
-    own = by.filter("_s IS NOT NULL").orderBy(F.desc("_n"), "_s").limit(max_strata).select("_s", F.lit(True).alias("_own"))
-    counts = by.join(own, "_s", "left").groupBy(F.when(F.col("_own"), F.col("_s")).alias("_s"))
-    counts = counts.agg(*(F.sum(c).alias(c) for c in by.columns if c != "_s"))
-    level = delta / ((max_strata + 1) * sum(len(grid) for _, grid in SIGNALS.values()))
-    risk = alpha / len(SIGNALS)
-    cut = {}
-    for s, (_, grid) in SIGNALS.items():
-        sure = lambda c: F.when(F.col(c) < F.col("_n") * risk, binomial_cdf(F.col(c), F.col("_n"), risk) <= level)
-        cut[s] = F.array_min(F.array(*(F.when(sure(f"{s}_{i}"), F.lit(c)) for i, c in enumerate(grid))))
-    return counts.select("_s", *(x.alias(f"_cut_{s}") for s, x in cut.items()))
+    counts = materialise(held.groupBy("_s").agg(F.count("*").alias("_n"), *beyond), "quality-counts")
+    risk, level = alpha / len(SIGNALS), delta / (len(SIGNALS) * max(1, counts.count()))
+    # the tighter the cutoff, the more are beyond it, so the first that fails is followed by others that do
+    sure = lambda c: F.when(F.col(c) < F.col("_n") * risk, binomial_cdf(F.col(c), F.col("_n"), risk) <= level)
+    cut = [F.array_min(F.array(*(F.when(sure(f"{s}_{i}"), F.lit(c)) for i, c in enumerate(grid)))).cast("long").alias(s) for s, (_, grid) in SIGNALS.items()]
+    return materialise(counts.select(F.col("_s").alias("stratum"), F.struct(*cut).alias("cut")), "quality-cutoffs")
 
 
 def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", narrow: bool = False, name: str = "_q", **how) -> DataFrame:
@@ -124,12 +120,9 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     The figures are computed once and written to the shared folder, as both the thresholds and the verdicts read them.
     """
     carried = [key, stratum] if narrow else [c for c in docs.columns if c != name]
-    docs = materialise(docs.select(*carried, figures(F.col(text)).alias(name)), "quality")
-    cuts = thresholds(docs, labels, name, key, stratum, **how).collect()  # at most max_strata rows and one for null
-    lits = lambda r: F.struct(*(F.lit(r[f"_cut_{s}"] if r else None).cast("long").alias(s) for s in SIGNALS))
-    cutoffs = lits(next((r for r in cuts if r["_s"] is None), None))
-    if own := [x for r in cuts if r["_s"] is not None for x in (F.lit(r["_s"]), lits(r))]:
-        cutoffs = F.coalesce(F.try_element_at(F.create_map(*own), F.col(stratum)), cutoffs)
-    passed = lambda c: ~base_failed(name) & reduce(and_, (F.coalesce(_signal(s, name) <= c[s], F.lit(True)) for s in SIGNALS))
-    kept = F.when(base_failed(name), F.lit(False)).otherwise(let(cutoffs, passed))
-    return docs.withColumn(name, F.struct(f"{name}.*", base_failed(name).alias("base_failed"), kept.alias("kept")))
+    docs = materialise(docs.select(*(F.col(f"`{c}`") for c in carried), figures(F.col(text)).alias(name)), "quality")
+    by, cut = unused(docs.columns, "_stratum"), unused(docs.columns, "_cut")
+    cuts = thresholds(docs, labels, name, key, stratum, **how).toDF(by, cut)
+    passed = ~base_failed(name) & reduce(and_, (F.coalesce(_signal(s, name) <= F.col(f"{cut}.{s}"), F.lit(True)) for s in SIGNALS))
+    verdict = F.struct(f"{name}.*", base_failed(name).alias("base_failed"), passed.alias("kept"))
+    return docs.join(cuts, F.col(f"`{stratum}`").eqNullSafe(F.col(by)), "left").withColumn(name, verdict).drop(by, cut)

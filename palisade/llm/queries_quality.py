@@ -3,18 +3,33 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from palisade.llm import quality
-from palisade.llm.common import table
+from palisade.llm.common import spread, table
+
+FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     out = quality.judge(docs, table(spark, sf_dir, "labels"), narrow=True)
-    return out.select("doc_id", "_q.n_words", "_q.word_chars", "_q.n_symbols", "_q.n_dup_lines", "_q.n_repeat_words", "_q.base_failed", "_q.kept")
+    return out.select("doc_id", *(f"_q.{c}" for c in FIGURES))
+
+
+def quality_rules_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with every document labelled (good unless it holds "##" or "%%") and twice the risk, so that cutoffs are
+    certified on small tables too."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    labels = docs.select("doc_id", F.when(F.col("text").rlike("##|%%"), 0).otherwise(1).alias("quality"))
+    out = quality.judge(docs, labels, narrow=True, alpha=PLANTED_ALPHA)
+    return out.select("doc_id", *(f"_q.{c}" for c in FIGURES))
+
+
+PLANTED_ALPHA = 0.1
 
 
-def _sql() -> str:
+def _sql(labels: str = "labels", alpha: float = quality.ALPHA) -> str:
     div = {
         "symbols": "n_symbols * 1000 // n_words",
         "dup_lines": "n_dup_lines * 1000 // n_words",
@@ -23,8 +38,7 @@ def _sql() -> str:
         "repeats": "n_repeat_words * 1000 // n_words",
     }
     grid = ", ".join(f"('{s}', {c})" for s, (_, cuts) in quality.SIGNALS.items() for c in cuts)
-    tests = (quality.MAX_STRATA + 1) * sum(len(cuts) for _, cuts in quality.SIGNALS.values())
-    risk = quality.ALPHA / len(quality.SIGNALS)
+    risk = alpha / len(quality.SIGNALS)
     pairs = " UNION ALL ".join(f"SELECT doc_id, lang, rn, '{s}' AS signal, CASE WHEN n_words > 0 THEN {e} END AS v FROM fig" for s, e in div.items())
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS rn, doc_id, lang, coalesce(text, '') AS text FROM documents),
@@ -42,22 +56,20 @@ fig AS (SELECT w.rn, doc_id, lang, CAST(len(w) AS BIGINT) AS n_words,
         FROM w LEFT JOIN rep ON w.rn = rep.rn LEFT JOIN lines ON w.rn = lines.rn),
 base AS (SELECT rn, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM fig),
 sig AS (SELECT p.* FROM ({pairs}) p JOIN base ON p.rn = base.rn WHERE NOT base_failed),
-good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING max(quality) = 1),
-held AS (SELECT sig.* FROM sig JOIN good ON sig.doc_id = good.doc_id),
-own AS (SELECT lang FROM held WHERE lang IS NOT NULL GROUP BY lang ORDER BY count(*) DESC, lang LIMIT {quality.MAX_STRATA}),
+good AS (SELECT doc_id FROM {labels} GROUP BY doc_id HAVING max(quality) = 1),
+held AS (SELECT sig.doc_id, lang, signal, max(v) AS v FROM sig JOIN good ON sig.doc_id = good.doc_id GROUP BY ALL),
 grid(signal, cut) AS (VALUES {grid}),
-n AS (SELECT own.lang AS s, count(*) AS n FROM (SELECT DISTINCT rn, lang FROM held) h LEFT JOIN own ON h.lang = own.lang GROUP BY own.lang),
-k AS (SELECT own.lang AS s, grid.signal, cut, count(*) FILTER (WHERE v > cut) AS k
-      FROM held LEFT JOIN own ON held.lang = own.lang JOIN grid ON grid.signal = held.signal GROUP BY ALL),
+n AS (SELECT lang AS s, count(DISTINCT doc_id) AS n FROM held GROUP BY lang),
+k AS (SELECT lang AS s, grid.signal, cut, count(*) FILTER (WHERE v > cut) AS k FROM held JOIN grid ON grid.signal = held.signal GROUP BY ALL),
 sure AS (SELECT k.s, signal, cut FROM k JOIN n ON k.s IS NOT DISTINCT FROM n.s WHERE k < n * {risk!r} AND list_sum(list_transform(range(0, k + 1),
-          lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({risk!r}) + (n - i) * ln(1 - {risk!r})))) <= {quality.DELTA / tests!r}),
+          lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({risk!r}) + (n - i) * ln(1 - {risk!r})))) <= {quality.DELTA / len(quality.SIGNALS)!r} / (SELECT count(*) FROM n)),
 cuts AS (SELECT s, signal, min(cut) AS cut FROM sure GROUP BY ALL),
-bad AS (SELECT DISTINCT rn FROM sig LEFT JOIN own ON sig.lang = own.lang
-        JOIN cuts ON cuts.s IS NOT DISTINCT FROM own.lang AND cuts.signal = sig.signal WHERE v > cut)
+bad AS (SELECT DISTINCT rn FROM sig JOIN cuts ON cuts.s IS NOT DISTINCT FROM sig.lang AND cuts.signal = sig.signal WHERE v > cut)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND bad.rn IS NULL AS kept
 FROM fig JOIN base ON fig.rn = base.rn LEFT JOIN bad ON fig.rn = bad.rn"""
 
 
-QUERIES = {"op10_quality": op10_quality}
-ORACLE = {"op10_quality": _sql()}
+_PLANTED = "(SELECT doc_id, CASE WHEN regexp_matches(text, '##|%%') THEN 0 ELSE 1 END AS quality FROM documents)"
+QUERIES = {"op10_quality": op10_quality, "quality_rules_planted": quality_rules_planted}
+ORACLE = {"op10_quality": _sql(), "quality_rules_planted": _sql(_PLANTED, PLANTED_ALPHA)}

@@ -55,3 +55,31 @@ def test_odd_rows(spark, odd, empty):
     assert out.count() == odd.count() and set(out.columns) == set(odd.columns)
     for r in out.select("text", "_q.*").collect():
         assert r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"]) and r["kept"] == (not r["base_failed"])
+
+
+def test_sequence_of_tests(spark):
+    """With a fixed sequence some hundred good documents are enough, and an id that repeats counts as one of them."""
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
+    junk = lambda i: " ".join(f"w{i}x{j}$$$***" for j in range(60))
+
+    def certified(ids):
+        rows = [(i, text(n), "en") for n, i in enumerate(ids)] + [(10_000 + i, junk(i), "en") for i in range(5)]
+        labels = spark.createDataFrame([(i, 1) for i in set(ids)], "doc_id long, quality int")
+        out = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels)
+        return not any(r["kept"] for r in out.filter("doc_id >= 10000").select("_q.kept").collect())
+
+    need = math.ceil(math.log(quality.DELTA / len(quality.SIGNALS)) / math.log1p(-quality.ALPHA / len(quality.SIGNALS)))
+    assert 400 < need < 500 and certified(range(need)) and not certified(range(need - 1))
+    assert not certified([i % (need - 1) for i in range(3 * need)])
+
+
+def test_strata_stand_alone(spark):
+    """A cutoff that one stratum certifies says nothing about others, null among them."""
+    junk = lambda i: " ".join(f"w{i}x{j}$$$***" for j in range(60))
+    plain_text = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
+    rows = [(i, plain_text(i), (None, "en")[i % 2]) for i in range(2000)] + [(5000 + i, junk(i), (None, "en", "de")[i % 3]) for i in range(9)]
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, lang string, _stratum string, _cut string")
+    labels = spark.createDataFrame([(i, 1) for i in range(2000)], "doc_id long, quality int")
+    out = quality.judge(docs, labels)
+    assert out.columns == [*docs.columns, "_q"]
+    assert {r["doc_id"] - 5000: r["kept"] for r in out.filter("doc_id >= 5000").select("doc_id", "_q.kept").collect()} == {i: i % 3 == 2 for i in range(9)}
