@@ -1,10 +1,11 @@
 """Secret scans through a trigram inverted index.
 
 For every rule a Boolean query over trigrams is derived from the parse tree of its regular expression (after Cox, 2012):
-any text that the rule matches satisfies the query. Each batch of documents gets an inverted index from the trigrams
-that the queries name to the documents that hold them, with A-Z folded; queries intersect and unite postings, and only
-the candidates are verified by the expression itself. Rules without mandatory trigrams scan every text. As the index is
-partitioned by documents, no posting list grows with the input, and no shuffle is needed.
+any text that the rule matches satisfies the query. One pass over the bytes of a batch of documents, with A-Z folded,
+builds its inverted index: postings, from each trigram that a query names to the documents that hold it. Queries
+intersect postings, the rarest first, and unite them, and only the candidates are verified by the expression itself.
+Rules without mandatory trigrams scan every text. As the index is partitioned by documents, no posting list grows with
+the input, and no shuffle is needed. No rule takes more than linear time in the length of a text.
 
 Defined cases: a null or empty text has no spans; repeated rows get equal spans; ties in start follow the order of the
 rules. Matches of one rule are leftmost and don't overlap; a match that fails its length is dropped. Positions are code
@@ -48,10 +49,11 @@ RULES = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"[sr]k_(?:live|test)_[A-Za-z0-9]{16,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}"),
     Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
     Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:[^\s/:@]{3,64}@"),
 )
+STRETCH = 1 << 20  # bytes that are looked at together
 WIDEST = 64  # strings that a part of an expression may stand for before it counts as anything
 
 #: A query is True (no condition), a trigram, ("and", queries) or ("or", queries).
@@ -113,7 +115,7 @@ def _one(op, arg) -> tuple[set[str] | None, object]:
         if all(s is not None for s, _ in parts) and sum(len(s) for s, _ in parts) <= WIDEST:
             return set().union(*(s for s, _ in parts)), _both("or", [q for _, q in parts])
         return None, _both("or", [_both("and", [q, _grams(s)]) if s is not None else q for s, q in parts])
-    if op in (codes.MAX_REPEAT, codes.MIN_REPEAT):
+    if op in (codes.MAX_REPEAT, codes.MIN_REPEAT, codes.POSSESSIVE_REPEAT):
         least, most, body = arg
         some, q = _sequence(body)
         if (least, most) == (0, 1) and some is not None:
@@ -123,7 +125,7 @@ def _one(op, arg) -> tuple[set[str] | None, object]:
         if some is not None and least == most and len(some) ** least <= WIDEST:
             return {"".join(x) for x in product(some, repeat=least)}, q
         return None, _both("and", [q, _grams(some)]) if some is not None else q
-    if op is codes.AT:
+    if op in (codes.AT, codes.ASSERT, codes.ASSERT_NOT):  # takes no characters
         return {""}, True
     return None, True
 
@@ -138,13 +140,31 @@ def _names(query) -> set[str]:
     return set() if query is True else {query} if isinstance(query, str) else set().union(*map(_names, query[1]))
 
 
-class Index:
-    """Inverted index of a batch: trigram to the sorted numbers of the texts that hold it."""
+class Grams:
+    """The trigrams that queries name, numbered; `number` holds that of each of the 2^24 byte triples, 0 for all others."""
+
+    def __init__(self, names: set[str]) -> None:
+        self.names = sorted(names)
+        self.number = np.zeros(1 << 24, np.uint16)
+        for i, g in enumerate(self.names, 1):
+            self.number[int.from_bytes(g.encode(), "big")] = i
 
-    def __init__(self, texts: list[str], names: set[str]) -> None:
-        folded = [t.lower() for t in texts]  # keeps every run of ASCII characters together
-        self.size = len(texts)
-        self.postings = {g: np.array([i for i, t in enumerate(folded) if g in t], np.int64) for g in names}
+
+class Index:
+    """Inverted index of a batch: trigram to the sorted numbers of the texts that hold it, from one pass over the bytes."""
+
+    def __init__(self, texts: list[str], grams: Grams) -> None:
+        parts = [t.encode("utf-8", "surrogatepass").lower() for t in texts]
+        ends, data = np.cumsum([len(p) + 2 for p in parts]), np.frombuffer(b"\0\0".join(parts), np.uint8)
+        self.size, met = len(texts), [np.empty(0, np.int64)]
+        for at in range(0, len(data) - 2, STRETCH):
+            x = data[at : at + STRETCH + 2].astype(np.int32)
+            number = grams.number[x[:-2] << 16 | x[1:-1] << 8 | x[2:]]
+            hit = np.nonzero(number)[0]
+            met.append(np.unique(number[hit].astype(np.int64) * self.size + np.searchsorted(ends, hit + at, "right")))
+        pairs = np.unique(np.concatenate(met))
+        bounds = np.searchsorted(pairs, np.arange(1, len(grams.names) + 2) * self.size)
+        self.postings = {g: pairs[bounds[i] : bounds[i + 1]] - (i + 1) * self.size for i, g in enumerate(grams.names)}
 
     def find(self, query) -> np.ndarray:
         if query is True:
@@ -159,15 +179,15 @@ class Index:
         return out
 
 
-def compiled(rules: tuple[Rule, ...]) -> tuple[list[tuple[Rule, re.Pattern, object]], set[str]]:
+def compiled(rules: tuple[Rule, ...]) -> tuple[list[tuple[Rule, re.Pattern, object]], Grams]:
     out = [(r, re.compile(r.pattern, FLAGS | (re.IGNORECASE if r.any_case else 0)), trigrams(r.pattern)) for r in rules]
-    return out, set().union(*(_names(q) for _, _, q in out))
+    return out, Grams(set().union(*(_names(q) for _, _, q in out)))
 
 
 def spans(texts: list[str], rules: tuple[Rule, ...] = RULES) -> list[list[tuple[int, int, int]]]:
     """For each text its (start, rule number, end), sorted."""
-    ready, names = compiled(rules)
-    index, out = Index(texts, names), [[] for _ in texts]
+    ready, grams = compiled(rules)
+    index, out = Index(texts, grams), [[] for _ in texts]
     for number, (rule, pattern, query) in enumerate(ready):
         for i in index.find(query).tolist():
             for m in pattern.finditer(texts[i]):

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from palisade.llm import secrets
 from palisade.llm.queries_secrets import op7_secrets
 
-KEYS = "pass" + "word"  # spelled so that no scanner takes this file for a leak
+KEYS = re.match(r"\((\w+)", secrets.RULES[0].pattern)[1]
 
 
 def slow(text):
@@ -49,6 +50,27 @@ def test_queries_of_patterns(pattern, query):
     assert secrets.trigrams(pattern) == query
 
 
+def test_index_is_complete():
+    """Postings hold a text exactly if it holds the trigram, across stretches as well."""
+    texts = ["", "ab", "abc", "xxABCxx", "é" * 7 + "abc", "a" * (secrets.STRETCH - 1) + "bc" + "z" * 9, "b" * (2 * secrets.STRETCH) + "abc"]
+    names = {"abc", "aab", "bbb", "zzz", "qqq"}
+    found = secrets.Index(texts, secrets.Grams(names)).postings
+    assert {g: p.tolist() for g, p in found.items()} == {g: [i for i, t in enumerate(texts) if g in t.lower()] for g in names}
+
+
+@pytest.mark.parametrize("part", ["eyJ", "eyJaaaaaaaa.", "ghp_", "xoxb-", "-----BEGIN A ", "token ", "http://a:", "AKIA", "sk_live_", "f"])
+def test_long_texts_take_linear_time(part):
+    def seconds(n):
+        text, best = part * (n // len(part)), 9.0
+        for _ in range(3):
+            began = time.perf_counter()
+            secrets.spans([text])
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    assert seconds(400_000) < 20 * (seconds(50_000) + 0.005)
+
+
 def test_query(spark, small, tables):
     kinds = [r.kind for r in secrets.RULES]
     joined = lambda xs: ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in xs)
