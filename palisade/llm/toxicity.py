@@ -1,22 +1,25 @@
 """Toxicity by multiple-instance learning: a document is toxic if one of its sentences is.
 
-A sentence's probability is a logistic function of the words and word beginnings that it holds; the noisy-or of its sentences, 1 - prod(1 -
-p), is the document's. Only documents carry labels, so the weights are fitted to them through the noisy-or, and the
-sentence probabilities that come out tell where the offence is. The features are those whose
-document frequency is surely higher among toxic documents.
-
-The model is fitted on a bounded sample: the `sample` training documents whose ids have the smallest hashes, of all
-labelled documents with crc32(id as text) mod 5 other than 0. Every document is scored over its whole text.
-
-Defined cases: a null or empty text has no sentences and scores 0; repeated rows score alike; labels that repeat count
-once by their largest value, null labels not at all; a null id is held out; without both labels every score is 0. Only
-id and text are used, so other columns can't clash.
+A sentence's probability is a logistic function of the words and word beginnings that it holds; the noisy-or of its
+sentences, 1 - prod(1 - p), is the document's. Only documents carry labels, so the weights are fitted to them through the
+noisy-or, and the sentence probabilities that come out tell where the offence is. The features are those whose document
+frequency is surely higher among toxic documents.
+
+The model is fitted on a bounded sample: the `sample` labelled ids with the smallest hashes, of all with crc32(id as
+text) mod 5 other than 0; of their documents, those longer than LONGEST characters teach nothing. Every document is
+scored over its whole text.
+
+Defined cases: a null or empty text has no sentences and scores 0; repeated rows score alike; an id that repeats with
+different texts teaches by the first of them in binary order; labels that repeat count once by their largest value, null
+labels not at all; a null id is held out; without both labels every score is 0. Only id and text are used, so other
+columns can't clash.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -28,6 +31,7 @@ from palisade.llm.common import by_value
 by_value(__name__)
 #: Training documents, features, documents that hold a feature, and standard errors of its excess in toxic ones.
 SAMPLE, FEATURES, LEAST, SURE = 3000, 3000, 4, 4.0
+LONGEST = 100_000
 ROUNDS, RATE, SHRINK, START = 300, 0.1, 0.05, -6.0
 #: Lengths of word beginnings; words remembered by a worker.
 STEMS, REMEMBERED = (3, 7), 500_000
@@ -43,33 +47,31 @@ def parts(word: str) -> list[str]:
     return [word, *(word[:n] + "-" for n in range(STEMS[0], min(len(word), STEMS[1]) + 1))]
 
 
+class Known(dict):
+    """Word to those of its features that have a weight; filled as words are met, and emptied when it is full."""
+
+    def __init__(self, weights: dict[str, float]) -> None:
+        self.weights = weights
+
+    def __missing__(self, word: str) -> tuple[str, ...]:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        found = self[word] = tuple(x for x in parts(word) if x in self.weights)
+        return found
+
+
 class Model:
     """Weights of words and word beginnings, and the bias of a sentence."""
 
     def __init__(self, weights: dict[str, float], bias: float) -> None:
-        self.weights, self.bias, self.known = weights, bias, {}
-
-    def __getstate__(self):
-        return {"weights": self.weights, "bias": self.bias, "known": {}}
-
-    def features(self, word: str) -> tuple[str, ...]:
-        """Those features of a word that have a weight; remembered for words met before."""
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            found = self.known[word] = tuple(x for x in parts(word) if x in self.weights)
-        return found
+        self.weights, self.bias, self.known = weights, bias, Known(weights)
+
+    def __reduce__(self):
+        return Model, (self.weights, self.bias)
 
     def evidence(self, sentence: str) -> float | None:
         """Log-odds of a lower-cased sentence; None if nothing in it is known."""
-        known, found = self.known, set()
-        for w in WORD.findall(sentence):
-            x = known.get(w)
-            if x is None:
-                x = self.features(w)
-            if x:
-                found.update(x)
+        found = set().union(*set(map(self.known.__getitem__, WORD.findall(sentence))))
         return self.bias + sum(self.weights[x] for x in sorted(found)) if found else None
 
     def sentences(self, text: str) -> list[tuple[int, int, float]]:
@@ -91,6 +93,32 @@ class Model:
         return float(-np.expm1(-log_clean - plain * float(np.logaddexp(0.0, self.bias))))
 
 
+@dataclass
+class Bags:
+    """Documents as bags of sentences: entry i says that sentence rows[i] holds feature cols[i]; sentence s is of document
+    doc[s]; plain counts the other sentences of a document, which are all alike; y has the labels."""
+
+    rows: np.ndarray
+    cols: np.ndarray
+    doc: np.ndarray
+    plain: np.ndarray
+    y: np.ndarray
+
+    def loss(self, w: np.ndarray, b: float) -> tuple[float, np.ndarray]:
+        """Mean loss (negative log-likelihood of the labels and a pull on the weights) and its gradient by w and b."""
+        z = b + np.bincount(self.rows, w[self.cols], len(self.doc))
+        p, p_plain = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-b))
+        clean = np.bincount(self.doc, np.logaddexp(0, z), len(self.y)) + self.plain * np.logaddexp(0, b)  # -log P(no sentence)
+        clean = np.maximum(clean, 1e-9)
+        toxic = -np.expm1(-clean)
+        value = ((1 - self.y) * clean - self.y * np.log(toxic)).sum() + SHRINK / 2 * (w * w).sum()
+        slope = (1 - self.y) - self.y * np.exp(-clean) / toxic
+        by_sentence = slope[self.doc] * p
+        by_w = np.bincount(self.cols, by_sentence[self.rows], len(w)) + SHRINK * w
+        by_b = by_sentence.sum() + (slope * self.plain).sum() * p_plain
+        return value / len(self.y), np.append(by_w, by_b) / len(self.y)
+
+
 def train(texts: list[str], labels: list[int], features: int = FEATURES, least: int = LEAST, gap: float = SURE) -> Model:
     """Fit by full-batch Adam on the log-likelihood of the document labels, with an L2 pull on the weights."""
     y = np.array(labels, float)
@@ -120,17 +148,11 @@ def train(texts: list[str], labels: list[int], features: int = FEATURES, least:
                 doc.append(d)
             else:
                 plain[d] += 1
-    rows, cols, doc = (np.array(x, np.int64) for x in (rows, cols, doc))
+    bags = Bags(*(np.array(x, np.int64) for x in (rows, cols, doc)), plain, y)
     w, b = np.zeros(len(names)), START
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for step in range(1, ROUNDS + 1):
-        z = b + np.bincount(rows, w[cols], len(doc))
-        p, p_plain = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-b))
-        clean = np.bincount(doc, np.logaddexp(0, z), len(y)) + plain * np.logaddexp(0, b)  # -log P(no sentence)
-        clean = np.maximum(clean, 1e-9)
-        slope = (1 - y) - y * np.exp(-clean) / -np.expm1(-clean)  # of -log likelihood by clean
-        by_sentence = slope[doc] * p
-        grad = np.append(np.bincount(cols, by_sentence[rows], len(names)) + SHRINK * w, by_sentence.sum() + (slope * plain).sum() * p_plain) / len(y)
+        _, grad = bags.loss(w, b)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
@@ -139,11 +161,14 @@ def train(texts: list[str], labels: list[int], features: int = FEATURES, least:
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Model:
     marks = labels.filter("toxic IS NOT NULL").filter(~held_out(F.col(key))).groupBy(F.col(key).alias("_k")).agg(F.max("toxic").alias("_y"))
-    # at most `sample` ids, with one row each
-    chosen = marks.filter("_k IS NOT NULL").orderBy(F.xxhash64("_k"), "_k").limit(sample)
-    rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(chosen), "_k").dropDuplicates(["_k"])
+    marks = marks.filter("_k IS NOT NULL").withColumn("_h", F.xxhash64("_k"))
+    # tasks send no more than their share of the ids, and a little; at most `sample` ids are chosen
+    share = min(1.0, 1.5 * sample / max(1, marks.count()) + 1e-5)
+    chosen = marks.filter(F.pmod("_h", F.lit(1 << 30)) <= int(share * (1 << 30))).orderBy(F.pmod("_h", F.lit(1 << 30)), "_k").limit(sample)
+    some = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).filter(F.coalesce(F.length("_t"), F.lit(0)) <= LONGEST)
+    rows = some.join(F.broadcast(chosen), "_k").groupBy("_k", "_y").agg(F.min(F.coalesce("_t", F.lit(""))).alias("_t"))
     rows = sorted(rows.select("_k", "_t", "_y").collect())
-    return train([r["_t"] or "" for r in rows], [int(r["_y"]) for r in rows])
+    return train([r["_t"] for r in rows], [int(r["_y"]) for r in rows])
 
 
 def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
