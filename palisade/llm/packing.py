@@ -1,18 +1,21 @@
 """Packing documents into token sequences by cutting-stock column generation.
 
-Each document's token ids are cut at multiples of the sequence length; whole pieces are sequences of their own. A rest
-above half the length is cut there too, as pieces of at most half fill sequences nearly without a gap. The rests have fewer than `capacity` lengths, so their histogram is of bounded size whatever the input. On the driver, a
-linear program over patterns (how many pieces of each length share a sequence) is solved by the revised simplex method;
-a knapsack dynamic program over the dual prices, smoothed towards the best ones known, yields the next pattern, until
-the solution is within GAP of the lower bound. Pattern counts are rounded down and what is left is packed by best-fit decreasing. Pieces of each length are
-ranked in distributed cells; a piece's rank tells its pattern, the copy of it and the place in it by arithmetic.
+Each document's token ids are cut at multiples of the sequence length only; whole pieces are sequences of their own, and
+documents that fit a sequence stay in one piece. For the program, lengths are rounded up to multiples of UNIT, so the
+histogram has at most capacity / UNIT rows whatever the input. On the driver, a linear program over patterns (how many
+pieces of each length share a sequence) is solved by the revised simplex method. It starts from the patterns of best-fit
+decreasing, of which it takes a basis that needs no more sequences; a knapsack dynamic program over the dual prices,
+smoothed towards the best ones known, yields the next pattern, until the solution is within GAP, or half a sequence, of
+the lower bound. Pattern counts are rounded down and what is left is packed by best-fit decreasing. Pieces of each length
+are ranked in distributed cells; a piece's rank tells its pattern, the copy of it and the place in it by arithmetic.
+Within a sequence, of at most `capacity` pieces, offsets add up the true lengths.
 
 Ids come from a `tokenizers` file. Where a byte-pair ranks file of the same vocabulary is given as well, plain Latin
 texts take the faster encoder, which gives the same ids; all other texts, and those that spell a special token, take
 `tokenizers`.
 
 Defined cases: a null text counts as empty and gives just the end id; long texts give several pieces; repeated rows are
-separate documents; an empty table gives no rows. Ties in length are ranked by cell, `order` and start. Only the
+separate documents; an empty table gives no rows. Pieces of a rounded length are ranked by cell, `order`, key and start. Only the
 named columns are used, so other columns can't clash.
 """
 
@@ -35,7 +38,9 @@ from palisade.llm import sharding
 from palisade.llm.common import by_value, materialise
 
 by_value(__name__)
-CAPACITY, END, UNIT, GAP, SMOOTH = 1024, 0, 16, 1e-4, 0.9
+CAPACITY, END, UNIT, GAP, SMOOTH = 1024, 0, 4, 1e-4, 0.9
+#: Rows for which a cell is meant.
+CELL = 1 << 16
 #: Pre-tokenisation pattern of the byte-level vocabulary, as the ranks file's encoder needs it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 UNUSUAL = regex.compile(r"[^\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ]|<\|endoftext\|>")
@@ -54,14 +59,9 @@ def encoder(path: str, ranks: str | None):
     return lambda t: whole(t) if UNUSUAL.search(t) else np.array(fast.encode_ordinary(t), np.uint32)
 
 
-def cuts(n: int, capacity: int, unit: int = UNIT) -> list[tuple[int, int]]:
-    """Where n ids are cut: at multiples of the capacity, in its middle if the rest is longer, and at the last multiple
-    of the unit."""
-    ends = [*range(capacity, n + 1, capacity)]
-    last = ends[-1] if ends else 0
-    ends += [last + capacity // 2] * (n - last > capacity // 2)
-    last = ends[-1] if ends else 0
-    ends += [last + (n - last) // unit * unit] * (unit <= n - last and (n - last) % unit > 0) + [n] * (n > last)
+def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
+    """Where n ids are cut: at multiples of the capacity."""
+    ends = [*range(capacity, n, capacity), n]
     return [*zip([0, *ends], ends, strict=False)]
 
 
@@ -113,18 +113,75 @@ def knapsack(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[fl
     return float(best[capacity]), counts
 
 
+def heuristic(demand: dict[int, int], capacity: int) -> Counter:
+    """Best-fit decreasing: patterns, as sorted pairs of length and number, with their counts."""
+    bins: dict[int, Counter] = {}
+    for size, start, end, b in sharding.best_fit(sorted(((x, n) for x, n in demand.items() if n), reverse=True), capacity):
+        bins.setdefault(b, Counter())[size] += end - start
+    return Counter(tuple(sorted(p.items())) for p in bins.values())
+
+
+class Basis:
+    """A basis of patterns (columns) for the lengths (rows), its inverse, and the patterns' counts."""
+
+    def __init__(self, lengths: np.ndarray, capacity: int) -> None:
+        most = (capacity // lengths).astype(float)
+        self.columns, self.inverse, self.amounts = np.diag(most), np.diag(1 / most), np.zeros(len(lengths))
+        self.row, self.swaps = {int(x): i for i, x in enumerate(lengths)}, 0
+
+    def column(self, pattern) -> np.ndarray:
+        out = np.zeros(len(self.row))
+        for x, n in pattern:
+            out[self.row[x]] = n
+        return out
+
+    def leaving(self, change: np.ndarray) -> tuple[int, float]:
+        """(basis column, copies): as copies of a pattern move in, which takes `change` from the basis, the first column
+        that falls to zero, and when; of those at the same time the one that changes most, for the sake of precision."""
+        ratios = np.full(len(change), np.inf)
+        able = change > 1e-7
+        ratios[able] = np.maximum(self.amounts[able], 0) / change[able]
+        least = ratios.min()
+        tied = np.nonzero(ratios <= least + 1e-9)[0]
+        return int(tied[change[tied].argmax()]), float(least)
+
+    def swap(self, out: int, column: np.ndarray, change: np.ndarray) -> None:
+        """column takes the place of the basis column `out`; change: column in terms of the basis."""
+        self.columns[:, out] = column
+        self.swaps += 1
+        if self.swaps % 100 == 0:  # afresh, against rounding errors
+            self.inverse = np.linalg.inv(self.columns)
+            return
+        row = self.inverse[out] / change[out]
+        self.inverse -= np.outer(change, row)
+        self.inverse[out] = row
+
+    def absorb(self, column: np.ndarray, copies: float) -> None:
+        """Take over so many copies of a pattern without more sequences than they are: in place of basis patterns if it
+        is worth more than they are, else by patterns of the basis, as far as none falls below zero."""
+        change = self.inverse @ column
+        sign = 1 if change.sum() > 1 + 1e-9 else -1
+        out, move = self.leaving(sign * change)
+        if sign < 0 and move >= copies:
+            self.amounts = np.maximum(self.amounts + copies * change, 0)
+            return
+        self.amounts = np.maximum(self.amounts - sign * move * change, 0)
+        self.amounts[out] = copies + sign * move
+        self.swap(out, column, change)
+
+
 def relaxed(demand: dict[int, int], capacity: int, gap: float = GAP) -> list[tuple[dict[int, int], float]]:
     """(pattern, count) pairs that meet the demand with nearly the fewest sequences, counts not yet whole."""
     lengths = np.array(sorted(demand))
     need = np.array([demand[x] for x in lengths.tolist()], float)
-    basis = np.diag((capacity // lengths).astype(float))
-    inverse = np.diag(1 / np.diag(basis))
+    basis = Basis(lengths, capacity)
+    for pattern, copies in heuristic(demand, capacity).items():
+        basis.absorb(basis.column(pattern), copies)
     inner = lengths / capacity  # prices under which no pattern is worth more than 1: need @ inner is a lower bound
-    for step in range(20 * len(lengths) + 100):
-        if step % 400 == 399:
-            inverse = np.linalg.inv(basis)
-        prices, amounts = inverse.sum(axis=0), inverse @ need
-        if amounts.sum() <= (need @ inner) * (1 + gap):
+    basis.inverse = np.linalg.inv(basis.columns)
+    for _ in range(20 * len(lengths) + 100):
+        basis.amounts, prices, bound = basis.inverse @ need, basis.inverse.sum(axis=0), need @ inner
+        if basis.amounts.sum() <= max(bound * (1 + gap), bound + 0.5):
             break
         for weight in (SMOOTH, SMOOTH / 2, 0.0):
             mixed = weight * inner + (1 - weight) * prices
@@ -135,17 +192,10 @@ def relaxed(demand: dict[int, int], capacity: int, gap: float = GAP) -> list[tup
                 break
         else:
             break  # no pattern improves: optimal
-        change = inverse @ column
-        able = change > 1e-9
-        ratios = np.full(len(change), np.inf)
-        ratios[able] = np.maximum(amounts[able], 0) / change[able]
-        out = int(ratios.argmin())
-        row = inverse[out] / change[out]
-        inverse -= np.outer(change, row)
-        inverse[out] = row
-        basis[:, out] = column
-    amounts = np.linalg.solve(basis, need)
-    return [({int(x): int(n) for x, n in zip(lengths, basis[:, j], strict=True) if n}, float(v)) for j, v in enumerate(amounts) if v > 1e-9]
+        change = basis.inverse @ column
+        basis.swap(basis.leaving(change)[0], column, change)
+    amounts = np.linalg.solve(basis.columns, need)
+    return [({int(x): int(n) for x, n in zip(lengths, basis.columns[:, j], strict=True) if n}, float(v)) for j, v in enumerate(amounts) if v > 1e-9]
 
 
 def plan(demand: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, dict[int, int]]]:
@@ -158,15 +208,11 @@ def plan(demand: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, di
         if copies > 0:
             out.append((copies, pattern))
             left.subtract({x: n * copies for x, n in pattern.items()})
-    rest: dict[int, Counter] = {}
-    for size, start, end, b in sharding.best_fit(sorted(((x, n) for x, n in left.items() if n), reverse=True), capacity):
-        rest.setdefault(b, Counter())[size] += end - start
-    same = Counter(tuple(sorted(p.items())) for p in rest.values())
-    return out + [(n, dict(p)) for p, n in same.items()]
+    return out + [(n, dict(p)) for p, n in heuristic(left, capacity).items()]
 
 
 def intervals(demand: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
-    """(length, from, to, first sequence, pieces a copy, offset): where pieces of a length with those ranks go."""
+    """(length, from, to, first sequence, pieces a copy, place): where pieces of a length with those ranks go."""
     out, used, sequence = [], Counter(), 0
     for copies, pattern in plan(demand, capacity):
         offset = 0
@@ -178,26 +224,30 @@ def intervals(demand: dict[int, int], capacity: int) -> list[tuple[int, int, int
     return out
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY, key: str = "doc_id", order: tuple[str, ...] = (), cell: Column | None = None) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = CAPACITY, key: str = "doc_id", order: tuple[str, ...] = (), cell: Column | None = None, unit: int = UNIT) -> DataFrame:
     """The pieces with sequence_id and offset (gapless from 0 in each sequence). cell and order rank the pieces of a
     length; without them the order is that of a hash of the key."""
     cut = materialise(cut, "pieces")
-    full = F.col("length") == capacity
-    own = F.pmod(F.xxhash64(key, "start"), F.when(full, F.lit(65536)).otherwise(F.lit(256)))  # at most 327,424 cells
-    cut_cells = cut.withColumn("_cell", own if cell is None else cell)
-    by_length = Window.partitionBy("length").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cut_cells.groupBy("length", "_cell").agg(F.count("*").alias("_n"))
-    cells = materialise(cells.withColumn("_off", F.coalesce(F.sum("_n").over(by_length), F.lit(0))), "piece-cells")
-    demand = {r["length"]: r["n"] for r in cells.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most `capacity` rows
+    size = F.least(F.ceil(F.col("length") / unit) * unit, F.lit(capacity)).alias("_size")
+    demand = {r["_size"]: r["n"] for r in cut.groupBy(size).agg(F.count("*").alias("n")).collect()}  # at most capacity / unit rows
+    if cell is None:  # as many cells as a length has rows for
+        dealt = [(x, -(-n // CELL)) for x, n in demand.items() if n > CELL]
+        many = F.coalesce(*(F.when(F.col("_size") == x, n) for x, n in dealt), F.lit(1))
+        cell = F.pmod(F.xxhash64(key, "start"), many)
+    ranked = cut.withColumn("_size", size).withColumn("_cell", cell)
+    cells = ranked.groupBy("_size", "_cell").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_size").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = materialise(cells.select("_size", "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")), "piece-cells")
     whole = demand.pop(capacity, 0)
     table = [(capacity, 0, whole, 0, 1, 0)] + [(x, a, b, s + whole, n, o) for x, a, b, s, n, o in intervals(demand, capacity)]
-    places = cut.sparkSession.createDataFrame(table, "length long, _from long, _to long, _first long, _each long, _at long")
-    rank = F.row_number().over(Window.partitionBy("length", "_cell").orderBy(*order, key, "start")) - 1
-    ranked = cut_cells.withColumn("_rank", rank).join(cells.drop("_n"), ["length", "_cell"]).withColumn("_rank", F.col("_rank") + F.col("_off"))
+    places = cut.sparkSession.createDataFrame(table, "_size long, _from long, _to long, _first long, _each long, _at long")
+    rank = F.row_number().over(Window.partitionBy("_size", "_cell").orderBy(*order, key, "start")) - 1
+    ranked = ranked.withColumn("_rank", rank).join(cells, ["_size", "_cell"]).withColumn("_rank", F.col("_rank") + F.col("_off"))
     # the table of patterns is bounded by the number of lengths, not by the input
-    placed = ranked.join(F.broadcast(places), "length").filter("_rank >= _from AND _rank < _to")
-    sequence, offset = F.expr("_first + (_rank - _from) div _each"), F.expr("_at + (_rank - _from) % _each * length")
-    return placed.select(*cut.columns, sequence.alias("sequence_id"), offset.alias("offset"))
+    placed = ranked.join(F.broadcast(places), "_size").filter("_rank >= _from AND _rank < _to")
+    placed = placed.withColumn("sequence_id", F.expr("_first + (_rank - _from) div _each")).withColumn("_at", F.expr("_at + (_rank - _from) % _each * _size"))
+    within = Window.partitionBy("sequence_id").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    return placed.select(*cut.columns, "sequence_id", F.coalesce(F.sum("length").over(within), F.lit(0)).alias("offset"))
 
 
 def sequences(packed: DataFrame, capacity: int = CAPACITY, end: int = END) -> DataFrame:
