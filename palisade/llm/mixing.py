@@ -10,8 +10,8 @@ frame of Q slots is scheduled, by a fold over its slots, and block j of a source
 No row is dropped or repeated: as a source runs out, its later slots stay empty and the others keep their proportions.
 
 Defined cases: a null source, or one without a weight of its own, belongs to the class "*", which takes its own weight;
-a null or negative size counts as 0. Rows of a source are ordered by an md5 bucket of the id and then by id and size, so
-repeated rows follow one another. Rows longer than a block leave later blocks of their source without a row that begins
+a null or negative size counts as 0. Rows of a source are ordered by an md5 bucket of the id (of the size, where the id is
+null) and then by id and size, so repeated rows follow one another. Rows longer than a block leave later blocks of their source without a row that begins
 there. Other columns pass through; one named `mix` is replaced by `mix` and kept by `in_order`.
 """
 
@@ -47,8 +47,9 @@ def frame(spark, weights: dict[str, int]) -> DataFrame:
     return slots.select(F.get(names, F.col("c")).alias("class"), F.expr(f"get({w}, c)").cast("long").alias("w"), k.cast("long").alias("k"), F.col("at").cast("long").alias("at"))
 
 
-def _bucket(key: Column) -> Column:
-    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 7), 16, 10).cast("long") % BUCKETS
+def _bucket(key: Column, size: Column) -> Column:
+    named = F.coalesce(key.cast("string"), F.concat(F.lit("size "), size.cast("string")))
+    return F.conv(F.substring(F.md5(named), 1, 7), 16, 10).cast("long") % BUCKETS
 
 
 def _mixed(docs: DataFrame, weights: dict[str, int], size: Column, key: str, source: str, block: int) -> DataFrame:
@@ -56,7 +57,7 @@ def _mixed(docs: DataFrame, weights: dict[str, int], size: Column, key: str, sou
     own = [c for c in weights if c != "*"]
     given = F.when(F.col(source).isin(own), F.col(source)).otherwise("*")
     whole = F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)).cast("long")
-    docs = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), F.col(key).alias("_id"), given.alias("_class"), _bucket(F.col(key)).alias("_bucket"), whole.alias("_size"))
+    docs = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), F.col(key).alias("_id"), given.alias("_class"), _bucket(F.col(key), whole).alias("_bucket"), whole.alias("_size"))
     sums = materialise(docs.groupBy("_class", "_bucket").agg(F.sum("_size").alias("_sum")), "mix-sums")
     earlier = Window.partitionBy("_class").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("_class", "_bucket", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))

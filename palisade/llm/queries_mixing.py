@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from palisade.llm import mixing
 from palisade.llm.common import table, utf8_size
 
-#: Percent of the mixed bytes for each source; "*" stands for all others together.
-WEIGHTS = {"src0": 10, "src1": 12, "src2": 11, "src3": 9, "src4": 8, "src5": 7, "src6": 5, "src7": 3, "*": 35}
+#: Percent of the mixed bytes for each source; "*" stands for unknown sources and null together.
+WEIGHTS = {"src0": 10, "src1": 12, "src2": 11, "src3": 9, "src4": 8, "src5": 7, "src6": 5, "src7": 3, **{f"src{i}": 2 for i in range(8, 20)}, "*": 11}
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ frame(t, done, c) AS (
 slots AS (SELECT class, w, t - 1 AS place, row_number() OVER (PARTITION BY c ORDER BY t) - 1 AS k FROM frame JOIN named ON named.i = c - 1),
 docs AS (SELECT doc_id, CASE WHEN source IN (SELECT class FROM named WHERE class <> '*') THEN source ELSE '*' END AS class,
            coalesce(strlen(text), 0) + 8 AS bytes,
-           CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 7) AS BIGINT) % {mixing.BUCKETS} AS b FROM documents),
+           CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'size ' || (coalesce(strlen(text), 0) + 8))), 1, 7) AS BIGINT) % {mixing.BUCKETS} AS b FROM documents),
 starts AS (SELECT *, CAST(coalesce(sum(bytes) OVER (PARTITION BY class ORDER BY b, doc_id, bytes ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM docs),
 blocks AS (SELECT starts.*, start // {mixing.BLOCK} AS block, w FROM starts JOIN named ON named.class = starts.class)
 SELECT doc_id, bytes, blocks.class, block, block * {total} // blocks.w AS release,
