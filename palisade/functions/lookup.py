@@ -4,22 +4,17 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Up to so many pivots the search becomes one generated expression; beyond, a vectorised function.
-INLINE = 256
 
-
-def place(pivots: list[int], value: int) -> int:
-    """The first i with value <= pivots[i], or the last partition."""
-    return min(bisect_left(pivots, value), len(pivots) - 1)
+def place(pivots: list[int], value) -> int:
+    """The first i with value <= pivots[i], or the last partition; a null value goes to the last one."""
+    return len(pivots) - 1 if value is None else min(bisect_left(pivots, value), len(pivots) - 1)
 
 
 def partition_of(value: Column, pivots: list[int]) -> Column:
-    """`place` as a column: a balanced tree of comparisons, which stays in generated code."""
+    """`place` as a column: a balanced tree of comparisons, whatever the number of pivots and the type of the value."""
 
     def tree(low: int, high: int) -> Column:
         if low == high:
@@ -27,12 +22,4 @@ def partition_of(value: Column, pivots: list[int]) -> Column:
         middle = (low + high) // 2
         return F.when(value <= pivots[middle], tree(low, middle)).otherwise(tree(middle + 1, high))
 
-    if len(pivots) <= INLINE:
-        return tree(0, len(pivots) - 1)
-    bounds = np.array(pivots[:-1], np.int64)
-
-    @F.pandas_udf("int")
-    def search(v: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, v.to_numpy(), side="left").astype(np.int32))
-
-    return search(value.cast("long"))
+    return tree(0, len(pivots) - 1)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FractionalType
 
 from palisade.operators.relational import POS, select_first
 
@@ -18,16 +19,17 @@ def first_position(table: DataFrame, column: str, value: int) -> int | None:
     return found and found[0]
 
 
-def insert(table: DataFrame, rows: list[tuple]) -> DataFrame:
+def insert(table: DataFrame, rows: list[tuple], last: int | None = None) -> DataFrame:
     """table with rows appended; each has a value for every column but pos, and may have more, which are ignored. New
-    positions follow the largest one. That one is looked up at once, as is the position to delete or update below: a
-    plan that held the look-up would double with every change."""
+    positions follow the largest one (`last`, where it is known). That one is looked up at once, as is the position to
+    delete or update below: a plan that held the look-up would double with every change."""
     columns = [f for f in table.schema if f.name != POS]
     if any(len(r) < len(columns) for r in rows):
         raise ValueError(f"a row needs {len(columns)} values")
     schema = ", ".join(["pos long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in columns)])
-    start = last_position(table) + 1
-    new = table.sparkSession.createDataFrame([(start + i, *r[: len(columns)]) for i, r in enumerate(rows)], schema)
+    start = (last_position(table) if last is None else last) + 1
+    typed = lambda r: (float(v) if isinstance(f.dataType, FractionalType) and v is not None else v for v, f in zip(r, columns, strict=False))
+    new = table.sparkSession.createDataFrame([(start + i, *typed(r)) for i, r in enumerate(rows)], schema)
     return table.unionByName(new)
 
 

@@ -1,27 +1,32 @@
 """Range partitioning of a table on the values of one column.
 
-Partition i holds the values above pivot i-1 and up to pivot i; the last one takes everything above. The assignment is
-stable: rows of a partition keep their order. On disk every partition is a directory `part_id=i`, and since Spark can't
-derive part_id from a predicate on the column, selections here add the partitions that can hold matches.
+Partition i holds the values above pivot i-1 and up to pivot i; the last one takes everything above, and nulls. The
+assignment is stable: rows of a partition keep their order. On disk every partition is a directory `part_id=i`, and since
+Spark can't derive part_id from a predicate on the column, selections here add the partitions that can hold matches.
+
+A `Store` is a layout under change: each write of some partitions makes directories `version=v/part_id=i` beside the ones
+before, which stay as they are for frames that read them. The store knows the version of each partition.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, IntegerType, IntegralType, StructField, StructType
 
 from palisade.functions.comparators import between
 from palisade.functions.lookup import partition_of, place
 from palisade.operators.relational import POS
 
-PART = "part_id"
+PART, VERSION = "part_id", "version"
 
 
 @dataclass(frozen=True)
 class Layout:
-    """Ascending pivots of a column and, per partition, free slots for later inserts (bookkeeping only)."""
+    """Ascending pivots of a column and, per partition, the share of free slots for later inserts (`ghosts`)."""
 
     column: str
     pivots: tuple[int, ...]
@@ -31,12 +36,18 @@ class Layout:
         if not self.pivots or list(self.pivots) != sorted(set(self.pivots)):
             raise ValueError("pivots ascend, and there is at least one")
 
-    def part(self, value: int) -> int:
+    def part(self, value) -> int:
         return place(list(self.pivots), value)
 
-    def span(self, low: int | None, high: int | None) -> tuple[int, int]:
-        """First and last partition that can hold low <= value < high."""
-        return 0 if low is None else self.part(low), len(self.pivots) - 1 if high is None else self.part(high - 1)
+    def span(self, low, high, whole: bool = True) -> tuple[int, int]:
+        """First and last partition that can hold low <= value < high. whole: values are whole numbers, so none lies
+        between high - 1 and high."""
+        last = len(self.pivots) - 1 if high is None else self.part(high - 1 if whole else high)
+        return 0 if low is None else self.part(low), last
+
+
+def whole(kind: DataType) -> bool:
+    return isinstance(kind, IntegralType)
 
 
 def assign(table: DataFrame, layout: Layout) -> DataFrame:
@@ -95,7 +106,7 @@ def select_range(assigned: DataFrame, layout: Layout, low: int | None, high: int
     """low <= column < high, reading only the partitions between those of the bounds."""
     if low is not None and high is not None and low >= high:
         return assigned.filter(F.lit(False))
-    first, last = layout.span(low, high)
+    first, last = layout.span(low, high, whole(assigned.schema[layout.column].dataType))
     return assigned.filter(F.col(PART).between(first, last) & between(F.col(layout.column), low, high))
 
 
@@ -119,6 +130,41 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+@dataclass
+class Store:
+    """Where the partitions of a laid-out table are: `held` maps a partition to the version that holds it. Versions are
+    random numbers, so several sessions can go on from one saved store. sort: a column that orders files."""
+
+    path: str
+    layout: Layout
+    schema: StructType  # without part_id
+    sort: str | None = None
+    held: dict[int, int] = field(default_factory=dict)
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        """The table as it is now. Each partition held is listed, so part_id prunes directories."""
+        typed = StructType([*self.schema, StructField(VERSION, IntegerType()), StructField(PART, IntegerType())])
+        if not self.held:
+            return spark.createDataFrame([], typed).drop(VERSION)
+        paths = [f"{self.path}/{VERSION}={v}/{PART}={i}" for i, v in sorted(self.held.items())]
+        return spark.read.schema(typed).option("basePath", self.path).parquet(*paths).drop(VERSION)
+
+    def write(self, rows: DataFrame, parts: list[int] | None = None) -> None:
+        """Write the given partitions (all, if none are given) from rows with part_id. Emptied ones are held no more."""
+        spark, version = rows.sparkSession, uuid.uuid4().int >> 98
+        rows = rows if parts is None else rows.filter(F.col(PART).isin(parts))
+        folder = f"{self.path}/{VERSION}={version}"
+        rows = rows.select(*self.schema.names, PART).hint("rebalance", PART)
+        if self.sort:
+            rows = rows.sortWithinPartitions(PART, self.sort)
+        rows.write.partitionBy(PART).parquet(folder)
+        listed = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        names = [f.getPath().getName() for f in listed.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(listed)]
+        made = [int(n.rpartition("=")[2]) for n in names if n.startswith(f"{PART}=")]
+        kept = {} if parts is None else {i: v for i, v in self.held.items() if i not in parts}
+        self.held = kept | dict.fromkeys(made, version)
+
+
 def equal_depth(table: DataFrame, column: str, parts: int) -> Layout:
     """Pivots at the quantiles, from a sketch of bounded size; `tiles` gives exact ones."""
     shares = [(i + 1) / parts for i in range(parts)]
@@ -135,29 +181,27 @@ def equal_width(table: DataFrame, column: str, parts: int) -> Layout:
     return Layout(column, tuple(sorted({int(low + (high - low) * (i + 1) // parts) for i in range(parts)})))
 
 
-def running(values: DataFrame, column: str, count: str, cells: int = 4096) -> DataFrame:
-    """values with `upto`: the sum of counts up to and with each value. Values are summed within equally wide cells, of
-    which there are at most `cells` + 1, and offset by the sums of the cells before."""
-    low, high = values.agg(F.min(column), F.max(column)).first()
-    if high is None:
-        return values.withColumn("upto", F.lit(0).cast("long"))
-    width = max(1, -(-(int(high) - int(low) + 1) // cells))
-    celled = values.withColumn("_cell", F.expr(f"({column} - {low}) div {width}"))
+def running(values: DataFrame, column: str, count: str, cells: int = 256) -> DataFrame:
+    """values with `upto`: the sum of counts up to and with each value. Values are summed within cells that hold about
+    equally many of them, and offset by the sums of the cells before."""
+    cut = equal_depth(values, column, cells)
+    celled = values.withColumn("_cell", partition_of(F.col(column), list(cut.pivots)))
     before = F.sum("_n").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
     sums = celled.groupBy("_cell").agg(F.sum(count).alias("_n")).select("_cell", F.coalesce(before, F.lit(0)).alias("_off"))
     within = F.sum(count).over(Window.partitionBy("_cell").orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
+    # a row per cell
     return celled.withColumn("_in", within).join(F.broadcast(sums), "_cell").withColumn("upto", F.col("_in") + F.col("_off")).drop("_cell", "_in", "_off")
 
 
 def tiles(table: DataFrame, column: str, parts: int) -> DataFrame:
-    """(tile, pivot, size): the exact equal-depth tiles by value and position, from the counts of values alone."""
-    spread = running(table.groupBy(column).agg(F.count("*").alias("n")), column, "n")
+    """(tile, pivot, size): the exact equal-depth tiles by value and position, from the counts of values alone. The first
+    tiles hold one row more than the others, so the tiles that end among a value's rows follow by arithmetic."""
     small, more = divmod(table.count(), parts)
-    ends = [(i + 1, i * small + min(i, more), (i + 1) * small + min(i + 1, more)) for i in range(parts)]
-    ends = [x for x in ends if x[2] > x[1]]
-    limits = table.sparkSession.createDataFrame(ends, "tile int, low long, high long")
-    hit = spread.join(F.broadcast(limits), (F.col("upto") >= F.col("high")) & (F.col("upto") - F.col("n") < F.col("high")))  # `parts` rows
-    return hit.select("tile", F.col(column).alias("pivot"), (F.col("high") - F.col("low")).alias("size"))
+    spread = running(table.groupBy(column).agg(F.count("*").alias("n")), column, "n")
+    ended = lambda rows: f"if({rows} <= {more * (small + 1)}, ({rows}) div {small + 1}, {more} + ({rows} - {more * (small + 1)}) div {max(1, small)})"
+    hit = spread.select(F.col(column).alias("pivot"), F.expr(f"{ended('(upto - n)')} + 1").alias("a"), F.expr(ended("upto")).alias("b")).filter("a <= b")
+    hit = hit.select("pivot", F.explode(F.sequence("a", "b")).alias("tile"))
+    return hit.select(F.col("tile").cast("int").alias("tile"), "pivot", F.when(F.col("tile") <= more, small + 1).otherwise(small).cast("long").alias("size"))
 
 
 def sorted_layout(table: DataFrame, column: str) -> DataFrame:

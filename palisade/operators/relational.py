@@ -80,10 +80,10 @@ def sort_values(rows: DataFrame, column: str) -> DataFrame:
     return rows.orderBy(column)
 
 
-def printed(rows: DataFrame, *values: Column) -> DataFrame:
-    """Values in the order of positions."""
+def printed(rows: DataFrame, *values: Column, by: str = POS) -> DataFrame:
+    """Values in the order of positions, or of another column."""
     named = [v.alias("val" if len(values) == 1 else f"val{i}") for i, v in enumerate(values)]
-    return rows.orderBy(POS).select(*named)
+    return rows.orderBy(by).select(*named)
 
 
 def histogram(rows: DataFrame, column: str, low: float, high: float, bins: int) -> DataFrame:

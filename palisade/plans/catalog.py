@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from palisade.operators.layout import PART, Layout
+from palisade.operators.layout import PART, Layout, Store
 from palisade.operators.relational import POS
 from palisade.sources import binary
 
@@ -21,15 +22,23 @@ class CommandError(ValueError):
 @dataclass
 class Table:
     """A table: declared columns and the current version, a data frame (pos, columns) or, with a layout, (pos, columns,
-    part_id). Versions are never changed, only replaced."""
+    part_id). Versions are never changed, only replaced. With a layout, `store` holds the partitions; `dirty` are those
+    that changes have touched since they were written. `last` is the largest position, where it is known."""
 
     name: str
     arity: int
     columns: list[str] = field(default_factory=list)
     rows: DataFrame | None = None
     version: int = 0
-    indexed: str | None = None
-    layout: Layout | None = None
+    orders: dict[str, str] = field(default_factory=dict)
+    store: Store | None = None
+    dirty: set[int] = field(default_factory=set)
+    changes: int = 0
+    last: int | None = None
+
+    @property
+    def layout(self) -> Layout | None:
+        return self.store and self.store.layout
 
     def schema(self) -> StructType:
         return StructType([StructField(POS, LongType(), False), *(StructField(c, IntegerType()) for c in self.columns)])
@@ -61,13 +70,15 @@ class Catalog:
             raise CommandError("a table has at least one column")
         self.tables[f"{db}.{name}"] = Table(f"{db}.{name}", arity)
 
-    def create_column(self, name: str, table: str) -> None:
+    def create_column(self, name: str, table: str, order: str | None = None) -> None:
         t = self.table(table)
         if len(t.columns) == t.arity:
             raise CommandError(f"{table} has all its {t.arity} columns")
         if name in t.columns or name in (POS, PART):
             raise CommandError(f"{table} can't have another column {name}")
         t.columns.append(name)
+        if order in ("sorted", "btree"):
+            t.orders[name] = order
 
     def drop_table(self, name: str) -> None:
         self.table(name)
@@ -105,20 +116,34 @@ class Catalog:
         return self.spark.createDataFrame(rows, "db string, table string, length long, column string")
 
     def save(self, folder: str) -> None:
-        """Every table as Parquet, and the catalog as one JSON line."""
-        described = {"db": self.db, "tables": [{"name": t.name, "arity": t.arity, "columns": t.columns, "pivots": t.layout and list(t.layout.pivots), "indexed": t.indexed} for t in self.tables.values()]}
-        self.spark.createDataFrame([(json.dumps(described),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/catalog")
+        """Every table as Parquet, in partition directories if it has a layout, in new folders below this one; then the
+        catalog, one JSON line that names them. So a catalog can be saved where it was opened, and until its line is
+        written the saved state is the one before. Folders that the line doesn't name any more can be deleted."""
+        described = []
         for t in self.tables.values():
-            t.frame(self.spark).write.mode("overwrite").parquet(f"{folder}/{t.name}")
+            rows, name, laid = t.frame(self.spark), f"{t.name}-{uuid.uuid4().hex}", None
+            if t.store:
+                saved = Store(f"{folder}/{name}", t.layout, t.store.schema, t.store.sort)
+                saved.write(rows)
+                laid = {"column": t.layout.column, "pivots": list(t.layout.pivots), "ghosts": list(t.layout.ghosts), "sort": saved.sort, "held": saved.held}
+            else:
+                rows.write.parquet(f"{folder}/{name}")
+            described.append({"name": t.name, "arity": t.arity, "columns": t.columns, "orders": t.orders, "layout": laid, "folder": name, "schema": rows.schema.jsonValue()})
+        line = json.dumps({"db": self.db, "tables": described})
+        self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/catalog")
 
     @staticmethod
     def open(spark: SparkSession, folder: str) -> Catalog:
         out, described = Catalog(spark), json.loads(spark.read.text(f"{folder}/catalog").first()["value"])
         out.db = described["db"]
         for x in described["tables"]:
-            t = Table(x["name"], x["arity"], x["columns"], spark.read.parquet(f"{folder}/{x['name']}"), 0, x["indexed"])
-            t.layout = x["pivots"] and Layout(x["indexed"], tuple(x["pivots"]))
-            out.tables[t.name] = t
+            path, schema = f"{folder}/{x['folder']}", StructType.fromJson(x["schema"])
+            t = out.tables[x["name"]] = Table(x["name"], x["arity"], x["columns"], orders=x["orders"])
+            if laid := x["layout"]:
+                cut = Layout(laid["column"], tuple(laid["pivots"]), tuple(laid["ghosts"]))
+                held = {int(i): v for i, v in laid["held"].items()}
+                t.store = Store(path, cut, StructType([f for f in schema if f.name != PART]), laid["sort"], held)
+            t.rows = t.store.read(spark) if t.store else spark.read.schema(schema).parquet(path)
         return out
 
     @staticmethod

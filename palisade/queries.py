@@ -213,6 +213,68 @@ def layout_by_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.run_script(f"p=s(db.orders.o_custkey,{LOW},{HIGH})\ntuple(p)")[-1]
 
 
+# -- layouts under change
+
+PRICES = Layout("o_totalprice", (1000, 50_000, 90_000, 150_000, 300_000, 600_000))
+
+
+@query("pruned_range_double", "SELECT o_orderkey AS pos, o_totalprice FROM orders WHERE o_totalprice >= 50000 AND o_totalprice < 90000")
+def pruned_range_double(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = workspace(spark, "prices")
+    layout.write(orders(spark, sf_dir).select(POS, "o_totalprice"), PRICES, path)
+    return layout.select_range(layout.read(spark, path), PRICES, 50_000, 90_000).select(POS, "o_totalprice")
+
+
+def laid_out(spark: SparkSession, sf_dir: str) -> Session:
+    """A session with orders partitioned by o_custkey."""
+    catalog = Catalog(spark)
+    catalog.register("db.o", kept(spark, sf_dir))
+    out = Session(spark, sf_dir, catalog)
+    out.decisions["db.o.o_custkey"] = PIVOTS
+    out.apply("db.o.o_custkey")
+    return out
+
+
+def changed(text: str):
+    """The table with its partitions after some commands."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        own = laid_out(spark, sf_dir)
+        own.run_script(text)
+        return own.catalog.table("db.o").frame(spark).select(POS, "o_custkey", "o_totalprice", PART)
+
+    return run
+
+
+_PART = f"CASE {CASE} ELSE {len(PIVOTS.pivots) - 1} END AS part_id"
+_LAST = "(SELECT max(o_orderkey) FROM orders)"
+query("insert_partitioned", f"SELECT *, {_PART} FROM (SELECT {_KEPT} FROM orders UNION ALL SELECT {_LAST} + v.i, v.c, v.p FROM (VALUES (1, 7, 12.0), (2, 9999, 3.0), (3, 250, 8.0)) v(i, c, p))")(changed("i(db.o,7,12)\ni(db.o,9999,3)\ni(db.o,250,8)"))
+query("delete_partitioned", f"SELECT *, {_PART} FROM (SELECT {_KEPT} FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey = {POINT} ORDER BY o_orderkey LIMIT 2))")(changed(f"d(db.o.o_custkey,{POINT})\nd(db.o.o_custkey,{POINT})\nd(db.o.o_custkey,-5)"))
+query("update_partitioned", f"SELECT *, {_PART} FROM (SELECT o_orderkey AS pos, CASE WHEN o_orderkey = {_FIRST} THEN 1400 ELSE o_custkey END AS o_custkey, o_totalprice FROM orders)")(changed(f"u(db.o.o_custkey,{POINT},1400)"))
+query("written_changes", f"SELECT *, {_PART} FROM (SELECT {_KEPT} FROM orders UNION ALL SELECT {_LAST} + i, i * 40, 1.0 FROM range(1, 41) t(i))")(changed("\n".join(f"i(db.o,{i * 40},1)" for i in range(1, 41))))
+
+
+@query("reopened_layout", "SELECT o_orderkey AS pos, o_custkey FROM orders WHERE o_custkey >= 200 AND o_custkey < 800")
+def reopened_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved and opened again after a decision for another column; the range still prunes by the column of the layout."""
+    own, folder = laid_out(spark, sf_dir), workspace(spark, "saved")
+    own.decisions["db.o.o_totalprice"] = PRICES
+    own.catalog.save(folder)
+    other = Session(spark, sf_dir, Catalog.open(spark, folder))
+    other.execute("p=s(db.o.o_custkey,200,800)")
+    return other.variables["p"].rows.select(POS, "o_custkey")
+
+
+@query("join_fetch", "SELECT o_totalprice AS val0, c_acctbal AS val1 FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_custkey >= 100 AND o_custkey < 300 AND c_custkey >= 150")
+def join_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = session(spark, sf_dir)
+    own.catalog.register("db.customer", with_positions(table(spark, sf_dir, "customer"), "c_custkey"))
+    return own.run_script(
+        "p=s(db.orders.o_custkey,100,300)\nv=fetch(db.orders.o_custkey,p)\nq=s(db.customer.c_custkey,150,null)\nw=fetch(db.customer.c_custkey,q)\n"
+        "x,y=join(v,p,w,q)\na=fetch(db.orders.o_totalprice,x)\nb=fetch(db.customer.c_acctbal,y)\ntuple(a,b)"
+    )[-1]
+
+
 # -- workloads
 
 for _op, _name in ((0, "point"), (2, "insert"), (4, "delete")):

@@ -2,7 +2,11 @@
 
 A selection is bound as a lazy data frame of the selected rows, so fetching from it adds a projection and refining it
 adds a predicate to one plan. Variables stay with the version of the table that they were made from; fetching from a
-newer version, or pairing vectors of different selections, joins on positions.
+newer version, or pairing vectors of different selections, joins on positions. A join binds the two sides of its pairs,
+which keep their order and repeats through `_pair`.
+
+Changes leave a laid-out table in its partitions: a new or changed row carries its part_id, look-ups read the one
+partition that can hold the value, and when changes are written out, only the partitions that they touched are.
 """
 
 from __future__ import annotations
@@ -13,7 +17,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.functions.lookup import partition_of
 from palisade.operators import dml, layout, relational, workload
 from palisade.operators.relational import POS
 from palisade.plans.catalog import Catalog, CommandError, Table
@@ -23,13 +26,18 @@ from palisade.storage import workspace
 
 #: Changes after which a table's version is written out, so that plans stay short.
 CHANGES = 16
+#: The pair that a row of a join's result belongs to.
+PAIR = "_pair"
 
 
 @dataclass(frozen=True)
 class Positions:
+    """Selected rows; without `whole`, only their positions."""
+
     table: Table
     version: int
     rows: DataFrame
+    whole: bool = True
 
 
 @dataclass(frozen=True)
@@ -99,8 +107,8 @@ class Session:
     def _create_table(self, _, name, db, arity):
         self.catalog.create_table(name, db, arity)
 
-    def _create_column(self, _, name, table, _order):
-        self.catalog.create_column(name, table)
+    def _create_column(self, _, name, table, order):
+        self.catalog.create_column(name, table, order)
 
     def _drop_table(self, _, name):
         self.catalog.drop_table(name)
@@ -109,6 +117,8 @@ class Session:
         if name != self.catalog.db:
             raise CommandError(f"there is no database {name}")
         self.catalog.drop_db()
+        self.variables.clear()
+        self.decisions.clear()
 
     def _quit(self, _):
         self.close()
@@ -136,7 +146,13 @@ class Session:
             raise CommandError(f"{table.name} has the columns {table.columns}")
         if table.rows is not None and not table.rows.isEmpty():
             raise CommandError(f"{table.name} has data already")
-        self._store(table, rows.select(POS, *table.columns))
+        rows, order = rows.select(POS, *table.columns), next(iter(table.orders), None)
+        if order:  # clustered by the column that was declared sorted, so that statistics of files and row groups prune
+            path = workspace(self.spark, "sorted")
+            layout.sorted_layout(rows, order).write.parquet(path)
+            rows = self.spark.read.parquet(path)
+        table.last = None
+        table.replace(rows)
 
     # -- queries
 
@@ -160,24 +176,35 @@ class Session:
         if vector.rows is at.rows:
             found = relational.refine(at.rows, vector.value, low, high)
         else:
-            held = relational.refine(vector.rows, vector.value, low, high).select(POS)
-            found = at.rows.join(held, POS, "left_semi")
-        self.variables[command.target] = Positions(at.table, at.version, found)
+            by = self._key(at, vector)
+            found = at.rows.join(relational.refine(vector.rows, vector.value, low, high).select(by), by, "left_semi")
+        self.variables[command.target] = Positions(at.table, at.version, found, at.whole)
 
     def _fetch(self, command: Command, name, positions):
         table, column = self.catalog.column(name)
         at = self._get(positions, Positions)
         if at.table is not table:
             raise CommandError(f"{positions} are positions of {at.table.name}")
-        rows = at.rows if at.version == table.version else table.frame(self.spark).join(at.rows.select(POS), POS, "left_semi")
+        if not at.whole:
+            rows = at.rows.join(table.frame(self.spark).select(POS, column), POS)
+        elif at.version == table.version:
+            rows = at.rows
+        else:
+            rows = table.frame(self.spark).join(at.rows.select(POS), POS, "left_semi")
         self.variables[command.target] = Values(rows, F.col(column), at)
 
+    @staticmethod
+    def _key(*vectors: Positions | Values) -> str:
+        """What rows of these are matched by: pairs, if all come from a join, or else positions."""
+        return PAIR if all(PAIR in v.rows.columns for v in vectors) else POS
+
     def _pair(self, one, two) -> tuple[DataFrame, Column, Column]:
         a, b = self._values(one), self._values(two)
         if a.rows is b.rows:
             return a.rows, a.value, b.value
-        left, right = (x.rows.select(POS, x.value.alias(n)) for x, n in ((a, "_a"), (b, "_b")))
-        return left.join(right, POS), F.col("_a"), F.col("_b")
+        by = self._key(a, b)
+        left, right = (x.rows.select(by, x.value.alias(n)) for x, n in ((a, "_a"), (b, "_b")))
+        return left.join(right, by), F.col("_a"), F.col("_b")
 
     def _add(self, command: Command, one, two):
         rows, a, b = self._pair(one, two)
@@ -194,12 +221,12 @@ class Session:
     _min = _max = _sum = _avg = _count = _aggregate
 
     def _join(self, command: Command, values1, at1, values2, at2):
-        """Positions on both sides of the pairs with equal values."""
+        """Positions on both sides of the pairs with equal values, in the order of the first and then of the second."""
         (v1, p1), (v2, p2) = ((self._values(v), self._get(p, Positions)) for v, p in ((values1, at1), (values2, at2)))
         left, right = (v.rows.select(F.col(POS).alias(f"_p{i}"), v.value.alias(f"_v{i}")) for i, v in ((1, v1), (2, v2)))
-        both = relational.hash_join(left, right, F.col("_v1") == F.col("_v2"))
+        both = relational.hash_join(left, right, F.col("_v1") == F.col("_v2")).select("_p1", "_p2", F.struct("_p1", "_p2").alias(PAIR))
         for name, i, p in zip(command.target.split(","), (1, 2), (p1, p2), strict=True):
-            self.variables[name] = Positions(p.table, p.version, both.select(F.col(f"_p{i}").alias(POS)))
+            self.variables[name] = Positions(p.table, p.version, both.select(F.col(f"_p{i}").alias(POS), PAIR), whole=False)
 
     def _tuple(self, _, names):
         found = [self._get(n, Positions, Values, Scalar) for n in names]
@@ -208,22 +235,29 @@ class Session:
                 raise CommandError("one scalar is printed at a time")
             return found[0].rows
         vectors = [self._values(n) for n in names]
+        by = self._key(*vectors)
         if all(v.rows is vectors[0].rows for v in vectors):
-            return relational.printed(vectors[0].rows, *(v.value for v in vectors))
-        rows = vectors[0].rows.select(POS, vectors[0].value.alias("_0"))
+            return relational.printed(vectors[0].rows, *(v.value for v in vectors), by=by)
+        rows = vectors[0].rows.select(by, vectors[0].value.alias("_0"))
         for i, v in enumerate(vectors[1:], 1):
-            rows = rows.join(v.rows.select(POS, v.value.alias(f"_{i}")), POS)
-        return relational.printed(rows, *(F.col(f"_{i}") for i in range(len(vectors))))
+            rows = rows.join(v.rows.select(by, v.value.alias(f"_{i}")), by)
+        return relational.printed(rows, *(F.col(f"_{i}") for i in range(len(vectors))), by=by)
 
     # -- changes
 
-    def _store(self, table: Table, rows: DataFrame, written: bool = False) -> None:
-        if table.layout:
-            rows = rows.withColumn(layout.PART, partition_of(F.col(table.layout.column), list(table.layout.pivots)))
-        if written or table.version % CHANGES == CHANGES - 1:
-            path = workspace(self.spark, "version")
-            rows.write.parquet(path)
-            rows = self.spark.read.parquet(path)
+    def _changed(self, table: Table, rows: DataFrame, parts=(), written: bool = False) -> None:
+        """The table's next version, of which a change touched these partitions."""
+        table.dirty.update(parts)
+        table.changes += 1
+        if written or table.changes >= CHANGES:
+            if table.store:
+                table.store.write(rows, sorted(table.dirty))
+                rows = table.store.read(self.spark)
+            else:
+                path = workspace(self.spark, "version")
+                rows.write.parquet(path)
+                rows = self.spark.read.parquet(path)
+            table.dirty, table.changes = set(), 0
         table.replace(rows)
 
     def _plain(self, table: Table) -> DataFrame:
@@ -233,26 +267,56 @@ class Session:
         table = self.catalog.table(name)
         if len(values) < len(table.columns) or len(table.columns) < table.arity:
             raise CommandError(f"{name} takes {table.arity} values")
-        self._store(table, dml.insert(self._plain(table), [values]))
+        rows, values = table.frame(self.spark), values[: len(table.columns)]
+        part = (table.layout.part(values[table.columns.index(table.layout.column)]),) if table.store else ()
+        if table.last is None:
+            table.last = dml.last_position(rows)
+        out = dml.insert(rows.select(POS, *table.columns, *[layout.PART] * len(part)), [(*values, *part)], table.last)
+        table.last += 1
+        self._changed(table, out, part)
+
+    def _first(self, table: Table, column: str, value):
+        """The first row with a value, looked up in the one partition that can hold it if the layout is by that column."""
+        rows, cut = table.frame(self.spark), table.layout
+        found = layout.select_first(rows, cut, value) if cut and cut.column == column else relational.select_first(rows, column, value)
+        return found.first()
 
     def _delete(self, _, name, value):
         table, column = self.catalog.column(name)
-        self._store(table, dml.delete_first(self._plain(table), column, value))
+        row = self._first(table, column, value)
+        if row is None:
+            return
+        table.last = None if row[POS] == table.last else table.last
+        self._changed(table, table.frame(self.spark).filter(F.col(POS) != row[POS]), {row[layout.PART]} if table.store else ())
 
     def _delete_positions(self, _, name, positions):
         table = self.catalog.table(name) if name in self.catalog.tables else self.catalog.column(name)[0]
-        self._store(table, dml.delete_at(self._plain(table), self._get(positions, Positions).rows), written=True)
+        rows, at = table.frame(self.spark), self._get(positions, Positions).rows
+        parts = ()
+        if table.store:  # at most one row for each partition
+            parts = {r[0] for r in rows.join(at.select(POS), POS, "left_semi").select(layout.PART).distinct().collect()}
+        table.last = None
+        self._changed(table, dml.delete_at(rows, at), parts, written=True)
 
     def _update(self, _, name, old, new):
         table, column = self.catalog.column(name)
-        self._store(table, dml.update_first(self._plain(table), column, old, new))
+        row = self._first(table, column, old)
+        if row is None:
+            return
+        rows, changed = table.frame(self.spark), row.asDict()
+        changed[column] = float(new) if isinstance(row[column], float) else new
+        parts = set()
+        if table.store:
+            parts = {row[layout.PART], table.layout.part(changed[table.layout.column])}
+            changed[layout.PART] = table.layout.part(changed[table.layout.column])
+        one = self.spark.createDataFrame([tuple(changed[c] for c in rows.columns)], rows.schema)
+        self._changed(table, rows.filter(F.col(POS) != row[POS]).unionByName(one), parts)
 
     # -- physical design
 
     def decide(self, name: str, work: DataFrame, algo: int = 0, **how) -> layout.Layout:
         """Choose a layout for a column and remember it."""
         table, column = self.catalog.column(name)
-        table.indexed = column
         self.decisions[name] = workload.decided(self._plain(table), column, work, algo, **how)
         return self.decisions[name]
 
@@ -261,10 +325,11 @@ class Session:
         table, _ = self.catalog.column(name)
         if name not in self.decisions:
             raise CommandError(f"nothing has been decided for {name}")
-        chosen, path = self.decisions[name], path or workspace(self.spark, "layout")
-        layout.write(self._plain(table), chosen, path)
-        table.layout = chosen
-        table.replace(layout.read(self.spark, path))
+        chosen, plain = self.decisions[name], self._plain(table)
+        store = layout.Store(path or workspace(self.spark, "layout"), chosen, plain.schema, next(iter(table.orders), None))
+        store.write(layout.assign(plain, chosen))
+        table.store, table.dirty, table.changes = store, set(), 0
+        table.replace(store.read(self.spark))
         return chosen
 
     def part_info(self, name: str) -> DataFrame:

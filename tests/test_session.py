@@ -1,4 +1,7 @@
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from palisade.operators.layout import Layout
 from palisade.plans.catalog import Catalog, CommandError
@@ -132,6 +135,94 @@ def test_join(spark):
     assert values(got) == [0, 1, 1, 2, 2]
 
 
+def test_fetch_of_a_join(spark):
+    """Both sides of the pairs, with their repeats, stay aligned; values of a join can be added and refined."""
+    s = small(spark, [(1, 10), (2, 20), (3, 20), (4, 30)])
+    got = s.run_script("""
+p=s(d.t.a,null,4)
+q=s(d.t.a,2,null)
+v=fetch(d.t.b,p)
+w=fetch(d.t.b,q)
+x,y=join(v,p,w,q)
+left=fetch(d.t.a,x)
+right=fetch(d.t.a,y)
+tuple(left,right)
+sum_=add(left,right)
+tuple(sum_)
+some=select(x,left,3,null)
+rest=fetch(d.t.b,some)
+tuple(rest)
+m=max(right)
+tuple(m)""")
+    assert [tuple(r) for r in got[0].collect()] == [(2, 2), (2, 3), (3, 2), (3, 3)]
+    assert [values(g) for g in got[1:]] == [[4, 5, 5, 6], [20, 20], [3]]
+
+
+def laid_out(spark, n=60):
+    s = small(spark, [(i * 7 % 50, i) for i in range(n)])
+    s.decisions["d.t.a"] = Layout("a", (10, 20, 35, 60))
+    s.apply("d.t.a")
+    return s
+
+
+def explained(df):
+    return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+
+
+@pytest.mark.parametrize("changes", [1, 16, 40])
+def test_changes_keep_partitions(spark, changes):
+    """After any number of changes selections still prune directories, and the rows are those of a plain table."""
+    rng = random.Random(changes)
+    s, plain = laid_out(spark), small(spark, [(i * 7 % 50, i) for i in range(60)])
+    for i in range(changes):
+        line = rng.choice([f"i(d.t,{rng.randrange(70)},{100 + i})", f"d(d.t.a,{rng.randrange(50)})", f"u(d.t.a,{rng.randrange(50)},{rng.randrange(70)})", f"u(d.t.b,{rng.randrange(60)},{200 + i})", f"d(d.t.b,{rng.randrange(60)})"])
+        for x in (s, plain):
+            x.execute(line)
+    for script in ("p=s(d.t.a,12,30)", "p=s(d.t.a,null,null)", "p=s(d.t.a,21,22)"):
+        shown = [x.run_script(f"{script}\na=fetch(d.t.a,p)\nb=fetch(d.t.b,p)\ntuple(p,a,b)")[0].collect() for x in (s, plain)]
+        assert shown[0] == shown[1]
+    plan = explained(s.run_script("p=s(d.t.a,12,18)\ntuple(p)")[0])
+    assert "PartitionFilters: [isnotnull(part_id" in plan and "(part_id" in plan and "CASE" not in plan
+    at = s.run_script('p=s(d.t.a,0,25)\nd(d.t.a,"p")\nq=s(d.t.a,null,null)\na=fetch(d.t.a,q)\ntuple(a)')[0]
+    assert min(values(at), default=25) >= 25 and not {0, 1} & set(s.catalog.table("d.t").store.held)
+    left = s.run_script("show_tbl(d.t)")[0]
+    assert all(r["part_id"] == s.catalog.table("d.t").layout.part(r["a"]) for r in left.collect())
+
+
+def test_old_versions_stay(spark):
+    s = laid_out(spark)
+    s.run_script("p=s(d.t.a,0,11)\nf=fetch(d.t.b,p)")
+    before = values(s.execute("tuple(f)"))
+    for i in range(20):
+        s.run_script(f"d(d.t.a,{i})\ni(d.t,{i},{i})")
+    assert values(s.execute("tuple(f)")) == before
+
+
+def test_doubles_are_pruned_rightly(spark):
+    """Values between whole numbers, at, below and above pivots, and many pivots."""
+    given = [100.0, 299.5, 299.0, 300.0, 500.25, 149.9, 150.0, 150.1, -3.5, 1000.0, 2000.5, None]
+    for pivots in ((150, 299, 1000), tuple(range(0, 400, 2)), tuple(range(300)), tuple(range(0, 3000, 3))):
+        s = small(spark, [(v, i) for i, v in enumerate(given)], "a double, b int")
+        plain = small(spark, [(v, i) for i, v in enumerate(given)], "a double, b int")
+        s.decisions["d.t.a"] = Layout("a", pivots)
+        s.apply("d.t.a")
+        for bounds in ("100,300", "299,300", "150,null", "null,150", "0,3000", "1000,1001"):
+            got = [values(x.run_script(f"p=s(d.t.a,{bounds})\nf=fetch(d.t.b,p)\ntuple(f)")[0]) for x in (s, plain)]
+            assert got[0] == got[1], (pivots[:3], bounds)
+        placed = {r["b"]: r["part_id"] for r in s.execute("show_tbl(d.t)").collect()}
+        assert placed == {i: s.catalog.table("d.t").layout.part(v) for i, v in enumerate(given)}
+
+
+def test_sorted_columns(spark, tmp_path):
+    """A column declared sorted clusters the files, so a range reads few row groups; results don't change."""
+    (tmp_path / "f").write_text("d.t.a,d.t.b\n" + "\n".join(f"{i * 37 % 100},{i}" for i in range(100)))
+    s = Session(spark)
+    s.run_script(f'create(db,"d")\ncreate(tbl,"t",d,2)\ncreate(col,"a",d.t,sorted)\ncreate(col,"b",d.t,unsorted)\nload("{tmp_path}/f")')
+    parts = s.catalog.table("d.t").rows.select("a", F.input_file_name().alias("f")).groupBy("f").agg(F.min("a").alias("x"), F.max("a").alias("y")).orderBy("x").collect()
+    assert all(p["y"] < q["x"] for p, q in zip(parts, parts[1:], strict=False))
+    assert values(s.run_script("p=s(d.t.a,10,12)\nf=fetch(d.t.b,p)\ntuple(f)")[0]) == sorted(i for i in range(100) if 10 <= i * 37 % 100 < 12)
+
+
 def test_errors(spark, tmp_path):
     s = small(spark, [(1, 2)])
     for line in ['create(db,"e")', "p=s(d.t.z,1,2)", "tuple(nothing)", "i(d.t,1)", "f=fetch(d.t.a,nope)", "partition(d.t.a)", 'create(col,"c",d.t)', "p=s(d.u.a,1,2)", "x=max(nope)"]:
@@ -165,13 +256,21 @@ def test_load_and_workloads(spark, tmp_path):
 
 
 def test_catalog_on_disk(spark, tmp_path):
-    s = small(spark, [(i % 9, i) for i in range(40)])
+    """A reopened layout prunes by its own column, whatever else was decided; a catalog can be saved where it was opened."""
+    s, folder = small(spark, [(i % 9, i) for i in range(40)]), str(tmp_path / "saved")
     s.decisions["d.t.a"] = Layout("a", (3, 6, 8))
-    s.catalog.table("d.t").indexed = "a"
     s.apply("d.t.a")
-    s.catalog.save(str(tmp_path / "saved"))
-    other = Session(spark, catalog=Catalog.open(spark, str(tmp_path / "saved")))
-    assert values(other.run_script("p=s(d.t.a,2,5)\ntuple(p)")[0]) == values(s.run_script("p=s(d.t.a,2,5)\ntuple(p)")[0])
+    s.decisions["d.t.b"] = Layout("b", (10, 20, 40))
+    s.execute("i(d.t,4,77)")
+    s.catalog.save(folder)
+    for _ in range(3):
+        other = Session(spark, catalog=Catalog.open(spark, folder))
+        for bounds in ("d.t.a,2,5", "d.t.b,5,15", "d.t.b,3,100"):
+            assert values(other.run_script(f"p=s({bounds})\ntuple(p)")[0]) == values(s.run_script(f"p=s({bounds})\ntuple(p)")[0])
+        assert "PartitionFilters: [isnotnull(part_id" in explained(other.run_script("p=s(d.t.a,2,3)\ntuple(p)")[0])
+        for x in (s, other):
+            x.run_script("d(d.t.a,4)\nu(d.t.b,12,13)")
+        other.catalog.save(folder)
     s.execute("drop(tbl,d.t)")
     with pytest.raises(CommandError):
         s.catalog.table("d.t")
