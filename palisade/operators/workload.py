@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisade.functions.lookup import partition_of
-from palisade.operators.layout import Layout, equal_depth, equal_width
+from palisade.operators.layout import Layout, equal_depth, equal_width, tiles
 
 #: Codes of operations; values for each bucket of a histogram, and the number of buckets.
 POINT, RANGE, INSERT, UPDATE, DELETE = range(5)
@@ -40,8 +40,8 @@ def op_mix(work: DataFrame) -> DataFrame:
 
 def binned(table: DataFrame, column: str, work: DataFrame, bins: int) -> dict:
     """What the decision needs, at most bins x bins numbers: the bins' upper values, rows per bin, and how often each
-    operation falls on each bin or pair of bins. Bins are the quantiles of the column."""
-    edges = list(equal_depth(table, column, bins).pivots)
+    operation falls on each bin or pair of bins. Bins are the exact quantiles of the column."""
+    edges = sorted({int(r["pivot"]) for r in tiles(table.filter(F.col(column).isNotNull()), column, bins).collect()}) or [0]
     bin_of = lambda c: partition_of(c, edges)
     rows = table.groupBy(bin_of(F.col(column)).alias("b")).count().collect()
     other = F.when(F.col("op") == RANGE, F.col("num2") - 1).when(F.col("op") == UPDATE, F.col("num2")).otherwise(F.col("num1"))
@@ -56,7 +56,8 @@ def binned(table: DataFrame, column: str, work: DataFrame, bins: int) -> dict:
 
 
 def decide(b: dict, max_parts: int | None = None, read_weight: float = 1.0, write_weight: float = 1.0) -> tuple[list[int], float]:
-    """(indices of the bins that end partitions, cost) with the least cost under this model, by dynamic programming:
+    """(indices of the bins that end partitions, cost) with the least cost of all layouts whose pivots end bins, under
+    this model, by dynamic programming:
 
     a point query reads its partition; a range reads its first and last partition; an insert moves one row in each
     partition behind its own; a delete reads its partition and does the same; an update reads the old value's partition
@@ -125,17 +126,64 @@ def decided(table: DataFrame, column: str, work: DataFrame, algo: int = 0, parts
     raise ValueError(f"there is no algorithm {algo}")
 
 
-def expected(b: dict, ends: list[int]) -> dict[str, float]:
-    """Rows read per read operation, moves per write operation and free slots per row (read, update, memory)."""
+def _arrivals(b: dict, ends: list[int]) -> np.ndarray:
+    """Rows that inserts and updates bring to each partition."""
+    part = np.searchsorted(np.array(ends), np.arange(len(b["edges"])))
+    stay = part[:, None] == part[None, :]
+    come = b[INSERT].sum(axis=1) + (b[UPDATE] * ~stay).sum(axis=0)
+    return np.bincount(part, come, len(ends))
+
+
+def ghosts(b: dict, ends: list[int], slots: int) -> tuple[int, ...]:
+    """Free slots of each partition: shares of `slots` by the rows that are expected to come there (largest remainders)."""
+    come = _arrivals(b, ends)
+    share = slots * (come / come.sum() if come.sum() else np.full(len(ends), 1 / len(ends)))
+    out = np.floor(share)
+    out[np.argsort(out - share, kind="stable")[: int(slots - out.sum())]] += 1
+    return tuple(int(x) for x in out)
+
+
+def expected(b: dict, ends: list[int], free: tuple[int, ...] = ()) -> dict[str, float]:
+    """Rows read per read operation, moves per write operation and free slots per row (read, update, memory). A row that
+    finds a free slot in its partition moves no other one."""
     n, bounds = len(b["edges"]), [0, *(e + 1 for e in ends)]
     part = np.searchsorted(np.array(ends), np.arange(n))
     size = np.array([b["rows"][i:j].sum() for i, j in zip(bounds, bounds[1:], strict=False)])
     i, j = np.indices((n, n))
     ranges = size[part[i]] + np.where(part[i] != part[j], size[part[j]], 0)
     reads = (b[POINT] * size[part[i]]).sum() + (b[RANGE] * ranges).sum()
-    moves = ((b[INSERT] + b[DELETE]) * (len(ends) - 1 - part[i])).sum() + (b[UPDATE] * abs(part[i] - part[j])).sum()
+    come = _arrivals(b, ends)
+    crowded = 1 - np.minimum(1, np.array(free or (0,) * len(ends)) / np.maximum(come, 1))  # share that finds no slot
+    behind = len(ends) - 1 - part[i]
+    moves = (b[INSERT] * behind * crowded[part[i]]).sum() + (b[DELETE] * behind).sum() + (b[UPDATE] * abs(part[i] - part[j]) * crowded[part[j]]).sum()
     n_reads, n_writes = (b[POINT] + b[RANGE]).sum(), (b[INSERT] + b[DELETE] + b[UPDATE]).sum()
-    return {"read": float(reads / max(1, n_reads)), "update": float(moves / max(1, n_writes)), "memory": 0.0}
+    return {"read": float(reads / max(1, n_reads)), "update": float(moves / max(1, n_writes)), "memory": float(sum(free) / max(1, b["rows"].sum()))}
+
+
+def trade_offs(b: dict, weights: tuple[float, ...] = (0.01, 0.1, 1.0, 10.0), shares: tuple[float, ...] = (0.0, 0.001, 0.01, 0.1)) -> list[dict]:
+    """Layouts that are best for some weight of writes against reads, or with so few partitions, with some free slots for
+    each row: their ends, ghosts and expected read, update and memory costs."""
+    ways, k = [(None, w) for w in weights], 1
+    while k < len(b["edges"]):
+        ways.append((k, 1.0))
+        k *= 2
+    out, seen = [], set()
+    for most, weight in ways:
+        ends, _ = decide(b, most, 1.0, weight)
+        for share in shares:
+            free = ghosts(b, ends, int(share * b["rows"].sum()))
+            if (key := (tuple(ends), free)) not in seen:
+                seen.add(key)
+                out.append({"ends": ends, "ghosts": free, **expected(b, ends, free)})
+    return out
+
+
+def satisfying(b: dict, read: float | None = None, update: float | None = None, memory: float | None = None) -> dict | None:
+    """Of the trade-offs within these bounds on read, update and memory costs, the one that reads least (then updates
+    least, then takes least memory); None if there is none."""
+    limits = {"read": read, "update": update, "memory": memory}
+    fit = [x for x in trade_offs(b) if all(v is None or x[k] <= v for k, v in limits.items())]
+    return min(fit, key=lambda x: (x["read"], x["update"], x["memory"]), default=None)
 
 
 def timings(log: DataFrame) -> DataFrame:

@@ -23,7 +23,8 @@ class CommandError(ValueError):
 class Table:
     """A table: declared columns and the current version, a data frame (pos, columns) or, with a layout, (pos, columns,
     part_id). Versions are never changed, only replaced. With a layout, `store` holds the partitions; `dirty` are those
-    that changes have touched since they were written. `last` is the largest position, where it is known."""
+    that changes have touched since they were written. `last` is the largest position
+    that was given out, where it is known: positions aren't given twice."""
 
     name: str
     arity: int

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +14,7 @@ from palisade.operators.layout import PART, Layout
 from palisade.operators.relational import POS
 from palisade.plans.catalog import Catalog, with_positions
 from palisade.session import Session
+from palisade.sources import binary, csvload, workloads
 from palisade.storage import workspace
 
 LOW, HIGH, POINT = 100, 300, 42
@@ -197,10 +201,39 @@ def _column_work(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select(F.col("event_id").alias("seq"), "op", one.alias("num1"), two.alias("num2"))
 
 
-@query("decided_layout")
+BINS = 48
+#: The decision as a dynamic program over the bins: costs(j, c) has the cost of a partition from bin i + 1 to bin j at
+#: place i + 1 of c, and step j finds the best end before it.
+_DECIDED = f"""
+WITH RECURSIVE ev AS (SELECT CAST(CASE event_type {" ".join(f"WHEN '{k}' THEN {v}" for k, v in OPS.items())} END AS INT) AS op,
+    (user_id * 131 + event_id) % 1000 AS num1, CASE event_type WHEN 'click' THEN (user_id * 131 + event_id) % 1000 + 40 WHEN 'purchase' THEN user_id * 17 % 1000 ELSE 0 END AS num2 FROM events),
+edges AS (SELECT DISTINCT max(o_custkey) AS p FROM (SELECT o_custkey, ntile({BINS}) OVER (ORDER BY o_custkey, o_orderkey) AS t FROM orders) GROUP BY t),
+bins AS (SELECT p, CAST(row_number() OVER (ORDER BY p) AS INT) AS b FROM edges),
+m AS (SELECT max(b) AS n, list(p ORDER BY b) AS ps FROM bins),
+r AS (SELECT least(1 + len(list_filter(ps, lambda x: x < o_custkey)), n) AS b, count(*) AS cnt FROM orders, m GROUP BY 1),
+w AS (SELECT op, least(1 + len(list_filter(ps, lambda x: x < num1)), n) AS a,
+        least(1 + len(list_filter(ps, lambda x: x < CASE op WHEN 1 THEN num2 - 1 WHEN 3 THEN num2 ELSE num1 END)), n) AS b FROM ev, m),
+o AS (SELECT op, a, b, count(*) AS c FROM w WHERE op = 3 OR a <= b GROUP BY ALL),
+heads AS (SELECT bin, sum(c) AS c FROM (SELECT a AS bin, c FROM o WHERE op IN (0, 1, 3, 4) UNION ALL SELECT b, c FROM o WHERE op = 1) GROUP BY bin),
+ij AS (SELECT i, j FROM range(0, 1000) x(i), range(1, 1000) y(j), m WHERE i < j AND j <= n),
+cost AS (SELECT i, j, (SELECT coalesce(sum(cnt), 0) FROM r WHERE b > i AND b <= j)
+    * ((SELECT coalesce(sum(c), 0) FROM heads WHERE bin > i AND bin <= j) - (SELECT coalesce(sum(c), 0) FROM o WHERE op = 1 AND a > i AND b > i AND a <= j AND b <= j))
+    + CASE WHEN i > 0 THEN (SELECT coalesce(sum(c), 0) FROM o WHERE op IN (2, 4) AND a <= i)
+        + (SELECT coalesce(sum(c), 0) FROM o WHERE op = 3 AND (a <= i AND b > i OR a > i AND b <= i)) ELSE 0 END AS c FROM ij),
+costs AS (SELECT CAST(j AS INT) AS j, list(CAST(c AS DOUBLE) ORDER BY i) AS cs FROM cost GROUP BY j),
+f AS (SELECT 0 AS j, [CAST(0 AS DOUBLE)] AS best, CAST([] AS BIGINT[]) AS origin UNION ALL
+      SELECT j, list_append(best, list_min(v)), list_append(origin, list_position(v, list_min(v)) - 1)
+      FROM (SELECT costs.j, best, origin, list_transform(cs, lambda x, k: x + best[k]) AS v FROM f JOIN costs ON costs.j = f.j + 1)),
+back AS (SELECT origin, CAST(n AS BIGINT) AS e FROM f JOIN m ON f.j = n UNION ALL SELECT origin, origin[e] FROM back WHERE origin[e] > 0),
+cuts AS (SELECT p AS pv, CAST(row_number() OVER (ORDER BY p) - 1 AS INT) AS part FROM back JOIN bins ON b = e),
+sized AS (SELECT part, pv, count(o_custkey) AS size FROM cuts LEFT JOIN orders ON o_custkey <= pv AND o_custkey > coalesce((SELECT max(x.pv) FROM cuts x WHERE x.pv < cuts.pv), -1) GROUP BY part, pv)
+SELECT part AS part_id, CAST(pv AS BIGINT) AS "pivot", size, CAST(sum(size) OVER (ORDER BY part) - 1 AS BIGINT) AS last FROM sized"""
+
+
+@query("decided_layout", _DECIDED)
 def decided_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, history = orders(spark, sf_dir).select(POS, "o_custkey"), _column_work(spark, sf_dir)
-    chosen_layout = workload.decided(rows, "o_custkey", history, max_parts=32)
+    chosen_layout = workload.decided(rows, "o_custkey", history, bins=BINS)
     return layout.info(layout.assign(rows, chosen_layout), chosen_layout)
 
 
@@ -284,3 +317,142 @@ for _op, _name in ((1, "range"), (3, "update")):
         lambda s, d, o=_op: workload.histogram(work(s, d).filter(F.col("op") == o))
     )
 query("workload_op_mix", f"SELECT op, count(*) AS cnt FROM ({WORK_SQL}) GROUP BY op")(lambda s, d: workload.op_mix(work(s, d)))
+
+# -- files and generators
+
+
+def small_ints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two int columns of orders, in positions from 0."""
+    rows = orders(spark, sf_dir).select(POS, F.col("o_orderkey").cast("int").alias("a"), F.col("o_custkey").cast("int").alias("b"))
+    return csvload.dense(rows.orderBy(POS).select(F.monotonically_increasing_id().alias("_id"), "a", "b"), "_id")
+
+
+_INTS = "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, CAST(o_orderkey AS INT) AS a, CAST(o_custkey AS INT) AS b FROM orders"
+
+
+@query("csv_load", _INTS)
+def csv_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, own = workspace(spark, "csv"), Session(spark)
+    csvload.write(small_ints(spark, sf_dir), "foo.t", path)
+    own.run_script(f'create(db,"foo")\ncreate(tbl,"t",foo,2)\ncreate(col,"a",foo.t,unsorted)\ncreate(col,"b",foo.t,unsorted)\nload("{path}")')
+    return own.catalog.table("foo.t").frame(spark)
+
+
+@query("csv_statistics", "SELECT count(*) + 2 AS lines, CAST(2 AS BIGINT) AS fields FROM orders")
+def csv_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = workspace(spark, "csv")
+    csvload.write(small_ints(spark, sf_dir), "foo.t", path)
+    return spark.createDataFrame([csvload.statistics(spark, path)], "lines long, fields long")
+
+
+@query("csv_header", "SELECT unnest(['foo.t.a', 'foo.t.b']) AS name, CAST(2 AS BIGINT) AS header_lines")
+def csv_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = workspace(spark, "csv")
+    csvload.write(small_ints(spark, sf_dir), "foo.t", path)
+    names, skip = csvload.header(spark, path)
+    return spark.createDataFrame([(n, skip) for n in names], "name string, header_lines long")
+
+
+@query("binary_load", _INTS)
+def binary_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = workspace(spark, "binary")
+    binary.write(spark, path, "foo", {"foo.t": small_ints(spark, sf_dir)})
+    return Catalog.open_binary(spark, path).table("foo.t").frame(spark)
+
+
+@query("reopened_catalog", f"SELECT 'foo' AS db, 't' AS \"table\", (SELECT count(*) FROM orders) AS length, unnest(['a', 'b']) AS \"column\"")
+def reopened_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, own = workspace(spark, "saved"), Catalog(spark)
+    own.register("foo.t", small_ints(spark, sf_dir))
+    own.save(path)
+    return Catalog.open(spark, path).show()
+
+
+_OPERATIONS = f"SELECT op, CAST(num1 AS INT) AS num1, CAST(num2 AS INT) AS num2 FROM ({WORK_SQL})"
+
+
+@query("parsed_workload", _OPERATIONS)
+def parsed_workload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = workspace(spark, "parsed")
+    workloads.write_parsed(work(spark, sf_dir), path)
+    return workloads.parsed(spark, path).select("op", "num1", "num2")
+
+
+@query("text_workload", _OPERATIONS)
+def text_workload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = workspace(spark, "commands")
+    workloads.commands(work(spark, sf_dir), "foo.t.a", 2).select("command").write.text(path)
+    return workloads.text(spark, path).select("op", "num1", "num2")
+
+
+@query("generated_data", "SELECT CAST(500 AS BIGINT) AS cnt, CAST(500 AS BIGINT) AS different, true AS inside, CAST(500 AS BIGINT) AS copies")
+def generated_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inside = (F.min("a") >= 0) & (F.max("a") < 10_000)
+    return workloads.data(spark, 500, 2, domain=10_000).agg(F.count("*").alias("cnt"), F.count_distinct("a").alias("different"), inside.alias("inside"), F.count(F.when(F.expr("a = b"), 1)).alias("copies"))
+
+
+@query("generated_workload", "SELECT CAST(4000 AS BIGINT) AS cnt, true AS near_mix, CAST(0 AS BIGINT) AS wrong")
+def generated_workload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of operations are within 3 percent of those asked for, and values in the domain and of the asked width."""
+    made = workloads.generate(spark, 4000, 10_000, seed=5)
+    near = [F.abs(F.count(F.when(F.col("op") == op, 1)) / 4000 - share) < 0.03 for op, share in workloads.MIX.items()]
+    wrong = F.count(F.when(F.expr("num1 < 0 OR num1 >= 10000 OR op = 1 AND num2 <> num1 + 100 OR op IN (0, 2, 4) AND num2 <> 0"), 1))
+    return made.agg(F.count("*").alias("cnt"), reduce(and_, near).alias("near_mix"), wrong.alias("wrong"))
+
+
+# -- runs of commands
+
+
+def worked(spark: SparkSession, sf_dir: str, lines: list[str]) -> tuple[Session, DataFrame]:
+    own, path = laid_out(spark, sf_dir), workspace(spark, "work")
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
+    return own, own.exec_work(path)
+
+
+#: Inserts of new values, then updates of them, deletes of some, and updates and deletes of values that are there.
+_LINES_OF_WORK = [
+    *(f"i(db.o,{50_000 + i},1)" for i in range(90)),
+    *(f"u(db.o.o_custkey,{50_000 + i},{60_000 + i})" for i in range(90)),
+    *(f"d(db.o.o_custkey,{60_000 + i})" for i in range(0, 90, 3)),
+    "p=s(db.o.o_custkey,100,300)",
+    "p=s(db.o.o_custkey,60000,60090)",
+    *(x for v in range(1, 41) for x in (f"u(db.o.o_custkey,{v},{v + 20_000})", f"u(db.o.o_custkey,{v},{v + 20_000})", f"d(db.o.o_custkey,{v})")),
+]
+
+
+@query(
+    "exec_work_rows",
+    f"""SELECT pos, o_custkey, o_totalprice, {_PART} FROM (
+SELECT o_orderkey AS pos, CASE WHEN o_custkey BETWEEN 1 AND 40 AND r <= 2 THEN o_custkey + 20000 ELSE o_custkey END AS o_custkey, o_totalprice
+FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) WHERE NOT (o_custkey BETWEEN 1 AND 40 AND r = 3)
+UNION ALL SELECT {_LAST} + 1 + i, 60000 + i, 1.0 FROM range(0, 90) t(i) WHERE i % 3 <> 0)""",
+)
+def exec_work_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, _ = worked(spark, sf_dir, _LINES_OF_WORK)
+    return own.catalog.table("db.o").frame(spark).select(POS, "o_custkey", "o_totalprice", PART)
+
+
+@query("exec_work_log", "SELECT * FROM (VALUES ('delete', CAST(70 AS BIGINT)), ('insert', 90), ('select', 2), ('update', 170)) v(op, cnt)")
+def exec_work_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, log = worked(spark, sf_dir, _LINES_OF_WORK)
+    return log.select("op", "cnt")
+
+
+@query("exec_work_selection", "SELECT 60000 + i AS val FROM range(0, 90) t(i) WHERE i % 3 <> 0")
+def exec_work_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, _ = worked(spark, sf_dir, _LINES_OF_WORK[:272])
+    return own.run_script("f=fetch(db.o.o_custkey,p)\ntuple(f)")[-1]
+
+
+query("drop_table", " UNION ALL ".join(f"SELECT 'db' AS db, '{t}' AS \"table\", (SELECT count(*) FROM {t}) AS length, unnest({c}) AS \"column\"" for t, c in _COLUMNS.items() if t == "orders"))(script("drop(tbl,db.lineitem)\nshow_db"))
+
+
+@query("satisfied_layout", "SELECT true AS within, true AS reads_less, true AS has_slots")
+def satisfied_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A layout chosen under bounds keeps them; with looser bounds it reads no more."""
+    own, history = laid_out(spark, sf_dir), _column_work(spark, sf_dir)
+    tight = own.satisfy("db.o.o_custkey", history, update=4.0, memory=0.05, bins=BINS)
+    loose = own.satisfy("db.o.o_custkey", history, update=40.0, memory=0.2, bins=BINS)
+    slots = sum(own.decisions["db.o.o_custkey"].ghosts) >= 0 and len(own.decisions["db.o.o_custkey"].ghosts) == len(own.decisions["db.o.o_custkey"].pivots)
+    within = tight["update"] <= 4.0 and tight["memory"] <= 0.05 and loose["update"] <= 40.0
+    return spark.createDataFrame([(within, loose["read"] <= tight["read"], slots)], "within boolean, reads_less boolean, has_slots boolean")

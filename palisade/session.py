@@ -13,10 +13,13 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palisade.functions.comparators import between
 from palisade.operators import dml, layout, relational, workload
 from palisade.operators.relational import POS
 from palisade.plans.catalog import Catalog, CommandError, Table
@@ -26,6 +29,8 @@ from palisade.storage import workspace
 
 #: Changes after which a table's version is written out, so that plans stay short.
 CHANGES = 16
+#: Selections that are counted in one scan.
+READS = 64
 #: The pair that a row of a join's result belongs to.
 PAIR = "_pair"
 
@@ -286,7 +291,6 @@ class Session:
         row = self._first(table, column, value)
         if row is None:
             return
-        table.last = None if row[POS] == table.last else table.last
         self._changed(table, table.frame(self.spark).filter(F.col(POS) != row[POS]), {row[layout.PART]} if table.store else ())
 
     def _delete_positions(self, _, name, positions):
@@ -295,7 +299,6 @@ class Session:
         parts = ()
         if table.store:  # at most one row for each partition
             parts = {r[0] for r in rows.join(at.select(POS), POS, "left_semi").select(layout.PART).distinct().collect()}
-        table.last = None
         self._changed(table, dml.delete_at(rows, at), parts, written=True)
 
     def _update(self, _, name, old, new):
@@ -341,10 +344,21 @@ class Session:
     def costs(self, name: str, work: DataFrame, bins: int = 256) -> dict[str, float]:
         """Expected rows per read, moves per write and free slots per row under the decided layout."""
         table, column = self.catalog.column(name)
+        b, chosen = workload.binned(self._plain(table), column, work, bins), self.decisions[name]
+        last = len(b["edges"]) - 1
+        ends = sorted({*(next((i for i, e in enumerate(b["edges"]) if e >= p), last) for p in chosen.pivots), last})
+        return workload.expected(b, ends, chosen.ghosts if len(chosen.ghosts) == len(ends) else ())
+
+    def satisfy(self, name: str, work: DataFrame, read: float | None = None, update: float | None = None, memory: float | None = None, bins: int = 256) -> dict[str, float]:
+        """Decide for the layout, with its free slots, that reads least within bounds on the expected costs; the costs
+        that it has."""
+        table, column = self.catalog.column(name)
         b = workload.binned(self._plain(table), column, work, bins)
-        pivots = self.decisions[name].pivots
-        ends = sorted({min(len(b["edges"]) - 1, next((i for i, e in enumerate(b["edges"]) if e >= p), len(b["edges"]) - 1)) for p in pivots} | {len(b["edges"]) - 1})
-        return workload.expected(b, ends)
+        found = workload.satisfying(b, read, update, memory)
+        if found is None:
+            raise CommandError("no layout keeps within these bounds")
+        self.decisions[name] = layout.Layout(column, tuple(b["edges"][i] for i in found["ends"]), found["ghosts"])
+        return {k: found[k] for k in ("read", "update", "memory")}
 
     def _decide(self, _, name, number, algo):
         self.decide(name, workloads.parsed(self.spark, f"{self.data_dir}/workload{number}"), algo)
@@ -360,15 +374,84 @@ class Session:
         return self.exec_work(path)
 
     def exec_work(self, path: str) -> DataFrame:
-        """Run a file of commands one after the other; (op, seconds, cnt). Selections are counted, so that they run."""
-        log = []
+        """Run a file of commands in their order; (op, seconds, cnt). Selections that follow one another are counted in
+        one scan, and writes that follow one another are carried out together, with the results that they have one by
+        one; each gets its share of the time."""
+        log, run = [], []
+
+        def finish():
+            if run:
+                began = time.perf_counter()
+                (self._read_run if run[0].verb == "select" else self._write_run)(run)
+                log.extend((c.verb, (time.perf_counter() - began) / len(run)) for c in run)
+                run.clear()
+
         for row in self.spark.read.text(path).toLocalIterator():
             command = parse(row["value"])
             if command is None:
                 continue
-            started = time.perf_counter()
+            if run and (self._kind(command) is None or not self._follows(run, command)):
+                finish()
+            if self._kind(command):
+                run.append(command)
+                continue
+            began = time.perf_counter()
             self.execute(row["value"])
-            if isinstance(found := self.variables.get(command.target or ""), Positions):
-                found.rows.count()
-            log.append((command.verb, time.perf_counter() - started))
+            log.append((command.verb, time.perf_counter() - began))
+        finish()
         return workload.timings(self.spark.createDataFrame(log, "op string, seconds double"))
+
+    def _kind(self, command: Command) -> tuple | None:
+        """("select" or "write", table, column or None) of a command that can be run with others."""
+        if command.verb in ("select", "delete", "update"):
+            table, column = self.catalog.column(command.args[0])
+            return ("select" if command.verb == "select" else "write", table.name, column)
+        return ("write", command.args[0], None) if command.verb == "insert" else None
+
+    def _follows(self, run: list[Command], command: Command) -> bool:
+        kinds = [self._kind(c) for c in (*run, command)]
+        if len({k[:2] for k in kinds}) > 1:
+            return False
+        return len(run) < READS if kinds[0][0] == "select" else len({k[2] for k in kinds if k[2]}) < 2
+
+    def _read_run(self, run: list[Command]) -> None:
+        """Bind the selections and count what they find, in one scan of the partitions that any of them can read."""
+        for c in run:
+            self._select(c, *c.args)
+        table, _ = self.catalog.column(run[0].args[0])
+        rows, tests, spans, cut = table.frame(self.spark), [], [], table.layout
+        for c in run:
+            column, (low, high) = c.args[0].rpartition(".")[2], c.args[1:]
+            tests.append(between(F.col(column), low, high) if low is None or high != low + 1 else F.col(column) == low)
+            if cut and cut.column == column and (low is None or high is None or low < high):
+                spans.append(F.col(layout.PART).between(*cut.span(low, high, False)))
+            elif not (cut and cut.column == column):
+                spans.append(F.lit(True))
+        if cut:
+            rows = rows.filter(reduce(or_, spans, F.lit(False)))
+        rows.agg(*(F.count(F.when(t, 1)).alias(f"_{i}") for i, t in enumerate(tests))).first()
+
+    def _write_run(self, run: list[Command]) -> None:
+        """The writes' effect on the table, as one change."""
+        table = self.catalog.table(self._kind(run[0])[1])
+        column = next((self._kind(c)[2] for c in run if self._kind(c)[2]), table.columns[0])
+        writes = []
+        for c in run:
+            if c.verb == "insert" and (len(c.args[1]) < len(table.columns) or len(table.columns) < table.arity):
+                raise CommandError(f"{table.name} takes {table.arity} values")
+            writes.append((c.verb, c.args[1][: len(table.columns)]) if c.verb == "insert" else (c.verb, *c.args[1:]))
+        plain = self._plain(table)
+        if table.last is None:
+            table.last = dml.last_position(plain)
+        what = dml.effect(plain, column, writes, table.last)
+        table.last += sum(w[0] == "insert" for w in writes)
+        rows, parts = dml.applied(plain, column, what), set()
+        if table.store:
+            touched = self.spark.createDataFrame([(p,) for p in (*what.gone, *what.moved)], f"{POS} long")
+            parts = {r[0] for r in table.frame(self.spark).join(touched, POS, "left_semi").select(layout.PART).distinct().collect()}
+            of = table.columns.index(table.layout.column)
+            parts |= {table.layout.part(x[of]) for x in what.added.values()}
+            if column == table.layout.column:
+                parts |= {table.layout.part(v) for v in what.moved.values()}
+            rows = layout.assign(rows, table.layout)
+        self._changed(table, rows, parts, written=True)

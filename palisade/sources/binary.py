@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 from functools import reduce
+from itertools import batched
 
 import numpy as np
 import pandas as pd
@@ -49,10 +50,41 @@ def catalog_bytes(db: str, tables: dict[str, tuple[int, list[str]]]) -> bytes:
 
 
 def column(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, val) of an int32 file. Spark splits the file at whole records; ids within splits give the positions."""
-    records = spark.sparkContext.binaryRecords(path, 4).map(lambda b: (int.from_bytes(b, "little", signed=True),))
-    rows = spark.createDataFrame(records, "val int").withColumn("_id", F.monotonically_increasing_id())
-    return dense(rows, "_id")
+    """(pos, val) of an int32 file, read without Python. Spark splits the file at whole records; ids within splits give
+    the positions."""
+    context, session = spark._jsc.sc(), spark._jsparkSession
+    records = context.binaryRecords(path, 4, spark._jsc.hadoopConfiguration())
+    rows = DataFrame(session.createDataset(records, spark._jvm.org.apache.spark.sql.Encoders.BINARY()).toDF(), spark).toDF("raw")
+    digits = F.concat(*(F.substring(F.hex("raw"), i, 2) for i in (7, 5, 3, 1)))  # the lowest byte comes first
+    number = F.conv(digits, 16, 10).cast("long")
+    value = F.when(number >= 1 << 31, number - (1 << 32)).otherwise(number).cast("int")
+    return dense(rows.select(value.alias("val"), F.monotonically_increasing_id().alias("_id")), "_id")
+
+
+def write_column(values: DataFrame, name: str, path: str) -> int:
+    """Write a column (pos, name) as one int32 file in the order of positions, and return how many values it has. The
+    format has one file per column, so the values stream through the driver, some at a time."""
+    spark = values.sparkSession
+    to = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out, count = to.getFileSystem(spark._jsc.hadoopConfiguration()).create(to, True), 0
+    for some in batched(values.orderBy(POS).select(name).toLocalIterator(prefetchPartitions=True), 1 << 16):
+        out.write(bytearray(np.array([r[0] for r in some], "<i4").tobytes()))
+        count += len(some)
+    out.close()
+    return count
+
+
+def write(spark: SparkSession, folder: str, db: str, tables: dict[str, DataFrame]) -> None:
+    """A folder in this format from tables (pos and int columns); names are qualified by the database."""
+    described = {}
+    for name, rows in tables.items():
+        columns = [c for c in rows.columns if c != POS]
+        counts = [write_column(rows, c, f"{folder}/{name}.{c}") for c in columns]
+        described[name] = counts[0], [f"{name}.{c}" for c in columns]
+    to = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/dbinfo")
+    out = to.getFileSystem(spark._jsc.hadoopConfiguration()).create(to, True)
+    out.write(bytearray(catalog_bytes(db, described)))
+    out.close()
 
 
 def load(spark: SparkSession, folder: str) -> tuple[str, dict[str, DataFrame]]:

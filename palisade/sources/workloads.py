@@ -2,34 +2,44 @@
 
 from __future__ import annotations
 
-import re
-import struct
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.operators.workload import DELETE, INSERT, POINT, RANGE, UPDATE
-from palisade.sources.binary import read_bytes
+from palisade.sources.binary import column, write_column
 
 #: Files of a parsed workload, by operation that of num1 and that of num2.
 FILES = {POINT: ("pq_cost", None), RANGE: ("rq_cost_beg", "rq_cost_end"), INSERT: ("in_cost", None), UPDATE: ("up_cost_beg", "up_cost_end"), DELETE: ("de_cost", None)}
 SCHEMA = "seq long, op int, num1 int, num2 int"
 
 
-def numbers(spark: SparkSession, path: str) -> np.ndarray:
-    data = read_bytes(spark, path)
-    return np.frombuffer(data, "<i4", struct.unpack_from("<i", data)[0], 4)
+def numbers(spark: SparkSession, path: str) -> DataFrame:
+    """(seq, val) of a file that begins with the count of its values."""
+    return column(spark, path).filter("pos > 0").select((F.col("pos") - 1).alias("seq"), "val")
 
 
 def parsed(spark: SparkSession, folder: str) -> DataFrame:
     """(seq, op, num1, num2) of the seven files of a parsed workload; seq counts within each operation."""
-    rows = []
+    parts = []
     for op, (one, two) in FILES.items():
-        a = numbers(spark, f"{folder}/{one}")
-        b = numbers(spark, f"{folder}/{two}") if two else np.zeros(len(a), np.int32)
-        rows += [(i, op, int(x), int(y)) for i, (x, y) in enumerate(zip(a, b, strict=True))]
-    return spark.createDataFrame(rows, SCHEMA)
+        rows = numbers(spark, f"{folder}/{one}").withColumnRenamed("val", "num1")
+        rows = rows.join(numbers(spark, f"{folder}/{two}").withColumnRenamed("val", "num2"), "seq") if two else rows.withColumn("num2", F.lit(0))
+        parts.append(rows.select("seq", F.lit(op).alias("op"), "num1", "num2"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def write_parsed(work: DataFrame, folder: str) -> None:
+    """The seven files of a workload."""
+    for op, names in FILES.items():
+        rows = work.filter(F.col("op") == op)
+        head = work.sparkSession.createDataFrame([(-1, n := rows.count(), n)], "pos long, num1 int, num2 int")
+        body = head.unionByName(rows.select(F.col("seq").alias("pos"), F.col("num1").cast("int").alias("num1"), F.col("num2").cast("int").alias("num2")))
+        for name, of in zip(names, ("num1", "num2"), strict=True):
+            if name:
+                write_column(body, of, f"{folder}/{name}")
 
 
 def text(spark: SparkSession, path: str) -> DataFrame:
@@ -95,19 +105,16 @@ def generate(spark: SparkSession, count: int, domain: int, mix: dict[int, float]
     return rows.select("seq", F.col("op").cast("int").alias("op"), "num1", two.cast("int").alias("num2"))
 
 
-def commands(work: DataFrame, column: str, arity: int) -> DataFrame:
+def commands(work: DataFrame, name: str, arity: int) -> DataFrame:
     """(seq, command): a line of the command language per operation."""
-    table = column.rpartition(".")[0]
+    table = name.rpartition(".")[0]
     ones = ",1" * (arity - 1)
     form = {
-        POINT: F.concat(F.lit(f"p=s({column},"), "num1", F.lit(","), F.col("num1") + 1, F.lit(")")),
-        RANGE: F.concat(F.lit(f"p=s({column},"), "num1", F.lit(","), "num2", F.lit(")")),
+        POINT: F.concat(F.lit(f"p=s({name},"), "num1", F.lit(","), F.col("num1") + 1, F.lit(")")),
+        RANGE: F.concat(F.lit(f"p=s({name},"), "num1", F.lit(","), "num2", F.lit(")")),
         INSERT: F.concat(F.lit(f"i({table},"), "num1", F.lit(f"{ones})")),
-        UPDATE: F.concat(F.lit(f"u({column},"), "num1", F.lit(","), "num2", F.lit(")")),
-        DELETE: F.concat(F.lit(f"d({column},"), "num1", F.lit(")")),
+        UPDATE: F.concat(F.lit(f"u({name},"), "num1", F.lit(","), "num2", F.lit(")")),
+        DELETE: F.concat(F.lit(f"d({name},"), "num1", F.lit(")")),
     }
     return work.select("seq", F.coalesce(*(F.when(F.col("op") == k, x) for k, x in form.items())).alias("command"))
 
-
-def is_comment(line: str) -> bool:
-    return not line.strip() or re.match(r"\s*--", line) is not None

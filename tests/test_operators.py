@@ -119,6 +119,27 @@ def test_decision_is_optimal(seed):
     assert set(workload.expected(b, [2, n - 1])) == {"read", "update", "memory"}
 
 
+def test_free_slots_and_bounds():
+    """Slots follow the expected arrivals and spare moves; a layout under bounds keeps them, and one partition moves nothing."""
+    rng = np.random.default_rng(4)
+    n = 12
+    b = {"edges": list(range(n)), "rows": rng.integers(50, 90, n).astype(float)}
+    for op in range(5):
+        m = rng.integers(0, 6, (n, n)).astype(float)
+        b[op] = m if op == 3 else np.triu(m) if op == 1 else np.diag(np.diag(m))
+    ends = [3, 7, n - 1]
+    free = workload.ghosts(b, ends, 40)
+    assert sum(free) == 40 and free != (14, 13, 13)
+    bare, eased = workload.expected(b, ends), workload.expected(b, ends, free)
+    assert eased["update"] < bare["update"] and eased["read"] == bare["read"] and eased["memory"] == pytest.approx(40 / b["rows"].sum()) and bare["memory"] == 0
+    every = workload.trade_offs(b)
+    assert min(x["update"] for x in every) == 0.0
+    for limit in (0.0, 0.5, 1.0, 5.0):
+        found = workload.satisfying(b, update=limit, memory=0.0)
+        assert found["update"] <= limit and found["memory"] == 0 and found["read"] == min(x["read"] for x in every if x["update"] <= limit and x["memory"] == 0)
+    assert workload.satisfying(b, read=0.0) is None
+
+
 @pytest.mark.parametrize("algo", [0, 1, 2, 4, 5])
 def test_algorithms(spark, algo):
     rows = frame(spark, [i * i % 97 for i in range(200)])
@@ -136,6 +157,25 @@ def test_edge_tables(spark):
     assert layout.tiles(frame(spark, []), "a", 4).count() == 0
 
 
+def test_binary_folder_from_spark(spark, tmp_path):
+    rows = [(i, x, -x) for i, x in enumerate([5, -1, 2147483647, -2147483647, 0, 255, 256, -256, 65536])]
+    given = spark.createDataFrame(rows, "pos long, a int, b int").repartition(3)
+    binary.write(spark, str(tmp_path), "foo", {"foo.t": given})
+    db, tables = binary.load(spark, str(tmp_path))
+    assert db == "foo" and sorted(map(tuple, tables["foo.t"].select("pos", "a", "b").collect())) == rows
+
+
+def test_tiles_where_values_repeat(spark):
+    for values, parts in (([5] * 10 + [7], 4), (list(range(7)), 10), ([1, 2, 2, 2, 3, 9, 9], 3), ([4], 1)):
+        got = [tuple(r) for r in layout.tiles(frame(spark, values), "a", parts).orderBy("tile").collect()]
+        rest, want = sorted(values), []
+        for t in range(min(parts, len(values))):
+            n = len(values) // parts + (t < len(values) % parts)
+            want.append((t + 1, rest[n - 1], n))
+            rest = rest[n:]
+        assert got == want
+
+
 def test_binary_folder(spark, tmp_path):
     a = pd.DataFrame({"x": [5, -1, 2147483647, -2147483648, 7], "y": [1, 2, 3, 4, 5]})
     binary.save(str(tmp_path), "foo", {"foo.tb1": a})

@@ -223,6 +223,25 @@ def test_sorted_columns(spark, tmp_path):
     assert values(s.run_script("p=s(d.t.a,10,12)\nf=fetch(d.t.b,p)\ntuple(f)")[0]) == sorted(i for i in range(100) if 10 <= i * 37 % 100 < 12)
 
 
+@pytest.mark.parametrize(("seed", "partitioned"), [(0, False), (1, True)])
+def test_exec_work_is_one_by_one(spark, tmp_path, seed, partitioned):
+    """A file of commands has the results that its commands have one after the other."""
+    rng = random.Random(seed)
+    lines = ["i(d.t,1,1)"]
+    for i in range(36):
+        a, b = rng.randrange(12), rng.randrange(12)
+        lines.append(rng.choice([f"i(d.t,{a},{i})", f"d(d.t.a,{a})", f"u(d.t.a,{a},{b})", f"u(d.t.a,{a},{b})", f"p=s(d.t.a,{a},{a + 4})", f"d(d.t.b,{a})", "-- nothing"]))
+    (tmp_path / "work").write_text("\n".join(lines))
+    sessions = [laid_out(spark, 30) if partitioned else small(spark, [(i * 7 % 50, i) for i in range(30)]) for _ in range(2)]
+    log = sessions[0].exec_work(str(tmp_path / "work")).collect()
+    for line in lines:
+        sessions[1].execute(line)
+    assert sum(r["cnt"] for r in log) == sum(not x.startswith("--") for x in lines) and all(r["seconds"] >= 0 for r in log)
+    rows = [sorted(map(tuple, x.catalog.table("d.t").frame(spark).select("pos", "a", "b").collect())) for x in sessions]
+    assert rows[0] == rows[1] and len(rows[0]) > 10
+    assert values(sessions[0].execute("tuple(p)")) == values(sessions[1].execute("tuple(p)"))
+
+
 def test_errors(spark, tmp_path):
     s = small(spark, [(1, 2)])
     for line in ['create(db,"e")', "p=s(d.t.z,1,2)", "tuple(nothing)", "i(d.t,1)", "f=fetch(d.t.a,nope)", "partition(d.t.a)", 'create(col,"c",d.t)', "p=s(d.u.a,1,2)", "x=max(nope)"]:
