@@ -80,12 +80,12 @@ def replay(table: DataFrame, column: str, writes: DataFrame) -> DataFrame:
 
 @dataclass
 class Effect:
-    """What a run of writes does to a table: positions that go, new values of `column` by position, and rows that come,
-    by position. It has at most an entry for each write."""
+    """What a run of writes does to a table: positions that go, and rows (all columns but pos) that come or, where their
+    position went as well, take a row's place. It has at most an entry of each kind for each write."""
 
     gone: set[int] = field(default_factory=set)
-    moved: dict[int, object] = field(default_factory=dict)
-    added: dict[int, list] = field(default_factory=dict)
+    rows: dict[int, list] = field(default_factory=dict)
+    met: dict[int, tuple] = field(default_factory=dict)  # rows of the table that went, as they were
 
 
 def effect(table: DataFrame, column: str, writes: list[tuple], last: int | None = None) -> Effect:
@@ -94,51 +94,48 @@ def effect(table: DataFrame, column: str, writes: list[tuple], last: int | None
     put there. An update keeps the position, so rows of a value don't queue in the order of arrival; a heap of positions
     for each value gives the first. Of the table only the rows that so many writes on a value can reach are collected,
     at most one for each write, found by a window that is limited before its shuffle."""
-    columns, out, heaps = [c for c in table.columns if c != POS], Effect(), {}
+    columns, out, heaps, given = [c for c in table.columns if c != POS], Effect(), {}, {}
     asked: dict[object, int] = {}
     for w in writes:
         if w[0] != "insert":
             asked[w[1]] = asked.get(w[1], 0) + 1
     if asked:
-        kind = table.schema[column].dataType.simpleString()
-        known = table.sparkSession.createDataFrame([(float(v) if "double" in kind or "float" in kind else v, n) for v, n in asked.items()], f"_value {kind}, _n long")
+        of = table.schema[column]
+        known = table.sparkSession.createDataFrame([(float(v) if isinstance(of.dataType, FractionalType) else v, n) for v, n in asked.items()], f"_value {of.dataType.simpleString()}, _n long")
         rank = F.row_number().over(Window.partitionBy(column).orderBy(POS))
-        near = table.select(POS, column).join(known, F.col(column) == F.col("_value")).withColumn("_rank", rank).filter(F.col("_rank") <= max(asked.values()))
-        for r in near.filter("_rank <= _n").select(POS, column).collect():
-            heaps.setdefault(r[1], []).append(r[0])
+        near = table.join(F.broadcast(known), F.col(column) == F.col("_value"))  # a row for each value asked for
+        near = near.withColumn("_rank", rank).filter(F.col("_rank") <= max(asked.values())).filter("_rank <= _n")
+        for r in near.select(POS, *columns).collect():
+            given[r[0]] = tuple(r)[1:]
+            heaps.setdefault(r[column], []).append(r[0])
     for heap in heaps.values():
         heapq.heapify(heap)
     at, number = (last_position(table) if last is None else last), columns.index(column)
     for kind, value, *rest in writes:
         if kind == "insert":
             at += 1
-            out.added[at] = [*value]
+            out.rows[at] = [*value]
             heapq.heappush(heaps.setdefault(value[number], []), at)
         elif heap := heaps.get(value):
             pos = heapq.heappop(heap)
+            if pos in given and pos not in out.gone:
+                out.gone.add(pos)
+                out.rows[pos], out.met[pos] = [*given[pos]], given[pos]
             if kind == "update":
                 heapq.heappush(heaps.setdefault(rest[0], []), pos)
-                if pos in out.added:
-                    out.added[pos][number] = rest[0]
-                else:
-                    out.moved[pos] = rest[0]
-            elif out.added.pop(pos, None) is None:
-                out.gone.add(pos)
-                out.moved.pop(pos, None)
+                out.rows[pos][number] = rest[0]
+            else:
+                del out.rows[pos]
     return out
 
 
-def applied(table: DataFrame, column: str, what: Effect) -> DataFrame:
-    """table (pos and columns) after an effect."""
-    field_, changes = table.schema[column], [(p, True, None) for p in what.gone] + [(p, False, v) for p, v in what.moved.items()]
-    typed = lambda v, f: float(v) if isinstance(f.dataType, FractionalType) and v is not None else v
-    if changes:
-        small = table.sparkSession.createDataFrame([(p, g, typed(v, field_)) for p, g, v in changes], f"{POS} long, _gone boolean, _new {field_.dataType.simpleString()}")
-        new = F.when(F.col("_gone").isNotNull(), F.col("_new")).otherwise(F.col(column))
-        table = table.join(small, POS, "left").filter("NOT coalesce(_gone, false)").withColumn(column, new).drop("_gone", "_new")
-    if what.added:
-        kinds = [f for f in table.schema if f.name != POS]
-        schema = ", ".join([f"{POS} long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds)])
-        rows = [(p, *(typed(v, f) for v, f in zip(x, kinds, strict=True))) for p, x in what.added.items()]
-        table = table.unionByName(table.sparkSession.createDataFrame(rows, schema))
+def applied(table: DataFrame, what: Effect) -> DataFrame:
+    """table after an effect."""
+    spark, columns = table.sparkSession, [f for f in table.schema if f.name != POS]
+    if what.gone:
+        table = table.join(spark.createDataFrame([(p,) for p in sorted(what.gone)], f"{POS} long"), POS, "left_anti")
+    if what.rows:
+        fit = lambda v, f: float(v) if isinstance(f.dataType, FractionalType) and v is not None else v
+        schema = ", ".join([f"{POS} long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in columns)])
+        table = table.unionByName(spark.createDataFrame([(p, *map(fit, row, columns)) for p, row in sorted(what.rows.items())], schema))
     return table

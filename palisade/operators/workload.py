@@ -76,8 +76,7 @@ def decide(b: dict, max_parts: int | None = None, read_weight: float = 1.0, writ
         crossing[j] = write_weight * (b[UPDATE][:j, j:].sum() + b[UPDATE][j:, :j].sum())
     best, origin = [np.full(n + 1, np.inf)], []
     best[0][0] = 0
-    limit = min(max_parts or n, n)
-    whole = np.full(n + 1, np.inf)  # without a limit, partitions need not be counted
+    limit, whole = min(max_parts or n, n), np.full(n + 1, np.inf)  # without a limit, partitions need not be counted
 
     def reach(f, j):
         i = np.arange(j)
@@ -87,14 +86,14 @@ def decide(b: dict, max_parts: int | None = None, read_weight: float = 1.0, writ
         k = int(total.argmin())
         return total[k], k
 
-    if max_parts is None or max_parts >= n:
-        whole[0], back = 0, np.zeros(n + 1, int)
-        for j in range(1, n + 1):
-            whole[j], back[j] = reach(whole, j)
-        ends, j = [], n
-        while j > 0:
-            ends.append(j - 1)
-            j = back[j]
+    whole[0], back = 0, np.zeros(n + 1, int)
+    for j in range(1, n + 1):
+        whole[j], back[j] = reach(whole, j)
+    ends, j = [], n
+    while j > 0:
+        ends.append(j - 1)
+        j = back[j]
+    if len(ends) <= limit:  # the best of all layouts is within the limit
         return ends[::-1], float(whole[n])
     for k in range(limit):
         f, back = np.full(n + 1, np.inf), np.zeros(n + 1, int)

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import FractionalType, IntegerType, LongType, StructField, StructType
 
 from palisade.operators.layout import PART, Layout, Store
 from palisade.operators.relational import POS
@@ -22,9 +22,13 @@ class CommandError(ValueError):
 @dataclass
 class Table:
     """A table: declared columns and the current version, a data frame (pos, columns) or, with a layout, (pos, columns,
-    part_id). Versions are never changed, only replaced. With a layout, `store` holds the partitions; `dirty` are those
-    that changes have touched since they were written. `last` is the largest position
-    that was given out, where it is known: positions aren't given twice."""
+    part_id). Versions are never changed, only replaced.
+
+    A version is what was written last (`base`), without the positions in `gone` and with the rows in `extra`, by
+    position; so however many changes are held, they add one filter and one small relation to a plan. With a layout,
+    `store` holds the partitions, and `dirty` are those that held changes touch. `last` is the largest position that was
+    given out, where it is known: positions aren't given twice.
+    """
 
     name: str
     arity: int
@@ -33,9 +37,11 @@ class Table:
     version: int = 0
     orders: dict[str, str] = field(default_factory=dict)
     store: Store | None = None
-    dirty: set[int] = field(default_factory=set)
-    changes: int = 0
     last: int | None = None
+    base: DataFrame | None = None
+    gone: set[int] = field(default_factory=set)
+    extra: dict[int, tuple] = field(default_factory=dict)
+    dirty: set[int] = field(default_factory=set)
 
     @property
     def layout(self) -> Layout | None:
@@ -48,6 +54,24 @@ class Table:
         return spark.createDataFrame([], self.schema()) if self.rows is None else self.rows
 
     def replace(self, rows: DataFrame) -> None:
+        """A version without held changes."""
+        self.rows, self.base, self.version = rows, rows, self.version + 1
+        self.gone, self.extra, self.dirty = set(), {}, set()
+
+    def amend(self, spark: SparkSession, gone, extra: dict[int, tuple]) -> None:
+        """Hold changes: positions that go, and rows (as in the frame, without pos) that come or take their place."""
+        if self.base is None:
+            self.base = self.frame(spark)
+        for pos in gone:
+            if self.extra.pop(pos, None) is None:
+                self.gone.add(pos)
+        self.extra |= extra
+        rows = self.base.filter(~F.col(POS).isin(sorted(self.gone))) if self.gone else self.base
+        if self.extra:
+            fields = self.base.schema.fields
+            fit = [float if isinstance(f.dataType, FractionalType) else lambda v: v for f in fields]
+            held = [tuple(None if v is None else g(v) for g, v in zip(fit, (pos, *row), strict=True)) for pos, row in sorted(self.extra.items())]
+            rows = rows.unionByName(spark.createDataFrame(held, self.base.schema))
         self.rows, self.version = rows, self.version + 1
 
 
@@ -92,7 +116,7 @@ class Catalog:
         """A table over any data frame with pos; the types of its columns stay."""
         self.db = self.db or name.split(".")[0]
         columns = columns or [c for c in rows.columns if c != POS]
-        t = self.tables[name] = Table(name, len(columns), columns, rows.select(POS, *columns))
+        t = self.tables[name] = Table(name, len(columns), columns, base := rows.select(POS, *columns), base=base)
         return t
 
     def table(self, name: str) -> Table:
@@ -144,7 +168,7 @@ class Catalog:
                 cut = Layout(laid["column"], tuple(laid["pivots"]), tuple(laid["ghosts"]))
                 held = {int(i): v for i, v in laid["held"].items()}
                 t.store = Store(path, cut, StructType([f for f in schema if f.name != PART]), laid["sort"], held)
-            t.rows = t.store.read(spark) if t.store else spark.read.schema(schema).parquet(path)
+            t.rows = t.base = t.store.read(spark) if t.store else spark.read.schema(schema).parquet(path)
         return out
 
     @staticmethod

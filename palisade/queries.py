@@ -284,7 +284,7 @@ _LAST = "(SELECT max(o_orderkey) FROM orders)"
 query("insert_partitioned", f"SELECT *, {_PART} FROM (SELECT {_KEPT} FROM orders UNION ALL SELECT {_LAST} + v.i, v.c, v.p FROM (VALUES (1, 7, 12.0), (2, 9999, 3.0), (3, 250, 8.0)) v(i, c, p))")(changed("i(db.o,7,12)\ni(db.o,9999,3)\ni(db.o,250,8)"))
 query("delete_partitioned", f"SELECT *, {_PART} FROM (SELECT {_KEPT} FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey = {POINT} ORDER BY o_orderkey LIMIT 2))")(changed(f"d(db.o.o_custkey,{POINT})\nd(db.o.o_custkey,{POINT})\nd(db.o.o_custkey,-5)"))
 query("update_partitioned", f"SELECT *, {_PART} FROM (SELECT o_orderkey AS pos, CASE WHEN o_orderkey = {_FIRST} THEN 1400 ELSE o_custkey END AS o_custkey, o_totalprice FROM orders)")(changed(f"u(db.o.o_custkey,{POINT},1400)"))
-query("written_changes", f"SELECT *, {_PART} FROM (SELECT {_KEPT} FROM orders UNION ALL SELECT {_LAST} + i, i * 40, 1.0 FROM range(1, 41) t(i))")(changed("\n".join(f"i(db.o,{i * 40},1)" for i in range(1, 41))))
+query("written_changes", f"SELECT *, {_PART} FROM (SELECT {_KEPT} FROM orders UNION ALL SELECT {_LAST} + i, i * 40, 1.0 FROM range(1, 141) t(i))")(changed("\n".join(f"i(db.o,{i * 40},1)" for i in range(1, 141))))
 
 
 @query("reopened_layout", "SELECT o_orderkey AS pos, o_custkey FROM orders WHERE o_custkey >= 200 AND o_custkey < 800")

@@ -6,7 +6,7 @@ newer version, or pairing vectors of different selections, joins on positions. A
 which keep their order and repeats through `_pair`.
 
 Changes leave a laid-out table in its partitions: a new or changed row carries its part_id, look-ups read the one
-partition that can hold the value, and when changes are written out, only the partitions that they touched are.
+partition that can hold the value, and when the changes held are written, only the partitions that they touched are.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from palisade.plans.commands import Command, parse
 from palisade.sources import csvload, workloads
 from palisade.storage import workspace
 
-#: Changes after which a table's version is written out, so that plans stay short.
-CHANGES = 16
+#: Changes that are held beside a table before it, or the partitions that they touch, are written.
+CHANGES = 128
 #: Selections that are counted in one scan.
 READS = 64
 #: The pair that a row of a join's result belongs to.
@@ -250,70 +250,69 @@ class Session:
 
     # -- changes
 
-    def _changed(self, table: Table, rows: DataFrame, parts=(), written: bool = False) -> None:
-        """The table's next version, of which a change touched these partitions."""
-        table.dirty.update(parts)
-        table.changes += 1
-        if written or table.changes >= CHANGES:
-            if table.store:
-                table.store.write(rows, sorted(table.dirty))
-                rows = table.store.read(self.spark)
-            else:
-                path = workspace(self.spark, "version")
-                rows.write.parquet(path)
-                rows = self.spark.read.parquet(path)
-            table.dirty, table.changes = set(), 0
-        table.replace(rows)
+    def _part(self, table: Table, values) -> tuple:
+        """The part_id, if there is a layout, of a row's values (columns, in order)."""
+        return (table.layout.part(values[table.columns.index(table.layout.column)]),) if table.store else ()
+
+    def _hold(self, table: Table, gone: dict[int, tuple], come: dict[int, list]) -> None:
+        """Hold rows that go (as they were in the frame) and that come, and write when there are many."""
+        extra = {pos: (*row[: len(table.columns)], *self._part(table, row)) for pos, row in come.items()}
+        if table.store:
+            table.dirty |= {row[-1] for row in (*gone.values(), *extra.values())}
+        table.amend(self.spark, gone, extra)
+        if len(table.gone) + len(table.extra) >= CHANGES:
+            self._write(table, table.rows, table.dirty)
+
+    def _write(self, table: Table, rows: DataFrame, parts: set[int]) -> None:
+        """Write the next version: of a laid-out table these partitions, else the whole table."""
+        if table.store:
+            table.store.write(rows, sorted(parts))
+            table.replace(table.store.read(self.spark))
+        else:
+            path = workspace(self.spark, "version")
+            rows.write.parquet(path)
+            table.replace(self.spark.read.parquet(path))
 
     def _plain(self, table: Table) -> DataFrame:
         return table.frame(self.spark).select(POS, *table.columns)
 
+    def _values_for(self, table: Table, values: tuple) -> list:
+        if len(values) < len(table.columns) or len(table.columns) < table.arity:
+            raise CommandError(f"{table.name} takes {table.arity} values")
+        return [*values[: len(table.columns)]]
+
     def _insert(self, _, name, values):
         table = self.catalog.table(name)
-        if len(values) < len(table.columns) or len(table.columns) < table.arity:
-            raise CommandError(f"{name} takes {table.arity} values")
-        rows, values = table.frame(self.spark), values[: len(table.columns)]
-        part = (table.layout.part(values[table.columns.index(table.layout.column)]),) if table.store else ()
+        row = self._values_for(table, values)
         if table.last is None:
-            table.last = dml.last_position(rows)
-        out = dml.insert(rows.select(POS, *table.columns, *[layout.PART] * len(part)), [(*values, *part)], table.last)
+            table.last = dml.last_position(table.frame(self.spark))
         table.last += 1
-        self._changed(table, out, part)
+        self._hold(table, {}, {table.last: row})
 
     def _first(self, table: Table, column: str, value):
         """The first row with a value, looked up in the one partition that can hold it if the layout is by that column."""
         rows, cut = table.frame(self.spark), table.layout
         found = layout.select_first(rows, cut, value) if cut and cut.column == column else relational.select_first(rows, column, value)
-        return found.first()
+        return found.select(POS, *table.columns, *[layout.PART] * bool(cut)).first()
 
     def _delete(self, _, name, value):
         table, column = self.catalog.column(name)
-        row = self._first(table, column, value)
-        if row is None:
-            return
-        self._changed(table, table.frame(self.spark).filter(F.col(POS) != row[POS]), {row[layout.PART]} if table.store else ())
+        if row := self._first(table, column, value):
+            self._hold(table, {row[0]: tuple(row)[1:]}, {})
 
     def _delete_positions(self, _, name, positions):
         table = self.catalog.table(name) if name in self.catalog.tables else self.catalog.column(name)[0]
-        rows, at = table.frame(self.spark), self._get(positions, Positions).rows
-        parts = ()
+        rows, at, parts = table.frame(self.spark), self._get(positions, Positions).rows, set()
         if table.store:  # at most one row for each partition
             parts = {r[0] for r in rows.join(at.select(POS), POS, "left_semi").select(layout.PART).distinct().collect()}
-        self._changed(table, dml.delete_at(rows, at), parts, written=True)
+        self._write(table, dml.delete_at(rows, at), parts | table.dirty)
 
     def _update(self, _, name, old, new):
         table, column = self.catalog.column(name)
-        row = self._first(table, column, old)
-        if row is None:
-            return
-        rows, changed = table.frame(self.spark), row.asDict()
-        changed[column] = float(new) if isinstance(row[column], float) else new
-        parts = set()
-        if table.store:
-            parts = {row[layout.PART], table.layout.part(changed[table.layout.column])}
-            changed[layout.PART] = table.layout.part(changed[table.layout.column])
-        one = self.spark.createDataFrame([tuple(changed[c] for c in rows.columns)], rows.schema)
-        self._changed(table, rows.filter(F.col(POS) != row[POS]).unionByName(one), parts)
+        if row := self._first(table, column, old):
+            changed = [*row[1 : len(table.columns) + 1]]
+            changed[table.columns.index(column)] = new
+            self._hold(table, {row[0]: tuple(row)[1:]}, {row[0]: changed})
 
     # -- physical design
 
@@ -331,7 +330,7 @@ class Session:
         chosen, plain = self.decisions[name], self._plain(table)
         store = layout.Store(path or workspace(self.spark, "layout"), chosen, plain.schema, next(iter(table.orders), None))
         store.write(layout.assign(plain, chosen))
-        table.store, table.dirty, table.changes = store, set(), 0
+        table.store = store
         table.replace(store.read(self.spark))
         return chosen
 
@@ -435,23 +434,19 @@ class Session:
         """The writes' effect on the table, as one change."""
         table = self.catalog.table(self._kind(run[0])[1])
         column = next((self._kind(c)[2] for c in run if self._kind(c)[2]), table.columns[0])
-        writes = []
-        for c in run:
-            if c.verb == "insert" and (len(c.args[1]) < len(table.columns) or len(table.columns) < table.arity):
-                raise CommandError(f"{table.name} takes {table.arity} values")
-            writes.append((c.verb, c.args[1][: len(table.columns)]) if c.verb == "insert" else (c.verb, *c.args[1:]))
-        plain = self._plain(table)
+        writes = [(c.verb, self._values_for(table, c.args[1])) if c.verb == "insert" else (c.verb, *c.args[1:]) for c in run]
+        rows = table.frame(self.spark)
         if table.last is None:
-            table.last = dml.last_position(plain)
-        what = dml.effect(plain, column, writes, table.last)
+            table.last = dml.last_position(rows)
+        near = rows
+        if (cut := table.layout) and cut.column == column:  # look-ups read the partitions that can hold the values
+            near = rows.filter(F.col(layout.PART).isin(sorted({cut.part(w[1]) for w in writes if w[0] != "insert"})))
+        what = dml.effect(near, column, writes, table.last)
         table.last += sum(w[0] == "insert" for w in writes)
-        rows, parts = dml.applied(plain, column, what), set()
-        if table.store:
-            touched = self.spark.createDataFrame([(p,) for p in (*what.gone, *what.moved)], f"{POS} long")
-            parts = {r[0] for r in table.frame(self.spark).join(touched, POS, "left_semi").select(layout.PART).distinct().collect()}
-            of = table.columns.index(table.layout.column)
-            parts |= {table.layout.part(x[of]) for x in what.added.values()}
-            if column == table.layout.column:
-                parts |= {table.layout.part(v) for v in what.moved.values()}
-            rows = layout.assign(rows, table.layout)
-        self._changed(table, rows, parts, written=True)
+        if len(what.gone) + len(what.rows) < CHANGES:
+            self._hold(table, what.met, what.rows)
+            return
+        for pos, row in what.rows.items():
+            what.rows[pos] = [*row[: len(table.columns)], *self._part(table, row)]
+        parts = {row[-1] for row in (*what.met.values(), *what.rows.values())} if table.store else set()
+        self._write(table, dml.applied(rows, what), parts | table.dirty)

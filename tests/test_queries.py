@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from palisade import queries as core
 
 SQL = entry.oracle_sql()
 
@@ -40,4 +41,4 @@ def test_entry(spark):
 
 def test_decided_layout(spark, small):
     rows = entry.queries()["decided_layout"](spark, small).collect()
-    assert sum(r["size"] for r in rows) == 1500 and len(rows) <= 32
+    assert sum(r["size"] for r in rows) == 1500 and len(rows) <= core.BINS

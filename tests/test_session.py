@@ -170,9 +170,10 @@ def explained(df):
 
 
 @pytest.mark.parametrize("changes", [1, 16, 40])
-def test_changes_keep_partitions(spark, changes):
+def test_changes_keep_partitions(spark, changes, monkeypatch):
     """After any number of changes selections still prune directories, and the rows are those of a plain table."""
     rng = random.Random(changes)
+    monkeypatch.setattr("palisade.session.CHANGES", 16)  # so that some are written and others held
     s, plain = laid_out(spark), small(spark, [(i * 7 % 50, i) for i in range(60)])
     for i in range(changes):
         line = rng.choice([f"i(d.t,{rng.randrange(70)},{100 + i})", f"d(d.t.a,{rng.randrange(50)})", f"u(d.t.a,{rng.randrange(50)},{rng.randrange(70)})", f"u(d.t.b,{rng.randrange(60)},{200 + i})", f"d(d.t.b,{rng.randrange(60)})"])
