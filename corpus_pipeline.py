@@ -1,4 +1,9 @@
-"""Five stages over documents: quality rules, near-duplicates, secrets, mixing, packing."""
+"""Five stages over documents: quality rules, near-duplicates, secrets, mixing, packing.
+
+Defined cases, in every stage: a null text counts as empty; columns besides those of documents pass through whatever
+their names; an empty table stays empty. Rows that repeat are separate documents until the second stage, which keeps one
+of them. Rows with a null id take part: the second stage keeps them last, the others treat them like any other.
+"""
 
 from __future__ import annotations
 
@@ -15,19 +20,21 @@ from palisade.llm.queries_packing import RANKS, TOKENIZER
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither the base rules nor a certified cutoff rejects."""
+    """Documents that neither the base rules nor a certified cutoff rejects. Empty texts go; a document without language
+    is judged by the stratum null, and one in a stratum without enough labels by the base rules alone."""
     name = unused(docs.columns, "_quality")
     return quality.judge(docs, table(spark, sf_dir, "labels"), name=name).filter(F.col(f"{name}.kept")).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component of near-duplicates: fingerprints that differ in at most 2
-    bits, or sets of 5-word shingles that are similar by 0.8 or more."""
+    bits, or sets of 5-word shingles that are similar by 0.8 or more. An id that repeats with different texts stands for
+    as many documents; nulls come after all ids, and of equal ids the first row stays."""
     return simhash.deduplicated(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret replaced by a mark and n_chars counted anew where one was."""
+    """All documents, with every secret replaced by a mark and n_chars counted anew where one was. A null text stays null."""
     name = unused(docs.columns, "_masked")
     marked = docs.withColumn(name, secrets.masked(F.col("text")))
     size = F.coalesce(F.length(name).cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
@@ -36,13 +43,14 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the mixed order: the files in the order of their names, and the rows within each, follow the
-    schedule, so that a reader meets the sources in their target weights at any point. The next stage keeps to it."""
+    schedule, so that a reader meets the sources in their target weights at any point. The next stage keeps to it. A null
+    or unknown source has the weight of "*"."""
     return mixing.in_order(docs, WEIGHTS, utf8_size(F.col("text")) + 8)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 1024 tokens with their sequences. Pieces of one length are ranked in the order in which the
-    rows of docs are filed, so the copies of each pattern follow the mixed order."""
+    rows of docs are filed, so the copies of each pattern follow the mixed order. A null text gives just the end id."""
     filed = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
     cut = packing.pieces(filed, public_tokenizers.path(TOKENIZER), public_tokenizers.path(RANKS), order=("file", "row"))
     return packing.pack(cut, order=("row",), cell=F.col("file")).drop("file", "row")

@@ -9,12 +9,15 @@ from pyspark.sql import SparkSession
 
 
 def workspace(spark: SparkSession, label: str) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or below one set here if none is."""
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or below one set here if none is and the
+    master is local."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = known.get() if known.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="palisade-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
