@@ -121,8 +121,11 @@ def write(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str
     long_enough = F.octet_length("body") >= min_bytes
     firsts = pages.filter(long_enough & F.col("id").isNotNull()).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     firsts = materialise(firsts, "warc-firsts")
-    refers = F.when(long_enough & ~F.col("id").eqNullSafe(F.col("first")), F.col("first"))
-    rows = pages.join(firsts, "digest", "left").select("id", "url", "body", refers.alias("refers"))
+    # found without the bodies, so that copies of one payload don't meet in one task with them
+    copies = pages.filter(long_enough).select("id", "digest").distinct().join(firsts, "digest").filter(~F.col("id").eqNullSafe(F.col("first")))
+    copies = copies.select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), F.col("first").alias("refers"))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))
+    rows = pages.join(copies, same, "left").select("id", "url", "body", "refers")
 
     def save(batches):
         out = None
