@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from palisade.llm.common import materialise
 
-CELLS = 4096
+CELLS, SOME = 4096, 1024
 
 
 class Tree:
@@ -177,7 +177,10 @@ def assign(docs: DataFrame, size: Column, group: Column, bins: int | None = None
     runs = even(sizes, bins) if bins else best_fit(sizes, capacity)
     spark = docs.sparkSession
     runs = spark.createDataFrame(runs, "_bytes long, _from long, _to long, shard int")
-    placed = numbered(groups, "_bytes", ["_group"], "_rank").join(runs, "_bytes").filter("_rank >= _from AND _rank < _to")
+    runs = runs.filter("_from < _to").withColumn("_some", F.explode(F.expr(f"sequence(_from div {SOME}, (_to - 1) div {SOME})")))
+    ranked = numbered(groups, "_bytes", ["_group"], "_rank").withColumn("_some", F.expr(f"_rank div {SOME}"))
+    # by stretches of ranks, so that each group of a common size meets few of the size's runs
+    placed = ranked.join(runs, ["_bytes", "_some"]).filter("_rank >= _from AND _rank < _to")
     placed = materialise(placed.select("_group", "shard"), "shard-placed")
     rows = materialise(rows.join(placed, "_group").drop("_group"), "shard-slots")
     return numbered(rows, "shard", [carry[0], "size"], "slot")
