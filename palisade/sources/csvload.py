@@ -24,12 +24,14 @@ def header(spark: SparkSession, path: str) -> tuple[list[str], int]:
 
 
 def load(spark: SparkSession, path: str) -> tuple[list[str], DataFrame]:
-    """(qualified names, rows with pos): pos follows the order of the lines."""
+    """(qualified names, rows with pos): pos follows the order of the lines. A folder may hold several load files with
+    equal headers; each one's rows stay together."""
     names, skip = header(spark, path)
     schema = StructType([StructField(n.rpartition(".")[2], IntegerType()) for n in names])
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("_id"))
-    # the ids grow along the file; the header's are the smallest
-    rows = lines.filter((F.col("_id") >= skip) & (F.trim("value") != ""))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_id"))
+    # the ids grow along a file; the header's are the smallest of its
+    firsts = lines.groupBy("_file").agg(F.min("_id").alias("_first"))
+    rows = lines.join(firsts, "_file").filter((F.col("_id") >= F.col("_first") + skip) & (F.trim("value") != ""))
     cells = F.split("value", ",")
     out = rows.select("_id", *(F.trim(cells[i]).cast("int").alias(f.name) for i, f in enumerate(schema)))
     return names, dense(out, "_id")

@@ -202,6 +202,15 @@ def test_csv_without_counts(spark, tmp_path):
     assert csvload.statistics(spark, str(tmp_path / "f")) == (4, 2)
 
 
+def test_several_load_files(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"f{i}").write_text("2,2\nfoo.t.a,foo.t.b\n" + "".join(f"{10 * i + j},{j}\n" for j in range(2)))
+    names, rows = csvload.load(spark, str(tmp_path))
+    got = [tuple(r) for r in rows.orderBy("pos").collect()]
+    assert names == ["foo.t.a", "foo.t.b"] and [p for p, _, _ in got] == list(range(6))
+    assert sorted((a, b) for _, a, b in got) == [(10 * i + j, j) for i in range(3) for j in range(2)]
+
+
 def test_generators(spark):
     rows = workloads.data(spark, 500, 3, domain=10_000)
     assert rows.columns == ["pos", "a", "b", "c"] and rows.select("a").distinct().count() == 500
