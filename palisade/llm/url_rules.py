@@ -83,7 +83,8 @@ def mine(urls: DataFrame, labels: DataFrame, url: str = "url", key: str = "page_
     found = materialise(model.freqItemsets.select(F.array_sort("items").alias("items"), F.col("freq")), "url-itemsets")
     rare = found.select("items", F.explode("items").alias("item")).join(common, "item")
     found = found.join(rare.groupBy("items").agg(F.min_by("item", F.struct("all", "item")).alias("anchor")), "items")
-    hits = _candidates(sets.select("_id", "_bad", "items"), found.select(F.col("items").alias("_rule"), "anchor"), "items")
+    # dealt anew, so that their true size is known: written sets are far smaller than exploded ones, and none is broadcast unseen
+    hits = _candidates(sets.repartition("_id"), found.select(F.col("items").alias("_rule"), "anchor"), "items")
     kept = hits.groupBy(F.col("_rule").alias("items"), "anchor").agg(F.count(F.when(F.col("_bad"), 1)).alias("support"), F.count("*").alias("n"))
     kept = kept.withColumn("confidence", F.col("support") / F.col("n")).filter((F.col("support") >= least) & (F.col("confidence") >= min_confidence))
     kept = materialise(kept.filter(_sure("support", "n", n_bad, n_all, sure)).drop("n"), "url-rules")
