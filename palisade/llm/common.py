@@ -73,6 +73,11 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def once(value: Column) -> Column:
+    """value as a column that is computed in one place: the optimizer neither copies it into filters nor moves it."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def words(text: Column) -> Column:
     """The words of a text; none for a null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")

@@ -25,7 +25,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import let, materialise, unused, words
+from palisade.llm.common import let, materialise, once, unused, words
 
 #: Signal to its expression over the figures and its grid of cutoffs; a document beyond (>) the cutoff is rejected.
 SIGNALS = {
@@ -100,10 +100,11 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
     return F.aggregate(rest, F.struct(start.alias("t"), F.exp(start).alias("s")), add, lambda s: s["s"])
 
 
-def thresholds(figured: DataFrame, labels: DataFrame, q: str = "_q", key: str = "doc_id", stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+def thresholds(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """(stratum, cut) per stratum with labelled good documents; cut is a struct of a certified cutoff per signal (null: none)."""
-    good = labels.groupBy(F.col(key).alias("_k")).agg(F.max("quality").alias("_g")).filter("_g = 1")
-    held = figured.filter(~base_failed(q)).select(F.col(key).alias("_k"), F.col(stratum).alias("_s"), *(_signal(s, q).alias(s) for s in SIGNALS)).join(good, "_k")
+    good = labels.groupBy(F.col(key).alias("_k")).agg(F.max("quality").alias("_g")).filter("_g = 1").select("_k")
+    held = docs.select(F.col(key).alias("_k"), F.col(stratum).alias("_s"), F.col(text).alias("_t")).join(good, "_k").select("_k", "_s", once(figures(F.col("_t"))).alias("_q"))
+    held = held.filter(~base_failed("_q")).select("_k", "_s", *(_signal(s, "_q").alias(s) for s in SIGNALS))
     held = held.groupBy("_k", "_s").agg(*(F.max(s).alias(s) for s in SIGNALS))  # once for each id
     beyond = [F.count(F.when(F.col(s) > c, 1)).alias(f"{s}_{i}") for s, (_, grid) in SIGNALS.items() for i, c in enumerate(grid)]
     counts = materialise(held.groupBy("_s").agg(F.count("*").alias("_n"), *beyond), "quality-counts")
@@ -117,12 +118,12 @@ def thresholds(figured: DataFrame, labels: DataFrame, q: str = "_q", key: str =
 def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", narrow: bool = False, name: str = "_q", **how) -> DataFrame:
     """docs with a struct (figures, base_failed, kept) in the column `name`. narrow: only key and stratum are carried along.
 
-    The figures are computed once and written to the shared folder, as both the thresholds and the verdicts read them.
+    The thresholds are found at once, from the labelled documents; the verdicts are a pass over all documents, lazily.
     """
     carried = [key, stratum] if narrow else [c for c in docs.columns if c != name]
-    docs = materialise(docs.select(*(F.col(f"`{c}`") for c in carried), figures(F.col(text)).alias(name)), "quality")
     by, cut = unused(docs.columns, "_stratum"), unused(docs.columns, "_cut")
-    cuts = thresholds(docs, labels, name, key, stratum, **how).toDF(by, cut)
+    cuts = thresholds(docs, labels, key, text, stratum, **how).toDF(by, cut)
+    out = docs.select(*(F.col(f"`{c}`") for c in carried), once(figures(F.col(text))).alias(name))
     passed = ~base_failed(name) & reduce(and_, (F.coalesce(_signal(s, name) <= F.col(f"{cut}.{s}"), F.lit(True)) for s in SIGNALS))
     verdict = F.struct(f"{name}.*", base_failed(name).alias("base_failed"), passed.alias("kept"))
-    return docs.join(cuts, F.col(f"`{stratum}`").eqNullSafe(F.col(by)), "left").withColumn(name, verdict).drop(by, cut)
+    return out.join(cuts, F.col(f"`{stratum}`").eqNullSafe(F.col(by)), "left").withColumn(name, verdict).drop(by, cut)
