@@ -10,20 +10,25 @@ from alternating large-star and small-star steps (Kiveris et al., 2014) over the
 shared folder between rounds.
 
 Texts that are alike but further apart than that are found by `similar_links`, which `deduplicated` adds: all pairs whose
-sets of 5-word shingles have a Jaccard similarity of at least 0.8. Two such sets share a shingle among the first fifth of
-each in any order that is the same for all (prefix filter), whatever the number of documents. The order is by frequency
-in a sample, then by hash: the sample only keeps common shingles out of the prefixes, and no result depends on it. Under
-each shingle all members are first compared with two of them, which are the same under many shingles; that puts most
-near copies into components. Then every other pair under the shingle is compared whose members are still in different
-components, so no pair that could join two components is left out. Pairs are candidates as far as sizes and places leave
-0.8 possible, and are verified exactly, on the sets of shingles of the two texts. For the second step, shingles of no
-other prefix don't count among those that may be in common before the shared one, so texts that share a passage alone are
-no candidates where it is too small a part of them.
+sets of 5-word shingles have a Jaccard similarity of at least 0.8. Texts with equal sets are merged first. Two sets of
+that similarity share a shingle among the first fifth of each in any order that is the same for all (prefix filter),
+whatever the number of documents. The order is by frequency in a sample, then by hash: the sample only keeps common
+shingles out of the prefixes, and no result depends on it. A pair is looked for under the first shingle that both hold:
+there, all that they have in common lies in what is left of either set, so a set of which too little is left for its size
+and the smallest set under the shingle has no partner there. Sets of about the same size even share many shingles of
+their prefixes (some 9 % of a set), so those that hold few shingles of other prefixes have no such partner. Under each
+shingle all members are first compared with two of them: the one with the least part of it gone, which is nearest to the
+text that copies were made from, and one by hash, which is the same under many shingles. That puts most near copies into
+components. Then every other pair under the shingle is compared that is in reach and whose members are still in different
+components, but for pairs that have met under one of the few shingles before. So no pair that could join two components
+is left out. Candidates are verified exactly, on the sets of shingles of the two texts.
 
 Defined cases: a null text counts as empty; texts without words have fingerprint zero and are linked like any other;
 with fewer words than a shingle has, the whole sequence is the one shingle. Ties and repeated rows share a component,
 whose id is the smallest id in it; rows with a null id have a fingerprint and take the component of their class, null
-if all its ids are null. Only id and text are used, so other columns can't clash.
+if all its ids are null. Only id and text are used, so other columns can't clash. Where an id repeats with different
+texts, each row goes with its own text; `deduplicated` keeps one row of each component, the one with the smallest id
+(nulls last), of equal ids the first row of the input.
 """
 
 from __future__ import annotations
@@ -37,26 +42,32 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palisade.llm.common import by_value, materialise
+from palisade.llm.common import by_value, materialise, release
 
 by_value(__name__)
 WIDTH, SEED, DISTANCE, BLOCKS, BUCKET = 3, 42, 2, 4, 32
 CHUNK = 1 << 16
-WIDE, SIMILAR, WIDE_WIDTH = 1024, 0.8, 5
+SIMILAR, WIDE_WIDTH = 0.8, 5
 #: Documents of which shingles are counted, and the most frequent shingles that are told apart by their counts.
 SAMPLE, RANKED = 10_000, 1 << 16
+#: Shingles before a shared one in which an earlier shared one is looked for.
+RECENT = 8
 
 
-def shingle_hashes(text: str | None, width: int, seed: int = SEED):
-    """Arrays of hashes of the shingles of a text, at most CHUNK each; none if it has no words."""
+def spans(text: str | None) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words joined by single spaces, and where each begins and ends."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z and ASCII white space
-    if not found:
-        return
-    joined = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    n = max(1, len(found) - width + 1)
-    firsts, lasts = starts[:n].tolist(), ends[min(width, len(found)) - 1 :].tolist()
+    return b" ".join(found), np.concatenate(([0], ends[:-1] + 1)), ends
+
+
+def hashed(words: tuple[bytes, np.ndarray, np.ndarray], width: int, seed: int = SEED):
+    """Arrays of hashes of the shingles of spans, at most CHUNK each; none if there are no words."""
+    joined, starts, ends = words
+    if not len(ends):
+        return
+    n = max(1, len(ends) - width + 1)
+    firsts, lasts = starts[:n].tolist(), ends[min(width, len(ends)) - 1 :].tolist()
     for at in range(0, n, CHUNK):
         shingles = [joined[a:b] for a, b in zip(firsts[at : at + CHUNK], lasts[at : at + CHUNK], strict=True)]
         yield np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, len(shingles))
@@ -73,28 +84,17 @@ def bit_counts(hashes: np.ndarray) -> np.ndarray:
     return total
 
 
-def fingerprint(text: str | None, width: int = WIDTH, seed: int = SEED) -> int:
+def simhash(words: tuple[bytes, np.ndarray, np.ndarray], width: int = WIDTH, seed: int = SEED) -> int:
     """Unsigned 64-bit SimHash; a bit is set if more than half of the shingle hashes, repeats included, set it."""
     counts, n = np.zeros(64, np.int64), 0
-    for hashes in shingle_hashes(text, width, seed):
+    for hashes in hashed(words, width, seed):
         counts += bit_counts(hashes)
         n += len(hashes)
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
-def wide_fingerprint(text: str | None, width: int = WIDE_WIDTH) -> np.ndarray | None:
-    """WIDE bits as signed longs, over the set of shingles; None without words."""
-    parts = [*shingle_hashes(text, width)]
-    if not parts:
-        return None
-    hashes, counts = np.unique(np.concatenate(parts)), np.zeros(WIDE, np.int64)
-    steps = np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for at in range(0, len(hashes), 8192):
-        x = hashes[at : at + 8192, None] + steps  # wraps around; then each lane is mixed (splitmix64)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        counts += bit_counts(x ^ (x >> np.uint64(31)))
-    return np.packbits(2 * counts > len(hashes)).view(">u8").astype(np.int64)
+def fingerprint(text: str | None, width: int = WIDTH, seed: int = SEED) -> int:
+    return simhash(spans(text), width, seed)
 
 
 def _fp_udf(width: int, seed: int):
@@ -105,9 +105,9 @@ def _fp_udf(width: int, seed: int):
     return fp
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """The distinct hashes of the WIDE_WIDTH-word shingles of a text, in ascending order."""
-    return np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(text, WIDE_WIDTH)]))
+def shingle_set(words: tuple[bytes, np.ndarray, np.ndarray]) -> np.ndarray:
+    """The distinct hashes of the WIDE_WIDTH-word shingles, in ascending order."""
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *hashed(words, WIDE_WIDTH)]))
 
 
 def prefix(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
@@ -119,20 +119,29 @@ def prefix(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray, similarit
     return hashes[np.lexsort((hashes, rank))][: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1]
 
 
-def _prefix_udf(common: np.ndarray, counts: np.ndarray, similarity: float):
-    @F.pandas_udf("size int, prefix array<long>")
-    def prefixes(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingle_set(t) for t in texts]
-        found = pd.Series([prefix(x, common, counts, similarity).view(np.int64) for x in sets], dtype=object)
-        return pd.DataFrame({"size": np.array([len(x) for x in sets], np.int32), "prefix": found})
+def _figures_udf(common: np.ndarray, counts: np.ndarray, similarity: float):
+    """Fingerprint, name, size and prefix of the set of shingles: all from one pass over the words."""
+
+    @F.pandas_udf("fp long, name binary, size int, prefix array<long>")
+    def figures(texts: pd.Series) -> pd.DataFrame:
+        fps, names, sizes, prefixes = [], [], [], []
+        for t in texts:
+            words = spans(t)
+            some = shingle_set(words)
+            fps.append(simhash(words))
+            names.append(xxhash.xxh3_128_digest(some.tobytes()))
+            sizes.append(len(some))
+            prefixes.append(prefix(some, common, counts, similarity).view(np.int64))
+        fp = np.array(fps, np.uint64).view(np.int64)
+        return pd.DataFrame({"fp": fp, "name": names, "size": np.array(sizes, np.int32), "prefix": pd.Series(prefixes, dtype=object)})
 
-    return prefixes
+    return figures
 
 
 def _set_udf():
     @F.pandas_udf("array<long>")
     def sets(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t).view(np.int64) for t in texts], dtype=object)
+        return pd.Series([shingle_set(spans(t)).view(np.int64) for t in texts], dtype=object)
 
     return sets
 
@@ -187,7 +196,7 @@ def _similar_udf(similarity: float):
             if text not in known:
                 if len(known) >= 256:
                     known.clear()
-                known[text] = shingle_set(text)
+                known[text] = shingle_set(spans(text))
             return known[text]
 
         def test(x, y):
@@ -205,43 +214,67 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     texts = materialise(texts.join(needed, "uid", "left_semi"), "simhash-texts")
     side = lambda n: texts.select(F.col("uid").alias(n), F.col("text").alias(f"text_{n}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return materialise(both.filter(_similar_udf(similarity)("text_a", "text_b")).select("a", "b"), "simhash-verified")
-
-
-def similar_links(classes: DataFrame, texts: DataFrame, similarity: float = SIMILAR) -> DataFrame:
-    """Links (a, b) between the fp of classes (fp, uid, size, prefix) whose components are those of all pairs of texts
-    (uid, text) that are as similar."""
-    posts = classes.select("uid", "size", F.posexplode("prefix").alias("pos", "k"))
-    one = F.struct(F.xxhash64("uid").alias("h"), "uid", "size", "pos")  # the same order under all shingles
-    centres = posts.groupBy("k").agg(F.count("*").alias("n"), F.min(one).alias("c0"), F.max(one).alias("c1")).filter("n > 1")
-    posts = materialise(posts.join(centres.select("k", "n", F.array("c0", "c1").alias("c")), "k"), "simhash-posts")
-    met = posts.select("uid", "size", "pos", F.explode("c").alias("o")).filter("uid <> o.uid")
-    met = met.filter(_possible("size", "pos", "o.size", "o.pos", similarity))
+    out = materialise(both.filter(_similar_udf(similarity)("text_a", "text_b")).select("a", "b"), "simhash-verified")
+    release(texts)
+    return out
+
+
+def similar_links(sets: DataFrame, texts: DataFrame, similarity: float = SIMILAR) -> DataFrame:
+    """Links (a, b) between the uid of distinct sets (uid, size, prefix) whose components are those of all pairs that
+    are as similar; texts (uid, text) hold at least the text of each."""
+    posts = sets.select("uid", "size", F.posexplode("prefix").alias("pos", "k")).select("uid", "size", (F.col("size") - F.col("pos")).alias("left"), "k")
+    # counted by part of the key, which is less to shuffle; what is left of shingles that just share it goes below
+    short = F.shiftright("k", 16).alias("short")
+    shared = posts.groupBy(short).agg(F.count("*").alias("n"), F.min("size").alias("least")).filter("n > 1").select("short", "least")
+    posts = posts.withColumn("short", short).join(shared, "short").withColumn("met", F.count("*").over(Window.partitionBy("uid")))  # of one set
+    posts = posts.filter(_in_reach("left", "size", "least", similarity)).drop("short", "least")
+    near = posts = materialise(posts, "simhash-posts")
+    member = F.struct(F.xxhash64("uid").alias("h"), "uid", "size", "left", "met")
+    nearest = F.struct((-F.col("left") / F.col("size")).alias("r"), member.alias("m"))
+    centres = posts.groupBy("k").agg(F.count("*").alias("n"), F.min(nearest)["m"].alias("c0"), F.min(member).alias("c1"), F.max(member).alias("c2")).filter("n > 1")
+    centres = centres.withColumn("c1", F.expr("if(c0.uid = c1.uid, c2, c1)"))  # two of them
+    posts = materialise(posts.join(centres.select("k", "n", F.array("c0", "c1").alias("c")), "k"), "simhash-shared")
+    release(near)
+    met = posts.select("uid", "size", "left", "met", F.explode("c").alias("o")).filter("uid <> o.uid")
+    met = met.filter(_in_reach(F.least("left", "o.left"), "size", "o.size", similarity) & _enough(F.least("met", "o.met"), ("size", "size"), ("o.size", "o.size"), similarity))
     met = materialise(met.select(F.least("uid", "o.uid").alias("a"), F.greatest("uid", "o.uid").alias("b")).distinct(), "simhash-met")
     found = verified(met, texts, similarity)
+    crowded = posts  # kept until the last of it is read
     # with up to 3 members those were all pairs; of the others, the pairs across components
     roots = components(found).withColumnsRenamed({"node": "uid", "root": "_root"})
-    before = F.row_number().over(Window.partitionBy("uid").orderBy("pos")) - 1  # shared shingles before this one, of one document
-    posts = posts.select("k", "uid", "size", "n", (F.col("size") - F.col("pos")).alias("after"), before.alias("before")).filter("n > 3").drop("n").join(roots, "uid", "left").withColumn("root", F.coalesce("_root", "uid")).drop("_root")
+    recent = F.collect_list("k").over(Window.partitionBy("uid").orderBy(F.desc("left")).rowsBetween(-RECENT, -1))
+    posts = posts.withColumn("recent", recent).filter("n > 3").drop("n", "c").join(roots, "uid", "left").withColumn("root", F.coalesce("_root", "uid")).drop("_root")
     several = posts.groupBy("k").agg(F.min("root").alias("m"), F.max("root").alias("x")).filter("m < x").select("k")
     posts = materialise(posts.join(several, "k"), "simhash-crowds")
-    parts = posts.groupBy("k", "root").agg(F.min("size").alias("size"), F.max("after").alias("after"), F.max("before").alias("before"))
+    release(crowded)
+    parts = posts.groupBy("k", "root").agg(F.min("size").alias("size"), F.max("size").alias("most"), F.max("left").alias("left"), F.max("met").alias("met"), F.count("*").alias("of"), F.min("recent").alias("recent"))
     side = lambda df, n: df.select("k", *(F.col(c).alias(f"{c}_{n}") for c in df.columns if c != "k"))
-    most = F.least("before_a", "before_b") + F.least("after_a", "after_b")
-    possible = most * (1 + similarity) >= similarity * (F.col("size_a") + F.col("size_b")) - 1e-6
-    across = side(parts, "a").join(side(parts, "b"), "k").filter("root_a < root_b").filter(possible).select("k", "root_a", "root_b")
-    rest = across.join(side(posts, "a"), ["k", "root_a"]).join(side(posts, "b"), ["k", "root_b"]).filter(possible)
+    possible = lambda most: _in_reach(F.least("left_a", "left_b"), "size_a", "size_b", similarity) & _enough(F.least("met_a", "met_b"), ("size_a", f"{most}_a"), ("size_b", f"{most}_b"), similarity)
+    # a pair that has lately shared a shingle was met there
+    new = ~F.arrays_overlap("recent_a", "recent_b")
+    across = side(parts, "a").join(side(parts, "b"), "k").filter("of_a < of_b OR of_a = of_b AND root_a < root_b").filter(possible("most"))  # a: the smaller part
+    across = across.filter(F.expr("of_b > 1") | new)
+    across = across.select("k", "root_a", "root_b", *(F.col(f"{c}_b").alias(f"{c}_p") for c in ("left", "size", "most", "met")))  # of b's part
+    near_p = _in_reach(F.least("left_a", "left_p"), "size_a", "size_p", similarity) & _enough(F.least("met_a", "met_p"), ("size_a", "size_a"), ("size_p", "most_p"), similarity)
+    rest = across.join(side(posts, "a"), ["k", "root_a"]).filter(near_p)
+    rest = rest.join(side(posts, "b"), ["k", "root_b"]).filter(possible("size")).filter(new)
     rest = rest.select(F.least("uid_a", "uid_b").alias("a"), F.greatest("uid_a", "uid_b").alias("b")).distinct().join(met, ["a", "b"], "left_anti")
-    found = found.unionByName(verified(materialise(rest, "simhash-rest"), texts, similarity))
-    fp = lambda n: classes.select(F.col("uid").alias(n), F.col("fp").alias(f"fp_{n}"))
-    return found.join(fp("a"), "a").join(fp("b"), "b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
+    found = materialise(found.unionByName(verified(materialise(rest, "simhash-rest"), texts, similarity)), "simhash-similar")
+    release(posts, met)
+    return found
+
+
+def _in_reach(left: Column | str, size_a: str, size_b: str, similarity: float) -> Column:
+    """Whether sets of these sizes with at most `left` shingles in common can be as similar."""
+    return (F.col(left) if isinstance(left, str) else left) * (1 + similarity) >= similarity * (F.col(size_a) + F.col(size_b)) - 1e-6
 
 
-def _possible(size_a: str, pos_a: str, size_b: str, pos_b: str, similarity: float) -> Column:
-    """Whether sets of these sizes that share the shingle at these places of their orders can be as similar."""
-    after = F.least(F.col(size_a) - F.col(pos_a), F.col(size_b) - F.col(pos_b))
-    most = F.least(pos_a, pos_b) + after
-    return most * (1 + similarity) >= similarity * (F.col(size_a) + F.col(size_b)) - 1e-6
+def _enough(met: Column, a: tuple[str, str], b: tuple[str, str], similarity: float) -> Column:
+    """Whether sets of sizes between these bounds can be as similar if they share at most `met` shingles of their
+    prefixes. With o in common, all but size - o of the first shingles of a set are, and its prefix is as long as the
+    larger set allows, so they share at least o - similarity * size of it."""
+    o = similarity / (1 + similarity) * (F.col(a[0]) + F.col(b[0]))
+    return met >= o - similarity * F.greatest(a[1], b[1]) - 1e-6
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -262,41 +295,45 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def _marked(docs: DataFrame, key: str, text: str, width: int, seed: int, similarity: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """(key, fp) for each document, and (fp, root, component_id) for each fingerprint."""
-    if similarity is None:
-        marked = materialise(fingerprints(docs, key, text, width, seed), "simhash")
-        classes = marked.groupBy("fp").agg(F.min(key).alias("first"))
-    else:
-        named = docs.select(F.col(key), F.monotonically_increasing_id().alias("uid"), F.col(text).alias("text"))
-        marked = named.select(key, "uid", "text", _fp_udf(width, seed)("text").alias("fp"), _prefix_udf(*common_shingles(docs, text), similarity)("text").alias("set"))
-        marked = materialise(marked.select(key, "uid", "text", "fp", "set.*"), "simhash")
-        one = F.min(F.struct("uid", "size", "prefix"))
-        classes = marked.groupBy("fp").agg(F.min(key).alias("first"), one.alias("one")).select("fp", "first", "one.*")
-    classes = materialise(classes, "simhash-classes")
-    found = links(classes.select("fp"))
-    if similarity is not None:
-        found = found.unionByName(similar_links(classes, marked.select("uid", "text"), similarity))
-    roots = components(found)
+def _grouped(fps: DataFrame, found: DataFrame, first: Column) -> DataFrame:
+    """(fp, root, first) for each fp of fps, with links found besides those by bits; first is an aggregate over a component."""
+    classes = materialise(fps.groupBy("fp").agg(first.alias("first")), "simhash-classes")
+    near = links(classes.select("fp"))
+    roots = components(near if found is None else near.unionByName(found))
     named = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = materialise(named, "simhash-named")
-    ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return marked, materialise(named.join(ids, "root").select("fp", "root", "component_id"), "simhash-ids")
+    firsts = named.groupBy("root").agg(F.min("first").alias("first"))
+    return materialise(named.select("fp", "root").join(firsts, "root"), "simhash-ids")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, seed: int = SEED) -> DataFrame:
     """One row per document: key, fp, component_id (the smallest key that links reach)."""
-    marked, ids = _marked(docs, key, text, width, seed)
-    return marked.join(ids, "fp").select(key, "fp", "component_id")
-
-
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float | None = SIMILAR) -> DataFrame:
-    """docs with one row of each component: that with the smallest id, once if it repeats. With a similarity, links by
-    it count as well as those within 2 bits. A component of which all
-    ids are null keeps one row as well, any of them (their fingerprints differ by a few bits at most)."""
-    marked, ids = _marked(docs, key, text, WIDTH, SEED, similarity)
-    kept = ids.filter("component_id IS NOT NULL").select(F.col("component_id").alias("_pl_kept")).distinct()
-    out = docs.join(kept, docs[key] == kept["_pl_kept"]).dropDuplicates(["_pl_kept"]).drop("_pl_kept")
-    nameless = docs.filter(F.col(key).isNull()).withColumn("_pl_fp", _fp_udf(WIDTH, SEED)(F.col(text)))
-    nameless = nameless.join(ids.filter("component_id IS NULL").select(F.col("fp").alias("_pl_fp"), F.col("root").alias("_pl_root")), "_pl_fp")
-    return out.unionByName(nameless.dropDuplicates(["_pl_root"]).select(docs.columns))
+    marked = materialise(fingerprints(docs, key, text, width, seed), "simhash")
+    ids = _grouped(marked, None, F.min(key))
+    return marked.join(ids.withColumnRenamed("first", "component_id"), "fp").select(key, "fp", "component_id")
+
+
+def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
+    """(row, key, uid, fp) for each row of docs, held as a struct, and (fp, root, first): first is the struct (unnamed,
+    key, uid) of the first row of the component. Links by bits and by similarity count."""
+    named = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), F.col(key).alias("key"), F.monotonically_increasing_id().alias("uid"), F.col(text).alias("text"))
+    marked = named.select("row", "key", "uid", _figures_udf(*common_shingles(docs, text), similarity)("text").alias("f"))
+    marked = materialise(marked.select("row", "key", "uid", "f.*"), "simhash")
+    # one text of each set; the fingerprints that texts of one set have are linked
+    sets = marked.filter("size > 0").groupBy("name").agg(F.min(F.struct("uid", "fp", "size", "prefix")).alias("one"))
+    sets = materialise(sets.select("name", "one.*"), "simhash-sets")
+    same = marked.select("name", F.col("fp").alias("b")).distinct().join(sets.select("name", F.col("fp").alias("a")), "name").filter("a <> b").select("a", "b")
+    found = similar_links(sets.select("uid", "size", "prefix"), marked.select("uid", F.col(f"row.`{text}`").alias("text")), similarity)
+    fp = lambda n: sets.select(F.col("uid").alias(n), F.col("fp").alias(f"fp_{n}"))
+    found = found.join(fp("a"), "a").join(fp("b"), "b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
+    found = materialise(found.unionByName(same).distinct(), "simhash-similar")
+    release(sets)
+    first = F.min(F.struct(F.col("key").isNull().alias("unnamed"), "key", "uid"))
+    return marked.select("row", "key", "uid", "fp"), _grouped(marked, found, first)
+
+
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILAR) -> DataFrame:
+    """docs with one row of each component."""
+    marked, ids = groups(docs, key, text, similarity)
+    kept = ids.select("first.uid").distinct()
+    return marked.join(kept, "uid", "left_semi").select("row.*")

@@ -109,24 +109,6 @@ def test_similar_texts(spark):
     left = {r["doc_id"] for r in simhash.deduplicated(docs).collect()}
     assert left >= {i for i in range(len(rows)) if i % 5 in (0, 4)}
     assert sum(i in left for ids in groups for i in ids[1:]) <= 5
-    assert simhash.deduplicated(docs, similarity=None).count() > len(left)
-
-
-def test_wide_fingerprints():
-    assert simhash.wide_fingerprint(" ") is None and simhash.wide_fingerprint(None) is None
-    for text in ("one", "a b c d e f", "x y z " * 40_000):
-        hashes = sorted({h for part in simhash.shingle_hashes(text, 5) for h in part.tolist()})
-        counts, mask = [0] * simhash.WIDE, (1 << 64) - 1
-        for h in hashes:
-            for lane in range(16):
-                x = (h + (lane + 1) * 0x9E3779B97F4A7C15) & mask
-                x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
-                x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
-                x ^= x >> 31
-                for b in range(64):
-                    counts[lane * 64 + b] += x >> 63 - b & 1
-        bits = "".join(str(int(2 * c > len(hashes))) for c in counts)
-        assert [v % (1 << 64) for v in simhash.wide_fingerprint(text).tolist()] == [int(bits[64 * i : 64 * i + 64], 2) for i in range(16)]
 
 
 def exact_groups(rows, similarity=0.8, bits=2):
@@ -150,9 +132,29 @@ def exact_groups(rows, similarity=0.8, bits=2):
 
 
 def found_groups(spark, rows):
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    marked, ids = simhash._marked(docs, "doc_id", "text", simhash.WIDTH, simhash.SEED, simhash.SIMILAR)
-    return {r["doc_id"]: r["component_id"] for r in marked.select("doc_id", "fp").join(ids, "fp").collect()}
+    marked, ids = simhash.groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    return {r["key"]: r["first"]["key"] for r in marked.select("key", "fp").join(ids, "fp").collect()}
+
+
+def test_repeated_ids(spark):
+    """Rows that share an id but not the text each go with their own text; columns of any name stay."""
+    new = lambda s: " ".join(f"{s}{i}" for i in range(60))
+    rows = [(4, new("a"), 1), (4, new("b"), 2), (5, new("a"), 3), (None, new("b"), 4), (None, new("c"), 5), (4, new("a"), 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, uid int").withColumns({c: F.lit(c) for c in ("row", "key", "fp", "_pl_kept", "name", "size")})
+    kept = simhash.deduplicated(docs)
+    assert kept.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert sorted(got, key=str) == sorted([(4, new("a")), (4, new("b")), (None, new("c"))], key=str)
+
+
+def test_texts_of_one_fingerprint(spark):
+    """Links of every text count, also where several different texts have one fingerprint."""
+    base = [f"w{i}" for i in range(4000)]
+    changed = lambda *at: " ".join("x" if i in at else w for i, w in enumerate(base))
+    rows = [(i, changed(10 * i)) for i in range(30)]
+    rows += [(100, " ".join(base[:3600])), (101, " ".join(base[:3300] + [f"y{i}" for i in range(200)]))]
+    assert len({plain(t) for _, t in rows[:30]}) < 30
+    assert found_groups(spark, rows) == exact_groups(rows)
 
 
 def test_similarity_is_exact(spark):
