@@ -62,7 +62,8 @@ def replay(table: DataFrame, column: str, writes: DataFrame) -> DataFrame:
     Columns other than `column` and pos of inserted rows are null. Rows of one value leave first in, first out. A delete
     finds nothing if all rows of its value are gone by then: over the run, the deletes that fail so far are the largest
     excess, up to any write, of deletes over inserts and rows from before. The others remove that many rows from the
-    front. Two windows by value take the place of a job per write.
+    front, which a window finds that is limited to the largest such number before its shuffle, so neither untouched
+    values nor all rows of a common one are sorted.
     """
     old = table.groupBy(column).agg(F.count("*").alias("_old"))
     moves = writes.select("seq", F.col("value").alias(column), F.when(F.col("op") == "insert", 1).otherwise(-1).alias("_d"))
@@ -73,9 +74,13 @@ def replay(table: DataFrame, column: str, writes: DataFrame) -> DataFrame:
     added = writes.filter("op = 'insert'").join(F.broadcast(last))  # one row
     others = [F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema if f.name not in (POS, column)]
     added = added.select((F.col("_last") + 1 + F.col("seq")).alias(POS), F.col("value").cast(table.schema[column].dataType).alias(column), *others)
+    every, gone = table.unionByName(added.select(table.columns)), gone.filter("_gone > 0")
+    most = gone.agg(F.max("_gone")).first()[0]
+    if most is None:
+        return every
     rank = F.row_number().over(Window.partitionBy(column).orderBy(POS))
-    ranked = table.unionByName(added.select(table.columns)).withColumn("_rank", rank).join(gone, column, "left")
-    return ranked.filter(F.col("_rank") > F.coalesce("_gone", F.lit(0))).select(table.columns)
+    leaving = every.select(POS, column).join(gone, column).withColumn("_rank", rank).filter(F.col("_rank") <= most).filter("_rank <= _gone")
+    return every.join(leaving.select(POS), POS, "left_anti").select(table.columns)
 
 
 @dataclass
