@@ -5,8 +5,8 @@ documents that fit a sequence stay in one piece. For the program, lengths are ro
 histogram has at most capacity / UNIT rows whatever the input. On the driver, a linear program over patterns (how many
 pieces of each length share a sequence) is solved by the revised simplex method. It starts from the patterns of best-fit
 decreasing, of which it takes a basis that needs no more sequences; a knapsack dynamic program over the dual prices,
-smoothed towards the best ones known, yields the next pattern, until the solution is within GAP, or half a sequence, of
-the lower bound. Pattern counts are rounded down and what is left is packed by best-fit decreasing. Pieces of each length
+smoothed towards the best ones known, yields the next pattern, until the solution is within GAP, or one sequence, of the
+lower bound, or for a number of steps in proportion to the lengths. Pattern counts are rounded down and what is left is packed by best-fit decreasing. Pieces of each length
 are ranked in distributed cells; a piece's rank tells its pattern, the copy of it and the place in it by arithmetic.
 Within a sequence, of at most `capacity` pieces, offsets add up the true lengths.
 
@@ -121,12 +121,29 @@ def heuristic(demand: dict[int, int], capacity: int) -> Counter:
     return Counter(tuple(sorted(p.items())) for p in bins.values())
 
 
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """The inverse by Gauss-Jordan steps, in plain array operations: the driver needs no threads of a linear algebra
+    library, which don't get on with a process that has started others."""
+    n = len(matrix)
+    work = np.hstack([matrix.astype(float), np.eye(n)])
+    for i in range(n):
+        at = i + int(abs(work[i:, i]).argmax())
+        if at != i:
+            work[[i, at]] = work[[at, i]]
+        work[i] /= work[i, i]
+        others = np.nonzero(work[:, i])[0]
+        others = others[others != i]
+        work[others] -= work[others, i, None] * work[i]
+    return work[:, n:]
+
+
 class Basis:
-    """A basis of patterns (columns) for the lengths (rows), its inverse, and the patterns' counts."""
+    """A basis of patterns (columns) for the lengths (rows), its inverse, the patterns' counts, and the price that each
+    length has in it."""
 
     def __init__(self, lengths: np.ndarray, capacity: int) -> None:
         most = (capacity // lengths).astype(float)
-        self.columns, self.inverse, self.amounts = np.diag(most), np.diag(1 / most), np.zeros(len(lengths))
+        self.columns, self.inverse, self.amounts, self.prices = np.diag(most), np.diag(1 / most), np.zeros(len(lengths)), 1 / most
         self.row, self.swaps = {int(x): i for i, x in enumerate(lengths)}, 0
 
     def column(self, pattern) -> np.ndarray:
@@ -135,6 +152,11 @@ class Basis:
             out[self.row[x]] = n
         return out
 
+    def change(self, column: np.ndarray) -> np.ndarray:
+        """The pattern in terms of the basis."""
+        held = np.nonzero(column)[0]
+        return (self.inverse[:, held] * column[held]).sum(axis=1)
+
     def leaving(self, change: np.ndarray) -> tuple[int, float]:
         """(basis column, copies): as copies of a pattern move in, which takes `change` from the basis, the first column
         that falls to zero, and when; of those at the same time the one that changes most, for the sake of precision."""
@@ -145,57 +167,66 @@ class Basis:
         tied = np.nonzero(ratios <= least + 1e-9)[0]
         return int(tied[change[tied].argmax()]), float(least)
 
-    def swap(self, out: int, column: np.ndarray, change: np.ndarray) -> None:
-        """column takes the place of the basis column `out`; change: column in terms of the basis."""
+    def enter(self, out: int, copies: float, column: np.ndarray, change: np.ndarray) -> None:
+        """So many copies of column take the place of the basis column `out`."""
         self.columns[:, out] = column
-        self.swaps += 1
-        if self.swaps % 100 == 0:  # afresh, against rounding errors
-            self.inverse = np.linalg.inv(self.columns)
-            return
         row = self.inverse[out] / change[out]
-        self.inverse -= np.outer(change, row)
+        self.prices = self.prices + (1 - change.sum()) * row
+        self.inverse -= change[:, None] * row
         self.inverse[out] = row
+        self.amounts[out] = copies
+        self.swaps += 1
+
+    def refresh(self, need: np.ndarray) -> None:
+        """Everything afresh, against rounding errors."""
+        self.inverse = inverted(self.columns)
+        self.prices, self.amounts = self.inverse.sum(axis=0), (self.inverse * need).sum(axis=1)
 
     def absorb(self, column: np.ndarray, copies: float) -> None:
         """Take over so many copies of a pattern without more sequences than they are: in place of basis patterns if it
         is worth more than they are, else by patterns of the basis, as far as none falls below zero."""
-        change = self.inverse @ column
+        change = self.change(column)
         sign = 1 if change.sum() > 1 + 1e-9 else -1
         out, move = self.leaving(sign * change)
         if sign < 0 and move >= copies:
             self.amounts = np.maximum(self.amounts + copies * change, 0)
             return
         self.amounts = np.maximum(self.amounts - sign * move * change, 0)
-        self.amounts[out] = copies + sign * move
-        self.swap(out, column, change)
+        self.enter(out, copies + sign * move, column, change)
 
 
 def relaxed(demand: dict[int, int], capacity: int, gap: float = GAP) -> list[tuple[dict[int, int], float]]:
     """(pattern, count) pairs that meet the demand with nearly the fewest sequences, counts not yet whole."""
     lengths = np.array(sorted(demand))
+    unit = int(np.gcd.reduce(np.append(lengths, capacity)))
     need = np.array([demand[x] for x in lengths.tolist()], float)
     basis = Basis(lengths, capacity)
     for pattern, copies in heuristic(demand, capacity).items():
         basis.absorb(basis.column(pattern), copies)
+    basis.refresh(need)
     inner = lengths / capacity  # prices under which no pattern is worth more than 1: need @ inner is a lower bound
-    basis.inverse = np.linalg.inv(basis.columns)
-    for _ in range(20 * len(lengths) + 100):
-        basis.amounts, prices, bound = basis.inverse @ need, basis.inverse.sum(axis=0), need @ inner
-        if basis.amounts.sum() <= max(bound * (1 + gap), bound + 0.5):
+    bound = (need * inner).sum()
+    for _ in range(4 * len(lengths) + 100):
+        if basis.amounts.sum() <= max(bound * (1 + gap), bound + 1):
             break
         for weight in (SMOOTH, SMOOTH / 2, 0.0):
-            mixed = weight * inner + (1 - weight) * prices
-            value, column = knapsack(np.maximum(mixed, 0), lengths, capacity)
-            if need @ mixed > (need @ inner) * value:
+            mixed = weight * inner + (1 - weight) * basis.prices
+            value, column = knapsack(np.maximum(mixed, 0), lengths // unit, capacity // unit)
+            if (need * mixed).sum() > bound * value:
                 inner = mixed / value
-            if column @ prices > 1 + 1e-9:
+                bound = (need * inner).sum()
+            if (column * basis.prices).sum() > 1 + 1e-9:
                 break
         else:
             break  # no pattern improves: optimal
-        change = basis.inverse @ column
-        basis.swap(basis.leaving(change)[0], column, change)
-    amounts = np.linalg.solve(basis.columns, need)
-    return [({int(x): int(n) for x, n in zip(lengths, basis.columns[:, j], strict=True) if n}, float(v)) for j, v in enumerate(amounts) if v > 1e-9]
+        change = basis.change(column)
+        out, move = basis.leaving(change)
+        basis.amounts = np.maximum(basis.amounts - move * change, 0)
+        basis.enter(out, move, column, change)
+        if basis.swaps % 200 == 0:
+            basis.refresh(need)
+    basis.refresh(need)
+    return [({int(x): int(n) for x, n in zip(lengths, basis.columns[:, j], strict=True) if n}, float(v)) for j, v in enumerate(basis.amounts) if v > 1e-9]
 
 
 def plan(demand: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, dict[int, int]]]:
