@@ -322,9 +322,9 @@ query("workload_op_mix", f"SELECT op, count(*) AS cnt FROM ({WORK_SQL}) GROUP BY
 
 
 def small_ints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two int columns of orders, in positions from 0."""
-    rows = orders(spark, sf_dir).select(POS, F.col("o_orderkey").cast("int").alias("a"), F.col("o_custkey").cast("int").alias("b"))
-    return csvload.dense(rows.orderBy(POS).select(F.monotonically_increasing_id().alias("_id"), "a", "b"), "_id")
+    """Two int columns of orders, in positions from 0: the ranks of their keys, counted in cells of keys."""
+    rows = orders(spark, sf_dir).select(F.col(POS).alias("_key"), F.col("o_orderkey").cast("int").alias("a"), F.col("o_custkey").cast("int").alias("b"), F.lit(1).alias("_n"))
+    return layout.running(rows, "_key", "_n").select((F.col("upto") - 1).alias(POS), "a", "b")
 
 
 _INTS = "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, CAST(o_orderkey AS INT) AS a, CAST(o_custkey AS INT) AS b FROM orders"

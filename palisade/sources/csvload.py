@@ -39,7 +39,8 @@ def load(spark: SparkSession, path: str) -> tuple[list[str], DataFrame]:
 
 def dense(rows: DataFrame, order: str) -> DataFrame:
     """rows with pos gapless from 0 in the given order, which must be a monotonically_increasing_id: its upper bits
-    are the partition, so numbers are counted within partitions and offset by those before."""
+    are the partition, so numbers are counted within partitions and offset by those before. The ids are made twice, so
+    they must be those of a scan: a sort draws its bounds anew each time, and rows would be lost or numbered twice."""
     rows = rows.withColumn("_part", F.shiftright(order, 33))
     before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     parts = rows.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(before, F.lit(0)).alias("_off"))
