@@ -35,6 +35,6 @@ def differences(spark, folder, name):
     return len(got), sorted({*map(tuple, got)} - {*want})[:5], sorted({*want} - {*map(tuple, got)})[:5]
 
 
-@pytest.mark.parametrize("name, rows", [("binary_load", ROWS), ("csv_load", ROWS), ("reopened_catalog", 2)])
+@pytest.mark.parametrize("name, rows", [("binary_load", ROWS), ("csv_load", ROWS), ("reopened_catalog", 2), ("csv_statistics", 1)])
 def test_positions(spark, larger, name, rows):
     assert differences(spark, larger, name) == (rows, [], [])
