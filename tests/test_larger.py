@@ -1,10 +1,13 @@
 """Queries on orders with more rows than a sort draws its bounds from, in several files, out of order and with gaps between keys."""
 
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from palisade import queries as core
 
 ROWS = 40_000
 #: Else so few rows are put in one partition.
@@ -38,3 +41,22 @@ def differences(spark, folder, name):
 @pytest.mark.parametrize("name, rows", [("binary_load", ROWS), ("csv_load", ROWS), ("reopened_catalog", 2), ("csv_statistics", 1)])
 def test_positions(spark, larger, name, rows):
     assert differences(spark, larger, name) == (rows, [], [])
+
+
+def test_work_on_values_that_are_there(spark, tmp_path):
+    """Updates and deletes meet the first row by position, so not an inserted one where the table has its value before."""
+    rows = [(i, v, 1.5) for i, v in enumerate([*range(1, 41), *range(50_000, 50_090), *range(60_000, 60_090)] * 2)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double").repartition(3).write.parquet(f"{tmp_path}/orders.parquet")
+    at, price, last = {p: v for p, v, _ in rows}, {p: x for p, _, x in rows}, len(rows) - 1
+    for line in core._LINES_OF_WORK:
+        one, two = (*map(int, re.findall(r"\d+", line)), None)[:2]
+        if line[0] == "i":
+            last += 1
+            at[last], price[last] = one, float(two)
+        elif line[0] in "ud" and (found := min((p for p, v in at.items() if v == one), default=None)) is not None:
+            if line[0] == "u":
+                at[found] = two
+            else:
+                del at[found]
+    got = core.QUERIES["exec_work_rows"](spark, str(tmp_path)).select("pos", "o_custkey", "o_totalprice")
+    assert sorted(map(tuple, got.collect())) == [(p, v, price[p]) for p, v in sorted(at.items())]
