@@ -1,4 +1,5 @@
 import random
+import threading
 
 import numpy as np
 import pandas as pd
@@ -211,6 +212,41 @@ def test_several_load_files(spark, tmp_path):
     assert sorted((a, b) for _, a, b in got) == [(10 * i + j, j) for i in range(3) for j in range(2)]
 
 
+def test_load_while_splits_change(spark, tmp_path):
+    """Splits of files depend on settings and on the cluster's cores, which can change before all uses of a scan began."""
+    n, key, done = 5000, "spark.sql.files.maxPartitionBytes", threading.Event()
+    for i in range(2):
+        (tmp_path / f"f{i}").write_text(f"{n},2\nfoo.t.a,foo.t.b\n" + "".join(f"{i * n + j},{j}\n" for j in range(n)))
+    before = spark.conf.get(key)
+    spark.conf.set(key, "4k")
+
+    def change():
+        while not done.wait(0.001):
+            if spark.sparkContext.statusTracker().getActiveJobsIds():
+                spark.conf.set(key, "32k")
+
+    changes = threading.Thread(target=change)
+    try:
+        _, rows = csvload.load(spark, str(tmp_path))
+        changes.start()
+        got = sorted(map(tuple, rows.collect()))
+        done.set()
+        changes.join()
+    finally:
+        done.set()
+        spark.conf.set(key, before)
+    assert [p for p, _, _ in got] == list(range(2 * n)) and sorted(a for _, a, _ in got) == list(range(2 * n))
+    assert all(b == p % n for p, _, b in got)
+
+
+def test_nulls_in_load_files(spark, tmp_path):
+    rows = spark.createDataFrame([(0, 1, None), (1, None, 2), (2, None, None), (3, 4, 5)], "pos long, a int, b int")
+    csvload.write(rows, "foo.t", f"{tmp_path}/csv")
+    assert sorted(map(tuple, csvload.load(spark, f"{tmp_path}/csv")[1].collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
+    with pytest.raises(Exception, match="blank line"):
+        csvload.write(rows.select("pos", "a"), "foo.t", f"{tmp_path}/one")
+
+
 def test_generators(spark):
     rows = workloads.data(spark, 500, 3, domain=10_000)
     assert rows.columns == ["pos", "a", "b", "c"] and rows.select("a").distinct().count() == 500
